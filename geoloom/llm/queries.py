@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import chat, decontamination, langid, mixing, sharding, simhash, toxicity, urls
+from geoloom.llm import chat, decontamination, langid, mixing, sharding, simhash, suffix, toxicity, urls, winnowing
 from geoloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_sharding, op4_decontamination, op5_toxicity, op6_url_filter, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_sharding, op4_decontamination, op5_toxicity, op6_url_filter, op7_winnowing, op8_mixing, op9_language_id, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,7 +130,8 @@ def fit(documents: DataFrame, seed: int = SEED, max_texts: int = MAX_TEXTS, max_
     """The frozen counts of each language, from at most `max_texts` rows of it, chosen by a seeded hash."""
     rows = documents.filter(learned_from()).filter("lang is not null and text is not null and text <> ''").withColumn("__draw", seeded(seed, "doc_id"))
     share = rows.groupBy("lang").agg((F.lit(4.0 * max_texts) / F.count(F.lit(1))).alias("__share"))
-    few = rows.join(share, "lang").filter((F.pmod("__draw", F.lit(1_000_003)) / 1_000_003) < F.col("__share"))  # some times as many as are kept
+    # one row for each language goes to all tasks, so that texts are filtered before they are dealt by language
+    few = rows.join(F.broadcast(share), "lang").filter((F.pmod("__draw", F.lit(1_000_003)) / 1_000_003) < F.col("__share"))  # some times as many as are kept
     ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__draw", "doc_id"))).filter(F.col("__rank") <= max_texts)
     texts: dict[str, list[bytes]] = {}
     used: Counter = Counter()

@@ -1,15 +1,594 @@
-"""Registered queries over the driver tables, with their oracles."""
+"""Registered queries over the driver tables, with their oracles for DuckDB.
+
+The queries apply the operators to the geo views of `plans.views`. Doubles whose last digit may differ between
+engines are returned as scaled integers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.functions import geometry as geo
+from geoloom.functions import kernels
+from geoloom.functions import pixels as px
+from geoloom.operators import metrics, ml, rules, schema, segments, spatial, tiles
+from geoloom.plans.views import view, with_views
+
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _ALL[f.__name__] = f
+    return f
+
+
+def _oracle(name: str, sql: str, *views: str) -> None:
+    _SQL[name] = with_views(*views) + (", " if views and not sql.lstrip().lower().startswith("select") else " ") + sql if views else sql
+
+
+def _scaled(c: Column, by: float = 1e6) -> Column:
+    return F.floor(c * by + 0.5).cast("long")
+
+
+_RGB = [F.col(c) for c in ("r", "g", "b")]
+
+
+@_query
+def q01_object_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spatial.match_objects(view(spark, sf_dir, "v_pred"), view(spark, sf_dir, "v_gt"))
+    out = metrics.with_aggregate(counts)
+    return out.select("scene_id", "n_pred", "n_gt", "tp_pred", "tp_gt", "fp", "fn", *[_scaled(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_oracle("q01_object_match", """
+ p as (select scene_id, count(*) n_pred from v_pred group by 1), g as (select scene_id, count(*) n_gt from v_gt group by 1),
+ h as (select a.scene_id, count(distinct a.id) tp_pred, count(distinct b.id) tp_gt from v_pred a join v_gt b
+       on a.scene_id = b.scene_id and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1 group by 1),
+ c as (select scene_id, coalesce(n_pred,0) n_pred, coalesce(n_gt,0) n_gt, coalesce(tp_pred,0) tp_pred, coalesce(tp_gt,0) tp_gt
+       from p full join g using (scene_id) left join h using (scene_id)),
+ a as (select cast(scene_id as varchar) scene_id, n_pred, n_gt, tp_pred, tp_gt from c
+       union all select 'AGGREGATE', sum(n_pred), sum(n_gt), sum(tp_pred), sum(tp_gt) from c),
+ q as (select *, case when n_pred > 0 then tp_pred / (n_pred + 1e-9) else 0e0 end pr, case when n_gt > 0 then tp_gt / (n_gt + 1e-9) else 0e0 end rc from a)
+select scene_id, cast(n_pred as bigint) n_pred, cast(n_gt as bigint) n_gt, cast(tp_pred as bigint) tp_pred, cast(tp_gt as bigint) tp_gt,
+       cast(n_pred - tp_pred as bigint) fp, cast(n_gt - tp_gt as bigint) fn, cast(floor(pr * 1e6 + 0.5e0) as bigint) "precision",
+       cast(floor(rc * 1e6 + 0.5e0) as bigint) recall, cast(floor(2 * pr * rc / (pr + rc + 1e-9) * 1e6 + 0.5e0) as bigint) f1 from q""", "v_pred", "v_gt")
+
+_SHARED = """s as (select a.scene_id, a.id, b.id rid, b.class, b.subtype, b.num_floors, (a.x1-a.x0)*(a.y1-a.y0) area,
+   (least(a.x1,b.x1)-greatest(a.x0,b.x0)) * (least(a.y1,b.y1)-greatest(a.y0,b.y0)) shared
+   from v_pred a join v_gt b on a.scene_id = b.scene_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)"""
+
+
+@_query
+def q02_overlap_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.overlap_labels(view(spark, sf_dir, "v_pred"), view(spark, sf_dir, "v_gt"))
+    return out.select("scene_id", "id", _scaled(F.col("overlap")).alias("overlap"), F.col("label").cast("int").alias("label"), "ref_class", "ref_subtype")
+
+
+_oracle("q02_overlap_label", _SHARED + """,
+ t as (select scene_id, id, sum(shared) total, max(area) area, arg_max(struct_pack(c := class, s := subtype), shared * 1000000000 - rid) best from s group by 1, 2),
+ o as (select p.scene_id, p.id, coalesce(t.total, 0) / cast((p.x1-p.x0)*(p.y1-p.y0) as double) f, t.best from v_pred p left join t using (scene_id, id)),
+ l as (select *, case when f >= 0.5e0 then 1 when f <= 0.05e0 then 0 else -1 end label from o)
+select scene_id, id, cast(floor(f * 1e6 + 0.5e0) as bigint) overlap, cast(label as int) label,
+       case when label = 1 and best.c not in ('None', 'nan') then best.c end ref_class, case when label = 1 and best.s not in ('None', 'nan') then best.s end ref_subtype from l""", "v_pred", "v_gt")
+
+
+@_query
+def q03_best_overlap_subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.best_reference(view(spark, sf_dir, "v_pred"), view(spark, sf_dir, "v_gt"))
+    cls = rules.building_class(F.col("ref_class"), F.col("ref_subtype"), F.col("ref_floors"), spatial.box_area())
+    return out.select("scene_id", "id", "ref_id", cls.alias("class"), F.col("ref_id").isNotNull().cast("int").alias("matched"))
+
+
+def _case_map(expr: str, values: dict[str, str]) -> str:
+    return f"case {expr} " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items()) + " end"
+
+
+_AREA_CLASS = "case when area <= 250 then 'house' else 'apartment_block' end"
+_oracle("q03_best_overlap_subclass", _SHARED + f""",
+ b as (select * from s qualify row_number() over (partition by scene_id, id order by shared desc, rid) = 1),
+ m as (select p.scene_id, p.id, b.rid, b.class, b.subtype, case when not isnan(b.num_floors) then b.num_floors end nf, (p.x1-p.x0)*(p.y1-p.y0) area
+       from v_pred p left join b on p.scene_id = b.scene_id and p.id = b.id and b.shared / cast(b.area as double) >= 0.3e0)
+select scene_id, id, rid ref_id, coalesce({_case_map("trim(lower(class))", rules.by_class())},
+   case when trim(lower(subtype)) = 'residential' then case when nf >= 3 then 'apartment_block' when nf >= 1 then 'house' else {_AREA_CLASS} end end,
+   {_case_map("trim(lower(subtype))", rules.SUBTYPES)}, {_AREA_CLASS}) class, cast(rid is not null as int) matched from m""", "v_pred", "v_gt")
+
+
+def _cross_boxes(spark: SparkSession) -> DataFrame:
+    """Four scene boxes that overlap, so that rows may be cut to several."""
+    k = F.col("id")
+    return spark.range(4).select(k.alias("scene_id"), ((k % 2) * 450).alias("x0"), (F.floor(k / 2) * 450).alias("y0"), ((k % 2) * 450 + 550).alias("x1"), (F.floor(k / 2) * 450 + 550).alias("y1"))
+
+
+@_query
+def q04_clip_to_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.clip_boxes(view(spark, sf_dir, "v_gt").select("scene_id", "id", *spatial.BOX), _cross_boxes(spark))
+    return out.select("scene_id", "id", *[F.col(c).cast("long").alias(c) for c in spatial.BOX])
+
+
+_oracle("q04_clip_to_aoi", """
+ b as (select i scene_id, (i % 2) * 450 x0, (i // 2) * 450 y0, (i % 2) * 450 + 550 x1, (i // 2) * 450 + 550 y1 from range(4) t(i))
+select b.scene_id, g.id, cast(greatest(g.x0, b.x0) as bigint) x0, cast(greatest(g.y0, b.y0) as bigint) y0, cast(least(g.x1, b.x1) as bigint) x1, cast(least(g.y1, b.y1) as bigint) y1
+from v_gt g join b on g.x0 < b.x1 and b.x0 < g.x1 and g.y0 < b.y1 and b.y0 < g.y1""", "v_gt")
+
+
+@_query
+def q05_tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiles.tiles(view(spark, sf_dir, "v_scene"))
+    return out.select("scene_id", *[F.col(c).cast("long").alias(c) for c in ("tile_idx", "col_off", "row_off", "width", "height")], tiles.n_tiles(F.col("width_px"), F.col("height_px")).cast("long").alias("n_tiles"))
+
+
+_TILES_SQL = """
+select scene_id, cast((r // 896) * ceil(width_px / 896.0) + c // 896 as bigint) tile_idx, c col_off, r row_off, least(1024, width_px - c) width, least(1024, height_px - r) height,
+       cast(ceil(width_px / 896.0) * ceil(height_px / 896.0) as bigint) n_tiles
+from v_scene, range(0, 10000, 896) x(c), range(0, 10000, 896) y(r) where c < width_px and r < height_px"""
+_oracle("q05_tile_grid", _TILES_SQL, "v_scene")
+
+
+@_query
+def q06_patch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.patches(view(spark, sf_dir, "v_scene")).select("scene_id", F.col("col").cast("long").alias("col"), F.col("row").cast("long").alias("row"))
+
+
+_oracle("q06_patch_grid", """
+ c as (select scene_id, v col from v_scene, range(0, 10000, 192) t(v) where v <= width_px - 256 union select scene_id, width_px - 256 from v_scene),
+ r as (select scene_id, v "row" from v_scene, range(0, 10000, 192) t(v) where v <= height_px - 256 union select scene_id, height_px - 256 from v_scene)
+select c.scene_id, cast(c.col as bigint) col, cast(r."row" as bigint) "row" from c join r using (scene_id)""", "v_scene")
+
+_INDEX = {"exg": px.excess_green, "v": px.color_invariance, "s": px.shadow_invariance, "vigreen": px.vi_green, "ngbdi": px.ngbdi, "dsbi": px.dsbi, "cive": px.cive, "vig": px.vig}
+_INDEX_SQL = {
+    "exg": "2*g-r-b", "v": "4/pi()*atan((g-b)/(g+b+1e-6))", "s": "4/pi()*atan(((r+g+b)/3-sqrt(r*r+g*g+b*b))/((r+g+b)/3+sqrt(r*r+g*g+b*b)+1e-6))",
+    "vigreen": "g/(pow(g+1e-6,0.667e0)*pow(b+1e-6,0.333e0))", "ngbdi": "(g-b)/(g+b+1e-6)", "dsbi": "0.5e0*(b-r)+0.5e0*(b-g)",
+    "cive": "0.441e0*(r/255/((r+g+b)/255+1e-9))-0.811e0*(g/255/((r+g+b)/255+1e-9))+0.385e0*(b/255/((r+g+b)/255+1e-9))+18.78745e0", "vig": "(g-r)/(g+r+1e-6)",
+}
+
+
+@_query
+def q07_rgb_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of rounded index values, which do not depend on the last digit of a double."""
+    p = view(spark, sf_dir, "v_pixel")
+    return p.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.floor(f(*_RGB) * 1e4 + 0.5).cast("long")).alias(n) for n, f in _INDEX.items()])
+
+
+_oracle("q07_rgb_indices", "select scene_id, count(*) n, " + ", ".join(f"cast(sum(cast(floor(({e}) * 1e4 + 0.5e0) as bigint)) as bigint) {n}" for n, e in _INDEX_SQL.items()) + " from v_pixel group by 1", "v_pixel")
+
+_VEG = f"(cast({_INDEX_SQL['exg']} > 8 as int) + cast({_INDEX_SQL['v']} > 0.05e0 as int) + cast({_INDEX_SQL['cive']} < 18.78e0 as int) + cast({_INDEX_SQL['vig']} > 0 as int) >= 2 and valid)"
+_DARK = f"((r+g+b)/3 < 60 and {_INDEX_SQL['s']} > 0 and valid)"
+_SOIL = "(r >= g-5 and r > b+8 and g > b and 2*g-r-b < 5 and (r+g+b)/3 > 70 and (r+g+b)/3 < 200 and valid)"
+
+
+@_query
+def q08_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = segments.with_masks(view(spark, sf_dir, "v_pixel"))
+    return p.groupBy("scene_id").agg(F.count_if("veg").alias("veg"), F.count_if("dark").alias("dark"), F.count_if("bare").alias("bare"), *[F.count_if(F.col("cover") == c).alias(f"c_{c}") for c in ("vegetation", "shadow", "soil")])
+
+
+_oracle("q08_masks", f"""
+ m as (select scene_id, {_VEG} veg, {_DARK} dark, {_SOIL} bare from v_pixel)
+select scene_id, count(*) filter (veg) veg, count(*) filter (dark) dark, count(*) filter (bare) bare, count(*) filter (veg) c_vegetation,
+       count(*) filter (dark and not veg) c_shadow, count(*) filter (bare and not veg and not dark) c_soil from m group by 1""", "v_pixel")
+
+
+@_query
+def q09_segment_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"])
+    names = ("r_mean", "g_mean", "b_mean", "r_std", "intensity_mean", "intensity_std", "exg_mean", "v_idx_mean", "cive_mean", "vig_mean", "frac_vegetation", "frac_shadow", "frac_soil")
+    return f.select("tile_id", *[F.floor(F.col(c) * 1e4 + 0.5).cast("long").alias(c) for c in names])
+
+
+_SEG = f"""f as (select tile_id, avg(r) r_mean, avg(g) g_mean, avg(b) b_mean, stddev_pop(r) r_std, avg((r+g+b)/3) intensity_mean, stddev_pop((r+g+b)/3) intensity_std,
+   avg({_INDEX_SQL['exg']}) exg_mean, avg({_INDEX_SQL['v']}) v_idx_mean, avg({_INDEX_SQL['cive']}) cive_mean, avg({_INDEX_SQL['vig']}) vig_mean,
+   avg(cast({_VEG} as int)) frac_vegetation, avg(cast({_DARK} and not {_VEG} as int)) frac_shadow, avg(cast({_SOIL} and not {_VEG} and not {_DARK} as int)) frac_soil
+   from v_pixel group by 1)"""
+_oracle("q09_segment_colour", _SEG + " select tile_id, " + ", ".join(f"cast(floor({c} * 1e4 + 0.5e0) as bigint) {c}" for c in ("r_mean", "g_mean", "b_mean", "r_std", "intensity_mean", "intensity_std", "exg_mean", "v_idx_mean", "cive_mean", "vig_mean", "frac_vegetation", "frac_shadow", "frac_soil")) + " from f", "v_pixel")
+
+
+@_query
+def q10_tile_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = tiles.good_tiles(view(spark, sf_dir, "v_pixel"), ["tile_id"], min_valid=63, min_mean=110.0)
+    return good.select("tile_id", "n_valid", _scaled(F.col("mean_rgb")).alias("mean_rgb"), (F.col("valid_share") >= 1.0).alias("whole"))
+
+
+_oracle("q10_tile_quality", """select tile_id, count(*) filter (valid) n_valid, cast(floor(avg(r+g+b)/3 * 1e6 + 0.5e0) as bigint) mean_rgb, avg(cast(valid as int)) >= 1 whole
+from v_pixel group by 1 having count(*) filter (valid) >= 63 and avg(r+g+b)/3 >= 110""", "v_pixel")
+
+
+@_query
+def q11_landcover_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"])
+    return rules.land_cover(f).select("tile_id", "class", "confidence")
+
+
+_oracle("q11_landcover_select", _SEG + """ select tile_id, 'vegetation' class, cast(round_even(frac_vegetation * 100, 0) as int) confidence from f where frac_vegetation >= 0.5e0
+ union all select tile_id, 'bare_soil', cast(round_even(frac_soil * 100, 0) as int) from f where frac_soil >= 0.5e0""", "v_pixel")
+
+
+@_query
+def q12_prob_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tiles.mosaic(view(spark, sf_dir, "v_prob"), ["scene_id", "arow", "acol"])
+    return m.select("scene_id", "arow", "acol", "n", _scaled(F.col("p")).alias("p"), (_scaled(F.col("p")) >= 500_000).alias("positive"))
+
+
+_oracle("q12_prob_average", "select scene_id, arow, acol, count(*) n, cast(floor(avg(p) * 1e6 + 0.5e0) as bigint) p, cast(floor(avg(p) * 1e6 + 0.5e0) as bigint) >= 500000 positive from v_prob group by 1, 2, 3", "v_prob")
+
+
+@_query
+def q13_pixel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = metrics.pixel_quality(view(spark, sf_dir, "v_bin"), [])
+    return q.select("tp", "fp", "fn", _scaled(F.col("f1")).alias("f1"), _scaled(F.col("iou")).alias("iou"))
+
+
+_oracle("q13_pixel_metrics", """
+ c as (select cast(sum(pred*truth) as bigint) tp, cast(sum(pred*(1-truth)) as bigint) fp, cast(sum((1-pred)*truth) as bigint) fn from v_bin)
+select *, cast(floor(2*tp/(2*tp+fp+fn+1e-6) * 1e6 + 0.5e0) as bigint) f1, cast(floor(tp/(tp+fp+fn+1e-6) * 1e6 + 0.5e0) as bigint) iou from c""", "v_bin")
+
+
+@_query
+def q14_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.suppress_points(view(spark, sf_dir, "v_det"), 8.0).select("scene_id", "id", "conf")
+
+
+_oracle("q14_nms", """
+ o as (select *, row_number() over (partition by scene_id order by conf desc, id) k from v_det),
+ w(scene_id, k, kept) as (select scene_id, cast(0 as bigint), cast([] as struct(id bigint, conf bigint, x double, y double)[]) from o group by 1
+   union all select w.scene_id, o.k, case when len(list_filter(w.kept, lambda q: (q.x-o.x)*(q.x-o.x) + (q.y-o.y)*(q.y-o.y) < 64)) = 0
+     then list_append(w.kept, struct_pack(id := o.id, conf := o.conf, x := o.x, y := o.y)) else w.kept end
+   from w join o on o.scene_id = w.scene_id and o.k = w.k + 1)
+select scene_id, q.id id, q.conf conf from (select scene_id, unnest(kept) q from w qualify row_number() over (partition by scene_id order by k desc) = 1)""", "v_det")
+
+
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "v_scene")
+    km2 = geo.scene_area_km2(F.col("width_px") * F.col("res_deg"), F.col("height_px") * F.col("res_deg"), F.col("lat1"))
+    return s.withColumn("aoi_area_km2", F.floor(km2 * 1e6) / 1e6)
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred = view(spark, sf_dir, "v_pred").withColumn("area_m2", spatial.box_area().cast("double")).withColumn("class", F.when(F.col("id") % 7 == 0, "garage").when(F.col("area_m2") <= 250, "house").otherwise("apartment_block"))
+    cover = view(spark, sf_dir, "v_gt").withColumn("area_m2", spatial.box_area().cast("double")).withColumn("class", F.when(F.col("id") % 3 == 0, "vegetation").when(F.col("id") % 3 == 1, "bare_soil").otherwise("water"))
+    return metrics.scene_metrics(_scenes(spark, sf_dir), pred, view(spark, sf_dir, "v_det"), cover)
+
+
+_METRIC = ("buildings_density_per_km2", "cars_density_per_km2", "buildings_share_of_aoi_pct", "vegetation_share_pct", "bare_soil_share_pct")
+_METRICS_SQL = """
+ sc as (select *, floor(width_px*res_deg*111320e0*cos(radians(lat1))*height_px*res_deg*110540e0/1e6*1e6)/1e6 aoi_area_km2 from v_scene),
+ pb as (select scene_id, cast((x1-x0)*(y1-y0) as double) a, case when id % 7 = 0 then 'garage' when (x1-x0)*(y1-y0) <= 250 then 'house' else 'apartment_block' end class from v_pred),
+ bb as (select scene_id, count(*) filter (class = 'house') n_house, count(*) filter (class = 'apartment_block') n_apartment_block, sum(a) barea from pb group by 1),
+ cc as (select scene_id, count(*) n_cars from v_det group by 1),
+ vv as (select scene_id, sum(case when id % 3 = 0 then (x1-x0)*(y1-y0) else 0 end) varea, sum(case when id % 3 = 1 then (x1-x0)*(y1-y0) else 0 end) sarea from v_gt group by 1),
+ mm as (select sc.scene_id, city, split, aoi_area_km2, coalesce(n_house,0) n_house, coalesce(n_apartment_block,0) n_apartment_block, coalesce(n_house,0)+coalesce(n_apartment_block,0) n_buildings_total,
+   cast(coalesce(barea,0) as double) buildings_total_area_m2, coalesce(n_cars,0) n_cars, cast(coalesce(varea,0) as double) vegetation_area_m2, cast(coalesce(sarea,0) as double) bare_soil_area_m2
+   from sc left join bb using (scene_id) left join cc using (scene_id) left join vv using (scene_id)),
+ m as (select *, case when aoi_area_km2 > 0 then n_buildings_total/aoi_area_km2 else 0 end buildings_density_per_km2, case when aoi_area_km2 > 0 then n_cars/aoi_area_km2 else 0 end cars_density_per_km2,
+   100*buildings_total_area_m2/(aoi_area_km2*1e6+1e-9) buildings_share_of_aoi_pct, 100*vegetation_area_m2/(aoi_area_km2*1e6+1e-9) vegetation_share_pct, 100*bare_soil_area_m2/(aoi_area_km2*1e6+1e-9) bare_soil_share_pct from mm)"""
+
+
+def _micro(c: str) -> Column:
+    return _scaled(F.col(c), 1e3).alias(c)
+
+
+def _micro_sql(c: str, name: str = "") -> str:
+    return f"cast(floor(({c}) * 1e3 + 0.5e0) as bigint) {name or c}"
+
+
+@_query
+def q15_scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    return m.select("scene_id", "city", "split", "n_house", "n_apartment_block", "n_buildings_total", "n_cars", *[F.col(c).cast("long").alias(c) for c in ("buildings_total_area_m2", "vegetation_area_m2", "bare_soil_area_m2")], *[_micro(c) for c in _METRIC])
+
+
+_oracle("q15_scene_metrics", _METRICS_SQL + " select scene_id, city, split, n_house, n_apartment_block, n_buildings_total, n_cars, cast(buildings_total_area_m2 as bigint) buildings_total_area_m2, cast(vegetation_area_m2 as bigint) vegetation_area_m2, cast(bare_soil_area_m2 as bigint) bare_soil_area_m2, " + ", ".join(map(_micro_sql, _METRIC)) + " from m", "v_scene", "v_pred", "v_det", "v_gt")
+
+
+@_query
+def q16_city_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = metrics.city_summary(_metrics(spark, sf_dir))
+    return c.select("city", "scenes", "buildings", "houses", "blocks", "cars", *[_micro(x) for x in ("area_km2", "cars_per_km2", "buildings_pct", "vegetation_pct", "soil_pct", "concrete")])
+
+
+_oracle("q16_city_summary", _METRICS_SQL + " select city, count(*) scenes, cast(sum(n_buildings_total) as bigint) buildings, cast(sum(n_house) as bigint) houses, cast(sum(n_apartment_block) as bigint) blocks, cast(sum(n_cars) as bigint) cars, " + ", ".join([_micro_sql("sum(aoi_area_km2)", "area_km2"), _micro_sql("avg(cars_density_per_km2)", "cars_per_km2"), _micro_sql("avg(buildings_share_of_aoi_pct)", "buildings_pct"), _micro_sql("avg(vegetation_share_pct)", "vegetation_pct"), _micro_sql("avg(bare_soil_share_pct)", "soil_pct"), _micro_sql("avg(buildings_share_of_aoi_pct - vegetation_share_pct)", "concrete")]) + " from m group by 1", "v_scene", "v_pred", "v_det", "v_gt")
+
+
+@_query
+def q17_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = spatial.best_reference(view(spark, sf_dir, "v_pred"), view(spark, sf_dir, "v_gt"))
+    named = best.withColumn("class", rules.building_class(F.col("ref_class"), F.col("ref_subtype"), F.col("ref_floors"), spatial.box_area()))
+    return metrics.class_distribution(named)
+
+
+_SQL["q17_class_distribution"] = "select class, count(*) n from (" + _SQL["q03_best_overlap_subclass"] + ") group by 1"
+
+
+@_query
+def q18_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top_scenes(_metrics(spark, sf_dir)).select("category", "place", "scene_id", "city", _micro("value"))
+
+
+_oracle("q18_top3", _METRICS_SQL + """,
+ w as (select scene_id, city, 'traffic' category, cars_density_per_km2 v, -cars_density_per_km2 o from m union all select scene_id, city, 'density', n_buildings_total/aoi_area_km2, -n_buildings_total/aoi_area_km2 from m
+  union all select scene_id, city, 'green', vegetation_share_pct, -vegetation_share_pct from m union all select scene_id, city, 'concrete', buildings_share_of_aoi_pct-vegetation_share_pct, vegetation_share_pct-buildings_share_of_aoi_pct from m
+  union all select scene_id, city, 'green_belt', buildings_share_of_aoi_pct-vegetation_share_pct, buildings_share_of_aoi_pct-vegetation_share_pct from m),
+ r as (select *, cast(row_number() over (partition by category order by o, scene_id) as int) place from w)
+select category, place, scene_id, city, cast(floor(v * 1e3 + 0.5e0) as bigint) "value" from r where place <= 3""", "v_scene", "v_pred", "v_det", "v_gt")
+
+
+@_query
+def q19_shift_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifts = tiles.shift_grid(spark).select((F.col("i") * 16 + F.col("j")).alias("shift"), F.col("j").alias("dx"), F.col("i").alias("dy"))
+    refs = view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX)
+    scores = ml.shifted_overlap(view(spark, sf_dir, "v_pred").select("scene_id", *spatial.BOX), refs, shifts)
+    return ml.best_shift(scores).select("shift", F.col("shared").cast("long").alias("shared"))
+
+
+_oracle("q19_shift_grid", """
+ g as (select i * 16 + j shift, j dx, i dy from range(16) a(i), range(16) b(j)),
+ k as (select shift, sum((least(a.x1,b.x1-dx)-greatest(a.x0,b.x0-dx)) * (least(a.y1,b.y1-dy)-greatest(a.y0,b.y0-dy))) shared
+       from v_pred a join v_gt b on a.scene_id = b.scene_id and a.x0 < b.x1 and b.x0 - 15 < a.x1 and a.y0 < b.y1 and b.y0 - 15 < a.y1 cross join g
+       where a.x0 < b.x1-dx and b.x0-dx < a.x1 and a.y0 < b.y1-dy and b.y0-dy < a.y1 group by 1)
+select shift, cast(shared as bigint) shared from k order by shared desc, shift limit 10""", "v_pred", "v_gt")
+
+_N = geo.FLAT / (2 - geo.FLAT)
+
+
+def _utm_sql() -> tuple[str, str]:
+    radius = geo.A_AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+    alpha = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+    east = "eta" + "".join(f" + {a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    north = "xi" + "".join(f" + {a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    return f"500000e0 + {geo.K0 * radius!r} * ({east})", f"{geo.K0 * radius!r} * ({north})"
+
+
+def _scene_corners() -> tuple[Column, Column, Column, Column]:
+    return F.col("lon0"), F.col("lat1") - F.col("height_px") * F.col("res_deg"), F.col("lon0") + F.col("width_px") * F.col("res_deg"), F.col("lat1")
+
+
+@_query
+def q20_utm_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "v_scene")
+    x0, y0, x1, y1 = _scene_corners()
+    zone = geo.utm_zone((x0 + x1) / 2)
+    boxed = s.withColumn("zone", zone).withColumn("geom", geo.box(x0, y0, x1, y1))
+    metric = boxed.withColumn("utm", geo.map_vertices(F.col("geom"), lambda v: geo.point(*geo.utm_forward(v["x"], v["y"], F.col("zone")))))
+    return metric.select("scene_id", (F.col("zone") + 32600).cast("int").alias("epsg"), F.floor(geo.area(F.col("utm")) + 0.5).cast("long").alias("area_m2"), F.floor(geo.length(F.col("utm")) + 0.5).cast("long").alias("length_m"))
+
+
+_E, _NO = _utm_sql()
+_oracle("q20_utm_area", f"""
+ k as (select scene_id, lon0 xa, lat1 - height_px * res_deg ya, lon0 + width_px * res_deg xb, lat1 yb from v_scene),
+ v as (select scene_id, 0 i, xa lon, ya lat, (xa+xb)/2 mid from k union all select scene_id, 1, xb, ya, (xa+xb)/2 from k union all select scene_id, 2, xb, yb, (xa+xb)/2 from k union all select scene_id, 3, xa, yb, (xa+xb)/2 from k),
+ z as (select *, floor((mid + 180) / 6) + 1 zone from v),
+ u1 as (select *, radians(lon - (zone * 6 - 183)) dl, sinh(atanh(sin(radians(lat))) - {2 * _N**0.5 / (1 + _N)!r} * atanh({2 * _N**0.5 / (1 + _N)!r} * sin(radians(lat)))) t from z),
+ u2 as (select *, atan(t / cos(dl)) xi, atanh(sin(dl) / sqrt(1 + t * t)) eta from u1),
+ u as (select scene_id, i, zone, {_E} x, {_NO} y from u2),
+ e as (select a.scene_id, a.zone, a.x * b.y - b.x * a.y w, sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)) l from u a join u b on a.scene_id = b.scene_id and b.i = (a.i + 1) % 4)
+select scene_id, cast(max(zone) + 32600 as int) epsg, cast(floor(abs(sum(w)) / 2 + 0.5e0) as bigint) area_m2, cast(floor(sum(l) + 0.5e0) as bigint) length_m from e group by 1""", "v_scene")
+
+
+@_query
+def q21_aoi_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x0, y0, x1, y1 = _scene_corners()
+    s = view(spark, sf_dir, "v_scene")
+    km2 = geo.scene_area_km2(x1 - x0, y1 - y0, (y0 + y1) / 2)
+    return s.select("scene_id", "city", rules.split_of(F.col("scene_id"), (0, 3, 11, 13)).alias("split"), _scaled(km2, 1e5).alias("area_km2"))
+
+
+_oracle("q21_aoi_area", "select scene_id, city, split, cast(floor(width_px*res_deg*111320e0*cos(radians((lat1 - height_px*res_deg + lat1)/2))*(height_px*res_deg)*110540e0/1e6 * 1e5 + 0.5e0) as bigint) area_km2 from v_scene", "v_scene")
+
+
+def _l_ring() -> Column:
+    """An L-shaped ring in a box."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    pts = [(x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1), (x0, y0)]
+    return F.array(*[geo.point(x, y) for x, y in pts])
+
+
+@_query
+def q22_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_pred").withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(_l_ring())).alias("polys")))
+    c = geo.ring_centroid(F.col("geom.polys")[0][0])
+    return p.select("id", _scaled(geo.area(F.col("geom")), 100).alias("area"), _scaled(geo.length(F.col("geom")), 100).alias("perimeter"), _scaled(c["x"], 100).alias("cx"), _scaled(c["y"], 100).alias("cy"))
+
+
+_oracle("q22_shoelace", """
+ d as (select id, cast(x0 as double) x0, cast(y0 as double) y0, cast(x1-x0 as double) w, cast(y1-y0 as double) h from v_pred)
+select id, cast(floor(w*h*0.75e0*100 + 0.5e0) as bigint) area, cast(floor((2*w+2*h)*100 + 0.5e0) as bigint) perimeter,
+       cast(floor((x0 + w*5/12)*100 + 0.5e0) as bigint) cx, cast(floor((y0 + h*5/12)*100 + 0.5e0) as bigint) cy from d""", "v_pred")
+
+
+@_query
+def q23_snap_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slightly skewed quadrilateral in each box, snapped."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
+    ring = F.array(geo.point(x0, y0), geo.point(x1, y0 + 1), geo.point(x1 + 1, y1), geo.point(x0, y1 + 2), geo.point(x0, y0))
+    p = view(spark, sf_dir, "v_pred").withColumn("ring", ring).withColumn("snapped", geo.snap_ring(F.col("ring")))
+    return p.select("id", F.posexplode("snapped").alias("k", "v")).select("id", "k", "v.x", "v.y")
+
+
+_oracle("q23_snap_ring", """
+ r as (select id, [struct_pack(x := cast(x0 as double), y := cast(y0 as double)), struct_pack(x := cast(x1 as double), y := cast(y0+1 as double)), struct_pack(x := cast(x1+1 as double), y := cast(y1 as double)), struct_pack(x := cast(x0 as double), y := cast(y1+2 as double))] p from v_pred),
+ w(id, k, p, x, y) as (select id, 0, p, p[1].x, p[1].y from r union all
+   select id, k + 1, p, case when abs(p[(k+1)%4+1].x - x) > abs(p[(k+1)%4+1].y - y) then p[(k+1)%4+1].x else x end, case when abs(p[(k+1)%4+1].x - x) > abs(p[(k+1)%4+1].y - y) then y else p[(k+1)%4+1].y end from w where k < 4),
+ z as (select id, k, x, y from w union all select a.id, 5, b.x, b.y from w a join w b on a.id = b.id and a.k = 4 and b.k = 0 where a.x <> b.x or a.y <> b.y)
+select id, cast(k as int) k, x, y from z""", "v_pred")
+
+
+@_query
+def q24_glcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.floor(px.intensity_u8(*_RGB) / 8).cast("int")
+    g = segments.glcm(view(spark, sf_dir, "v_pixel"), ["tile_id"], level)
+    return g.select("tile_id", *[_scaled(F.col(c)).alias(c) for c in segments.GLCM])
+
+
+_oracle("q24_glcm", """
+ q as (select tile_id, prow, pcol, cast(floor(floor((r+g+b)/3)/8) as int) i from v_pixel),
+ n as (select tile_id, i, lead(i) over (partition by tile_id, prow order by pcol) j from q),
+ b as (select tile_id, i, j from n where j is not null union all select tile_id, j, i from n where j is not null),
+ c as (select tile_id, i, j, cast(count(*) as double) n from b group by 1, 2, 3),
+ s as (select tile_id, sum(n) t, sum(n*(i-j)*(i-j))/sum(n) con, sum(n/(1+(i-j)*(i-j)))/sum(n) hom, sum(n*n)/(sum(n)*sum(n)) energy, sum(n*abs(i-j))/sum(n) dis, sum(n*i)/sum(n) m, sum(n*i*i)/sum(n) q, sum(n*i*j)/sum(n) ij from c group by 1)
+select tile_id, cast(floor(con*1e6+0.5e0) as bigint) glcm_contrast, cast(floor(hom*1e6+0.5e0) as bigint) glcm_homogeneity, cast(floor(energy*1e6+0.5e0) as bigint) glcm_asm,
+   cast(floor(case when q-m*m < 1e-15 then 1 else (ij-m*m)/(q-m*m) end*1e6+0.5e0) as bigint) glcm_correlation, cast(floor(dis*1e6+0.5e0) as bigint) glcm_dissimilarity from s""", "v_pixel")
+
+
+@_query
+def q25_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, s, v = px.hsv(*_RGB)
+    return view(spark, sf_dir, "v_pixel").groupBy("tile_id").agg(*[F.sum(F.floor(c * 1e4 + 0.5).cast("long")).alias(n) for n, c in (("h", h), ("s", s), ("v", v))])
+
+
+_oracle("q25_hsv", """
+ n as (select tile_id, r/255 r, g/255 g, b/255 b, greatest(r,g,b)/255 t, greatest(r,g,b)/255 - least(r,g,b)/255 d from v_pixel),
+ k as (select tile_id, case when d = 0 then 0e0 when t = r then (g-b)/d when t = g then 2+(b-r)/d else 4+(r-g)/d end / 6 h, case when t = 0 then 0e0 else d/t end s, t v from n)
+select tile_id, cast(sum(floor((h - floor(h))*1e4+0.5e0)) as bigint) h, cast(sum(floor(s*1e4+0.5e0)) as bigint) s, cast(sum(floor(v*1e4+0.5e0)) as bigint) v from k group by 1""", "v_pixel")
+
+
+@_query
+def q26_layer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_pred").drop("id").withColumn("class", F.lit("house"))
+    return schema.completed(p, "survey", ["y0", "x0", "x1", "y1"], prefix="bld", scope=["scene_id"], date="2026-04-01")
+
+
+_oracle("q26_layer_schema", """select format('bld_{:06d}', row_number() over (partition by scene_id order by y0, x0, x1, y1) - 1) id, 'house' class, cast(80 as int) confidence, 'survey' source,
+  '2026-04-01' date, cast(null as varchar) change_flag, scene_id, x0, y0, x1, y1 from v_pred""", "v_pred")
+
+
+@_query
+def q27_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tiles.tiles(view(spark, sf_dir, "v_scene"))
+    zero = F.lit(0.0)
+    t = [F.col("res_deg"), zero, F.col("lon0"), zero, -F.col("res_deg"), F.col("lat1")]
+    b = geo.window_bounds(F.col("col_off"), F.col("row_off"), F.col("width"), F.col("height"), t)
+    return s.select("scene_id", F.col("tile_idx").cast("long").alias("tile_idx"), *[_scaled(b[c], 1e8).alias(c) for c in spatial.BOX])
+
+
+_oracle("q27_affine", " t as (" + _TILES_SQL + """)
+select t.scene_id, tile_idx, cast(floor((res_deg*col_off + lon0)*1e8+0.5e0) as bigint) x0, cast(floor((-res_deg*(row_off+height) + lat1)*1e8+0.5e0) as bigint) y0,
+  cast(floor((res_deg*(col_off+width) + lon0)*1e8+0.5e0) as bigint) x1, cast(floor((-res_deg*row_off + lat1)*1e8+0.5e0) as bigint) y1 from t join v_scene using (scene_id)""", "v_scene")
+
+
+@_query
+def q28_area_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = view(spark, sf_dir, "v_scene").filter("split = 'holdout'").select("scene_id")
+    boxes = schema.concat(view(spark, sf_dir, "v_pred").select("scene_id", *spatial.BOX, F.lit("a").alias("layer")), view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX, F.lit("b").alias("layer")))
+    areas = spatial.union_areas(boxes.join(F.broadcast(scenes), "scene_id", "left_semi"))  # scenes are few by definition
+    q = metrics.area_quality(scenes.join(areas, "scene_id", "left").withColumn("aoi_m2", F.lit(1050.0 * 1050.0)))
+    return q.select("scene_id", *[_scaled(F.col(c), 1).alias(c) for c in ("tp_m2", "fp_m2", "fn_m2", "tn_m2")], *[_scaled(F.col(c)).alias(c) for c in ("area_precision", "area_recall", "area_f1", "area_accuracy")])
+
+
+_oracle("q28_area_metrics", """
+ h as (select scene_id from v_scene where split = 'holdout'),
+ ca as (select distinct scene_id, x, y from v_pred join h using (scene_id), range(0, 1050) a(x), range(0, 1050) b(y) where x >= x0 and x < x1 and y >= y0 and y < y1),
+ cb as (select distinct scene_id, x, y from v_gt join h using (scene_id), range(0, 1050) a(x), range(0, 1050) b(y) where x >= x0 and x < x1 and y >= y0 and y < y1),
+ k as (select h.scene_id, count(ca.x) filter (cb.x is not null) tp, count(ca.x) filter (cb.x is null) fp, count(cb.x) filter (ca.x is null) fn
+       from h left join (ca full join cb on ca.scene_id = cb.scene_id and ca.x = cb.x and ca.y = cb.y) on h.scene_id = coalesce(ca.scene_id, cb.scene_id) group by 1),
+ m as (select *, greatest(0, 1102500 - tp - fp - fn) tn, tp/(tp+fp+1e-9) p, tp/(tp+fn+1e-9) r from k)
+select scene_id, tp tp_m2, fp fp_m2, fn fn_m2, tn tn_m2, cast(floor(p*1e6+0.5e0) as bigint) area_precision, cast(floor(r*1e6+0.5e0) as bigint) area_recall,
+  cast(floor(2*p*r/(p+r+1e-9)*1e6+0.5e0) as bigint) area_f1, cast(floor((tp+tn)/(tp+fp+fn+tn+1e-9)*1e6+0.5e0) as bigint) area_accuracy from m""", "v_scene", "v_pred", "v_gt")
+
+
+@_query
+def q29_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "v_scene").filter("split = 'train'").select("scene_id")
+    return schema.seeded_split(s, "scene_id")
+
+
+@_query
+def q30_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_pixel").withColumn("m", (F.col("r") > 110))
+    out = segments.cleaned_mask(p.select("tile_id", "prow", "pcol", "m"), ["tile_id"], "m", radius=1)
+    return out.groupBy("tile_id").agg(F.count_if("m").alias("n_on"), F.sum(F.when(F.col("m"), F.col("prow") * 8 + F.col("pcol")).otherwise(0)).alias("places"))
+
+
+def _morph_sql() -> str:
+    """Opening then closing with the radius-1 disk; outside counts as set for erosion and unset for dilation."""
+    steps, last = [], "m0"
+    for name, f in (("m1", "min"), ("m2", "max"), ("m3", "max"), ("m4", "min")):
+        steps.append(f"{name} as (select a.tile_id, a.prow, a.pcol, {f}(b.m) m from {last} a join {last} b on a.tile_id = b.tile_id and abs(a.prow-b.prow) + abs(a.pcol-b.pcol) <= 1 group by 1, 2, 3)")
+        last = name
+    return "m0 as (select tile_id, prow, pcol, cast(r > 110 as int) m from v_pixel), " + ", ".join(steps)
+
+
+_oracle("q30_morphology", _morph_sql() + " select tile_id, cast(sum(m) as bigint) n_on, cast(sum(m * (prow*8+pcol)) as bigint) places from m4 group by 1", "v_pixel")
+
+
+@_query
+def q31_dice_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_prob").withColumn("logit", (F.col("p") - 0.4) * 8).withColumn("truth", F.col("p") > 0.5)
+    loss = metrics.segmentation_loss(p, "tile_id", "logit", "truth")
+    return loss.select(*[_scaled(F.col(c)).alias(c) for c in ("loss", "dice", "bce")])
+
+
+_oracle("q31_dice_loss", """
+ k as (select tile_id, (p - 0.4e0) * 8 x, cast(p > 0.5e0 as int) t from v_prob),
+ s as (select tile_id, sum(greatest(x, 0) - x*t + ln(1 + exp(-abs(x)))) bce, count(*) n, sum(t/(1+exp(-x))) pt, sum(1/(1+exp(-x)) + t) ps from k group by 1),
+ f as (select sum(bce)/sum(n) bce, avg((2*pt+1)/(ps+1)) dice, avg(1-(2*pt+1)/(ps+1)) miss from s)
+select cast(floor((bce + 0.5e0*miss)*1e6+0.5e0) as bigint) loss, cast(floor(dice*1e6+0.5e0) as bigint) dice, cast(floor(bce*1e6+0.5e0) as bigint) bce from f""", "v_prob")
+
+
+@_query
+def q32_ortho_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotated rectangles with a noisy vertex, regularised."""
+    import numpy as np
+    import pandas as pd
+
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
+    ring = F.array(geo.point(x0, y0), geo.point((x0 + x1) / 2, y0 + 0.3), geo.point(x1, y0), geo.point(x1, y1), geo.point(x0, y1), geo.point(x0, y0))
+    p = view(spark, sf_dir, "v_pred").withColumn("geom", geo.rotate(F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(ring)).alias("polys")), (F.col("id") % 45).cast("double"), x0, y0))
+
+    def run(batches):
+        for pdf in batches:
+            got = [kernels.ortho_snap([np.array([[v["x"], v["y"]] for v in r])]) for r in pdf["ring"]]
+            keep = [g is not None for g in got]
+            yield pd.DataFrame({"id": pdf["id"][keep], "area_m2": [kernels.polygon_area(g) for g in got if g], "n_vertices": [len(g[0]) - 1 for g in got if g]})
+
+    return p.select("id", F.col("geom.polys")[0][0].alias("ring")).mapInPandas(run, "id long, area_m2 double, n_vertices int")
+
+
+@_query
+def q33_slic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments.superpixels(view(spark, sf_dir, "v_pixel").select("tile_id", "prow", "pcol", "r", "g", "b", "valid"), ["tile_id"], n_segments=4)
+    return s.filter("segment_id > 0").groupBy("tile_id", "segment_id").agg(F.count(F.lit(1)).alias("area_px"))
+
+
+@_query
+def q34_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id", "scene_id"]).withColumn("label", (F.col("scene_id") % 2).cast("double"))
+    names = [c for c in f.columns if c not in ("tile_id", "scene_id", "label")]
+    return ml.cross_validated(f, names, "tile_id", folds=2, numTrees=10, maxDepth=6)
+
+
+@_query
+def q35_city_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = metrics.compare_cities(metrics.city_summary(_metrics(spark, sf_dir)), "A", "B")
+    return c.select("metric", _micro("a"), _micro("b"), _micro("delta"), "better", _micro("bar_a"), _micro("bar_b"), "decimals")
+
+
+_CITY = {"buildings": "sum(n_buildings_total)", "cars": "sum(n_cars)", "cars_per_km2": "avg(cars_density_per_km2)", "buildings_pct": "avg(buildings_share_of_aoi_pct)", "vegetation_pct": "avg(vegetation_share_pct)", "soil_pct": "avg(bare_soil_share_pct)", "concrete": "avg(buildings_share_of_aoi_pct - vegetation_share_pct)"}
+_oracle("q35_city_comparison", _METRICS_SQL + ", c as (" + " union all ".join(f"select '{n}' metric, {str(n == 'concrete').lower()} low, cast({e} filter (city = 'A') as double) a, cast({e} filter (city = 'B') as double) b from m" for n, e in _CITY.items()) + """),
+ d as (select *, a - b d, case when low then b - a else a - b end ahead, case when greatest(abs(a), abs(b)) > 0 then greatest(abs(a), abs(b)) else 1 end s from c)
+select metric, cast(floor(a*1e3+0.5e0) as bigint) a, cast(floor(b*1e3+0.5e0) as bigint) b, cast(floor(d*1e3+0.5e0) as bigint) delta, case when ahead > 0 then 'A' when ahead < 0 then 'B' else '=' end better,
+  cast(floor(abs(a)/s*1e3+0.5e0) as bigint) bar_a, cast(floor(abs(b)/s*1e3+0.5e0) as bigint) bar_b, cast(case when abs(d) >= 1 then 1 else 2 end as int) decimals from d""", "v_scene", "v_pred", "v_det", "v_gt")
+
+
+@_query
+def q36_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = metrics.totals(_metrics(spark, sf_dir))
+    return t.select("buildings", "cars", *[_micro(c) for c in ("area_km2", "buildings_pct", "vegetation_pct", "soil_pct", "other_pct")])
+
+
+_oracle("q36_totals", _METRICS_SQL + """,
+ t as (select cast(sum(n_buildings_total) as bigint) buildings, cast(sum(n_cars) as bigint) cars, sum(aoi_area_km2) area_km2, 100*sum(buildings_total_area_m2)/sum(aoi_area_km2*1e6) bp,
+   100*sum(vegetation_area_m2)/sum(aoi_area_km2*1e6) vp, 100*sum(bare_soil_area_m2)/sum(aoi_area_km2*1e6) sp from m)
+select buildings, cars, cast(floor(area_km2*1e3+0.5e0) as bigint) area_km2, cast(floor(bp*1e3+0.5e0) as bigint) buildings_pct, cast(floor(vp*1e3+0.5e0) as bigint) vegetation_pct,
+  cast(floor(sp*1e3+0.5e0) as bigint) soil_pct, cast(floor((100-bp-vp-sp)*1e3+0.5e0) as bigint) other_pct from t""", "v_scene", "v_pred", "v_det", "v_gt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1,0 +1,2 @@
+"""No streaming operators: scenes arrive as finished batches, and every operator is a plain DataFrame function, so a
+`foreachBatch` over new scenes is all a streaming ingest needs."""

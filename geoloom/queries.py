@@ -34,7 +34,8 @@ def _scaled(c: Column, by: float = 1e6) -> Column:
     return F.floor(c * by + 0.5).cast("long")
 
 
-_RGB = [F.col(c) for c in ("r", "g", "b")]
+def _rgb() -> list[Column]:
+    return [F.col(c) for c in ("r", "g", "b")]
 
 
 @_query
@@ -150,7 +151,7 @@ _INDEX_SQL = {
 def q07_rgb_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of rounded index values, which do not depend on the last digit of a double."""
     p = view(spark, sf_dir, "v_pixel")
-    return p.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.floor(f(*_RGB) * 1e4 + 0.5).cast("long")).alias(n) for n, f in _INDEX.items()])
+    return p.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.floor(f(*_rgb()) * 1e4 + 0.5).cast("long")).alias(n) for n, f in _INDEX.items()])
 
 
 _oracle("q07_rgb_indices", "select scene_id, count(*) n, " + ", ".join(f"cast(sum(cast(floor(({e}) * 1e4 + 0.5e0) as bigint)) as bigint) {n}" for n, e in _INDEX_SQL.items()) + " from v_pixel group by 1", "v_pixel")
@@ -418,7 +419,7 @@ select id, cast(k as int) k, x, y from z""", "v_pred")
 
 @_query
 def q24_glcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.floor(px.intensity_u8(*_RGB) / 8).cast("int")
+    level = F.floor(px.intensity_u8(*_rgb()) / 8).cast("int")
     g = segments.glcm(view(spark, sf_dir, "v_pixel"), ["tile_id"], level)
     return g.select("tile_id", *[_scaled(F.col(c)).alias(c) for c in segments.GLCM])
 
@@ -435,7 +436,7 @@ select tile_id, cast(floor(con*1e6+0.5e0) as bigint) glcm_contrast, cast(floor(h
 
 @_query
 def q25_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, s, v = px.hsv(*_RGB)
+    h, s, v = px.hsv(*_rgb())
     return view(spark, sf_dir, "v_pixel").groupBy("tile_id").agg(*[F.sum(F.floor(c * 1e4 + 0.5).cast("long")).alias(n) for n, c in (("h", h), ("s", s), ("v", v))])
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: `[\x20\x09-\x0D]`.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,6 +44,16 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, *replaced: str) -> Column:
+    """All columns of `df` (but those that an output replaces) as the struct `__row`, where no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in replaced]).alias("__row")
+
+
+def with_fields(df: DataFrame, names: Sequence[str], ddl: str) -> T.StructType:
+    """The schema of these columns of `df` and then of the DDL's."""
+    return T.StructType([df.schema[c] for c in names] + T.StructType.fromDDL(ddl).fields)
+
+
 def seeded(seed: int, *cols: Column | str) -> Column:
     """A 64-bit hash of the columns that stands for a draw; equal on every run and partitioning."""
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
@@ -53,7 +64,7 @@ def salt_bits(rows: int, cell_rows: int = CELL_ROWS) -> int:
     return max(0, math.ceil(math.log2(max(1, rows) / cell_rows))) if rows > cell_rows else 0
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], draw: str, ties: Sequence[str], rank: str, total: str, bits: int) -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], draw: str, ties: Sequence[str], rank: str, total: str, bits: int, extra: DataFrame | None = None) -> DataFrame:
     """Adds the 0-based `rank` by (`draw`, `ties`) within `keys` and the key's `total` rows.
 
     A key's rows are dealt over 2**`bits` cells by the high bits of their draw, so a key with a third of all
@@ -67,5 +78,26 @@ def salted_rank(df: DataFrame, keys: Sequence[str], draw: str, ties: Sequence[st
     counts = df.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
+    if extra is not None:
+        offsets = offsets.join(extra, list(keys))
     within = Window.partitionBy(*keys, "__cell").orderBy("__low", *ties)
     return df.withColumn("__in", F.row_number().over(within)).join(offsets, [*keys, "__cell"]).withColumn(rank, F.col("__before") + F.col("__in") - 1).drop("__cell", "__low", "__n", "__before", "__in")
+
+
+#: Keys with more than one in so many rows are hot; there are at most so many of them.
+HOT_SHARE = 200
+
+
+def unskewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`left` joined with the one row that `right` has for a key. Hot keys of `left` (at most HOT_SHARE by their
+    definition) meet their rows of `right` by broadcast, where their own rows lie; the others are dealt by key."""
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    least = left.count() / HOT_SHARE
+    hot = [r[0] for r in counts.filter(F.col("__n") > least).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    some = right.filter(is_hot)
+    warm = left.filter(is_hot).join(F.broadcast(some), key, how)
+    cold = left.filter(~F.coalesce(is_hot, F.lit(False))).join(right, key, how)
+    return warm.unionByName(cold)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut
+from geoloom.llm.common import cut, packed, with_fields
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -141,12 +141,14 @@ FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, hit_items arr
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with n_words, hit_spans (word spans inside occurring windows) and hit_items (sorted as strings)."""
+    """`docs` with n_words, hit_spans (word spans inside occurring windows) and hit_items (sorted as strings); columns
+    of these names are replaced."""
+    docs = docs.drop("n_words", "hit_spans", "hit_items")
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col("text").cast("binary").alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.octet_length("t") + F.lit(16))).first()[0] or 0
     parts = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     sc = docs.sparkSession.sparkContext
-    names, fields = docs.columns, docs.schema
+    names = docs.columns
     out = docs
     for part in range(parts):
         block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else items
@@ -173,9 +175,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
         # columns go by position, so that no name of the input can clash
         cols = [F.col(f"`{c}`" if first else f"__c{k}").alias(f"__c{k}") for k, c in enumerate(names)]
-        plain = ", ".join(f"__c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields))
         source = out.select(*cols, *([F.col(f"`{text}`").cast("binary").alias("__bytes")] if first else ["n_words", "hit_spans", "hit_items", "__bytes"]))
-        out = source.mapInArrow(run, f"{plain}, {FOUND}" + ("" if part == parts - 1 else ", __bytes binary"))
+        out = source.mapInArrow(run, with_fields(source, [f"__c{k}" for k in range(len(names))], FOUND + ("" if part == parts - 1 else ", __bytes binary")))
         if part < parts - 1:
             out = cut(out, "decontamination")  # a block at a time in a worker's memory
     return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), "n_words", "hit_spans", "hit_items")
@@ -189,7 +190,7 @@ def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their columns."""
-    return find(docs, benchmark).filter(F.size("hit_spans") == 0).select(*docs.columns)
+    return find(docs.select(packed(docs), "text"), benchmark).filter(F.size("hit_spans") == 0).select("__row.*")
 
 
 def items_sha256(ids: Iterable[str]) -> str:

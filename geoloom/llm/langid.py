@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import seeded
+from geoloom.llm.common import seeded, with_fields
 
 SYMBOLS, ORDER, UNIT = 64, 3, 256
 #: Of a language's rows, at most so many and of their texts so many bytes in all are learned from.
@@ -153,7 +153,8 @@ LETTERS = bytes(97 if 65 <= c <= 90 or 97 <= c <= 122 else 0 for c in range(256)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` with lang_pred and score."""
+    """`docs` with lang_pred and score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # counts of at most MAX_BYTES for each language
     names = docs.columns
     source = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("text").cast("binary").alias("__bytes"))
@@ -173,8 +174,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             kept = [c for c in batch.schema.names if c != "__bytes"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "__lang", "__score"])
 
-    plain = ", ".join(f"__c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
-    return source.mapInArrow(run, f"{plain}, __lang string, __score double").select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    schema = with_fields(source, [f"__c{k}" for k in range(len(names))], "__lang string, __score double")
+    return source.mapInArrow(run, schema).select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def digest(documents: DataFrame) -> DataFrame:

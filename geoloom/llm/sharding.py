@@ -15,17 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import CELL_ROWS, salt_bits, salted_rank, seeded
+from geoloom.llm.common import CELL_ROWS, packed, salt_bits, salted_rank, seeded
 
 SEED = 20_240_601
 
 
 def interleave(docs: DataFrame, n_shards: int, source: str = "source", ids: tuple[str, ...] = ("doc_id",), seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """`docs` with shard (int) and slot (long, gapless from 0 in each shard)."""
+    """`docs` with shard (int) and slot (long, gapless from 0 in each shard); columns of these names are replaced."""
     rows = docs.count()
     cells = max(1, -(-rows // cell_rows))
-    marked = docs.withColumn("__none", F.col(source).isNull()).withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__draw", seeded(seed, *ids))
-    ranked = salted_rank(marked, ["__none", "__source"], "__draw", list(ids), "__rank", "__of", salt_bits(rows, cell_rows))
+    named = [F.col(f"`{c}`").alias(f"__id{k}") for k, c in enumerate(ids)]
+    marked = docs.select(packed(docs, "shard", "slot"), F.col(source).isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), seeded(seed, *ids).alias("__draw"), *named)
+    ranked = salted_rank(marked, ["__none", "__source"], "__draw", [f"__id{k}" for k in range(len(ids))], "__rank", "__of", salt_bits(rows, cell_rows))
     part = (2 * F.col("__rank") + 1) / (2 * F.col("__of"))
     ranked = ranked.withColumn("__part", part).withColumn("__slice", F.least(F.floor(F.col("__part") * cells), F.lit(cells - 1)))
     counts = ranked.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
@@ -35,7 +36,7 @@ def interleave(docs: DataFrame, n_shards: int, source: str = "source", ids: tupl
     placed = ranked.withColumn("__in", F.row_number().over(within)).join(offsets, "__slice").withColumn("__at", F.col("__before") + F.col("__in") - 1)
     placed = placed.withColumn("shard", F.expr(f"cast(__at * {n_shards} div {max(rows, 1)} as int)"))
     first = F.expr(f"(shard * {rows}L + {n_shards - 1}L) div {n_shards}L")
-    return placed.withColumn("slot", F.col("__at") - first).drop("__none", "__source", "__draw", "__rank", "__of", "__part", "__slice", "__before", "__in", "__at")
+    return placed.select("__row.*", "shard", (F.col("__at") - first).alias("slot"))
 
 
 def digest(documents: DataFrame, n_shards: int = 16) -> DataFrame:

@@ -278,9 +278,10 @@ def repeats(contexts: list[bytes], uid: np.ndarray, start: np.ndarray, n: np.nda
     of, off, block = of[window], off[window], block[window]
     u, s = uid[of], start[of] + off
     order = np.lexsort((s, u, block))
-    g = _groups(block[order])
-    late = np.append(False, g[1:] == g[:-1]) if len(g) else np.zeros(0, bool)
-    return u[order][late], s[order][late]
+    u, s, g = u[order], s[order], _groups(block[order])
+    lead = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
+    late = (u != u[lead][g]) | (s != s[lead][g])  # a repeated row's windows are its own
+    return u[late], s[late]
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import seeded
+from geoloom.llm.common import packed, seeded, with_fields
 
 MAX_ROWS = 12_000
 MAX_FEATURES, MIN_DOCS, MIN_G = 2_000, 5, 20.0
@@ -130,7 +130,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with the double column `score`; the model (at most MAX_FEATURES words) goes to the tasks."""
+    """`docs` with the double column `score` (one of that name is replaced); the model (at most MAX_FEATURES words and
+    the identity terms) goes to the tasks."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     source = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("text").cast("binary").alias("__bytes"))
@@ -142,8 +144,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kept = [c for c in batch.schema.names if c != "__bytes"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), got], [*kept, "__score"])
 
-    plain = ", ".join(f"__c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
-    return source.mapInArrow(run, f"{plain}, __score double").select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__score").alias("score"))
+    schema = with_fields(source, [f"__c{k}" for k in range(len(names))], "__score double")
+    return source.mapInArrow(run, schema).select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__score").alias("score"))
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -154,4 +156,5 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic."""
-    return score(docs, fit(documents, labels)).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    rows = score(docs.select(packed(docs), "text"), fit(documents, labels))
+    return rows.filter(F.col("score") < THRESHOLD).select("__row.*")

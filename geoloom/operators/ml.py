@@ -12,6 +12,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.functions import geometry as geo
 from geoloom.operators import spatial
@@ -75,7 +76,7 @@ def infer(patches: DataFrame, predict: Callable[[pd.DataFrame], pd.Series]) -> D
         for pdf in batches:
             yield pdf.assign(p=predict(pdf).astype("float64"))
 
-    return patches.mapInPandas(run, patches.schema.add("p", "double"))
+    return patches.mapInPandas(run, T.StructType([*patches.schema.fields, T.StructField("p", T.DoubleType())]))
 
 
 def detections(raw: DataFrame, transform: list, min_conf: float = 0.25) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.functions import kernels
 from geoloom.functions import pixels as px
@@ -126,7 +127,7 @@ def superpixels(pixels: DataFrame, keys: list[str], n_segments: int = 200, compa
         rgb = np.stack([_plane(pdf, b, row, col, float)[0] for b in "rgb"], -1)
         return pdf.assign(segment_id=kernels.superpixels(rgb, valid, n_segments, compactness)[r, c].astype("int32"))
 
-    return pixels.groupBy(*keys).applyInPandas(run, pixels.schema.add("segment_id", "integer"))
+    return pixels.groupBy(*keys).applyInPandas(run, T.StructType([*pixels.schema.fields, T.StructField("segment_id", T.IntegerType())]))
 
 
 def polygons(pixels: DataFrame, keys: list[str], segment: str = "segment_id", row: str = "prow", col: str = "pcol") -> DataFrame:

@@ -73,25 +73,39 @@ def box_area(prefix: str = "") -> Column:
     return (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")) * (F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
 
 
-def match_objects(pred: DataFrame, gt: DataFrame, positive_area: bool = False, **cells) -> DataFrame:
-    """By scene: n_pred, n_gt, tp_pred, tp_gt, fp, fn. Any intersection matches, touching too unless `positive_area`."""
+def _shared(polygons: bool) -> tuple[Column, Column]:
+    """Shared area of a pair and area of its left side: of the boxes, or of the geometries l_geom and r_geom."""
+    if not polygons:
+        return pair_overlap(), box_area("l_")
+    from geoloom.operators import overlay
+
+    return overlay.intersection_area(F.col("l_geom"), F.col("r_geom")), geo.area(F.col("l_geom"))
+
+
+def match_objects(pred: DataFrame, gt: DataFrame, positive_area: bool = False, polygons: bool = False, **cells) -> DataFrame:
+    """By scene: n_pred, n_gt, tp_pred, tp_gt, fp, fn. Any intersection matches, touching too unless `positive_area`.
+    With `polygons` the boxes only choose pairs and the column geom decides."""
     pairs = box_pairs(pred, gt, **cells)
     if positive_area:
-        pairs = pairs.filter(pair_overlap() > 0)
+        pairs = pairs.filter(_shared(polygons)[0] > 0)
+    elif polygons:
+        from geoloom.operators import overlay
+
+        pairs = pairs.filter(overlay.intersects(F.col("l_geom"), F.col("r_geom")))
     hits = pairs.groupBy(F.col("l_scene_id").alias("scene_id")).agg(F.count_distinct("l_id").alias("tp_pred"), F.count_distinct("r_id").alias("tp_gt"))
     counts = pred.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_pred")).join(gt.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_gt")), "scene_id", "full")
     out = counts.join(hits, "scene_id", "left").na.fill(0)
     return out.withColumn("fp", F.col("n_pred") - F.col("tp_pred")).withColumn("fn", F.col("n_gt") - F.col("tp_gt"))
 
 
-def overlap_labels(segments: DataFrame, refs: DataFrame, positive: float = 0.5, negative: float = 0.05, **cells) -> DataFrame:
+def overlap_labels(segments: DataFrame, refs: DataFrame, positive: float = 0.5, negative: float = 0.05, polygons: bool = False, **cells) -> DataFrame:
     """Segments (id, scene_id, box) with overlap (sum of shared areas over the segment's; may exceed 1), label 1, 0
     or -1, and class and subtype of the largest overlap (ties: least id) where the label is 1."""
-    shared = box_pairs(segments, refs, **cells).withColumn("shared", pair_overlap()).filter("shared > 0")
+    shared = box_pairs(segments, refs, **cells).withColumn("shared", _shared(polygons)[0]).filter("shared > 0")
     # the largest share, then the least id: one pre-aggregated struct instead of a sort of each segment's pairs
     best = F.max(F.struct(F.col("shared"), (-F.col("r_id")).alias("k"), F.col("r_class").alias("c"), F.col("r_subtype").alias("s"))).alias("best")
     sums = shared.groupBy(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.sum("shared").alias("total"), best)
-    out = segments.join(sums, ["scene_id", "id"], "left").withColumn("__area", box_area())
+    out = segments.join(sums, ["scene_id", "id"], "left").withColumn("__area", geo.area(F.col("geom")) if polygons else box_area())
     out = out.withColumn("overlap", F.when(F.col("__area") > 0, F.coalesce(F.col("total"), F.lit(0)) / F.col("__area")).otherwise(0.0))
     label = F.when(F.col("__area") <= 0, -1).when(F.col("overlap") >= positive, 1).when(F.col("overlap") <= negative, 0).otherwise(-1)
     tag = lambda c: F.when(F.col("label") == 1, F.when(~F.col(c).isin("None", "nan"), F.col(c)))
@@ -110,22 +124,22 @@ def last_piece(labels: DataFrame, key: str = "segment_id", ordinal: str = "piece
     return labels.groupBy(key).agg(F.max(F.struct(ordinal, *[c for c in cols if c != ordinal])).alias("m")).select(key, "m.*")
 
 
-def best_reference(pred: DataFrame, refs: DataFrame, least_share: float = 0.3, **cells) -> DataFrame:
+def best_reference(pred: DataFrame, refs: DataFrame, least_share: float = 0.3, polygons: bool = False, **cells) -> DataFrame:
     """Predictions with the reference of the largest overlap (ties: least id); none if it covers under `least_share`."""
-    shared = box_pairs(pred, refs, **cells).withColumn("shared", pair_overlap()).filter("shared > 0")
+    overlap, area = _shared(polygons)
+    shared = box_pairs(pred, refs, **cells).withColumn("shared", overlap).withColumn("l_area", area).filter("shared > 0")
     rank = Window.partitionBy("l_scene_id", "l_id").orderBy(F.desc("shared"), "r_id")
     best = shared.withColumn("__n", F.row_number().over(rank)).filter("__n = 1")
-    keep = best.filter(F.col("shared") / box_area("l_") >= least_share)
+    keep = best.filter(F.col("shared") / F.col("l_area") >= least_share)
     return pred.join(keep.select(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id"), F.col("r_id").alias("ref_id"), F.col("r_class").alias("ref_class"), F.col("r_subtype").alias("ref_subtype"), F.col("r_num_floors").alias("ref_floors"), "shared"), ["scene_id", "id"], "left")
 
 
-def clip_boxes(rows: DataFrame, scenes: DataFrame) -> DataFrame:
+def clip_boxes(rows: DataFrame, scenes: DataFrame, cell: float = 512.0) -> DataFrame:
     """Rows cut to every scene box that they intersect with positive area; a row may stand in several scenes."""
-    s = scenes.select(F.col("scene_id").alias("s_scene"), *[F.col(c).alias(f"s_{c}") for c in BOX])
-    a, b = {c: F.col(c) for c in BOX}, {c: F.col(f"s_{c}") for c in BOX}
-    cut = rows.drop("scene_id").join(s, geo.boxes_touch(a, b) & (geo.box_overlap(a, b) > 0))
-    new = {"x0": F.greatest("x0", "s_x0"), "y0": F.greatest("y0", "s_y0"), "x1": F.least("x1", "s_x1"), "y1": F.least("y1", "s_y1")}
-    return cut.select(F.col("s_scene").alias("scene_id"), *[c for c in rows.columns if c not in (*BOX, "scene_id")], *[v.alias(k) for k, v in new.items()])
+    one = F.lit(0)  # scenes are found by place alone
+    pairs = box_pairs(rows.drop("scene_id").withColumn("all", one), scenes.select("scene_id", *BOX).withColumn("all", one), "all", cell=cell).filter(pair_overlap() > 0)
+    new = {c: (F.greatest if c in ("x0", "y0") else F.least)(f"l_{c}", f"r_{c}") for c in BOX}
+    return pairs.select(F.col("r_scene_id").alias("scene_id"), *[F.col(f"l_{c}").alias(c) for c in rows.columns if c not in (*BOX, "scene_id")], *[v.alias(c) for c, v in new.items()])
 
 
 def suppress_points(points: DataFrame, radius: float) -> DataFrame:

@@ -19,6 +19,12 @@ def tiles(scenes: DataFrame, tile: int = 1024, overlap: int = 128) -> DataFrame:
     return cells.withColumn("tile_idx", (F.col("row_off") / step).cast("long") * across + (F.col("col_off") / step).cast("long")).withColumn("width", F.least(F.lit(tile), F.col("width_px") - F.col("col_off"))).withColumn("height", F.least(F.lit(tile), F.col("height_px") - F.col("row_off")))
 
 
+def owned(prow: Column, pcol: Column, tile_row: Column, tile_col: Column, overlap: int = 128) -> Column:
+    """Whether a tile's pixel (row and column in the tile) belongs to it when overlaps go to the earlier tile; without
+    this filter pixels of an overlap count in both tiles."""
+    return ((tile_row == 0) | (prow >= overlap)) & ((tile_col == 0) | (pcol >= overlap))
+
+
 def n_tiles(width: Column, height: Column, tile: int = 1024, overlap: int = 128) -> Column:
     return F.ceil(width / (tile - overlap)) * F.ceil(height / (tile - overlap))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as geo
 from geoloom.functions import kernels
 from geoloom.functions import pixels as px
-from geoloom.operators import metrics, ml, rules, schema, segments, spatial, tiles
+from geoloom.operators import metrics, ml, overlay, rules, schema, segments, spatial, tiles
 from geoloom.plans.views import view, with_views
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,6 +587,65 @@ select buildings, cars, cast(floor(area_km2*1e3+0.5e0) as bigint) area_km2, cast
   cast(floor(sp*1e3+0.5e0) as bigint) soil_pct, cast(floor((100-bp-vp-sp)*1e3+0.5e0) as bigint) other_pct from t""", "v_scene", "v_pred", "v_det", "v_gt")
 
 
+def _boxed(df: DataFrame) -> DataFrame:
+    return df.withColumn("geom", geo.box(*[F.col(c) for c in spatial.BOX]))
+
+
+@_query
+def q37_polygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygon path on rectangles: labels as by boxes."""
+    pred, gt = (_boxed(view(spark, sf_dir, v)) for v in ("v_pred", "v_gt"))
+    out = spatial.overlap_labels(pred, gt, polygons=True)
+    return out.select("scene_id", "id", _scaled(F.col("overlap")).alias("overlap"), F.col("label").cast("int").alias("label"), "ref_class", "ref_subtype")
+
+
+_SQL["q37_polygon_overlap"] = _SQL["q02_overlap_label"]
+
+
+@_query
+def q38_cover_minus_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as land cover, without the predicted buildings of their scene."""
+    cover, built = (_boxed(view(spark, sf_dir, v)).select("scene_id", "id", "geom") for v in ("v_gt", "v_pred"))
+    out = overlay.subtracted(cover, built)
+    return out.select("scene_id", "id", _scaled(geo.area(F.col("geom")), 1).alias("area_m2"))
+
+
+_oracle("q38_cover_minus_buildings", """
+ g as (select scene_id, id, x, y from (select scene_id, id, x1, y0, y1, unnest(range(x0, x1)) x from v_gt), lateral (select unnest(range(y0, y1)) y)),
+ k as (select g.scene_id, g.id, count(*) a from g where not exists (select 1 from v_pred p where p.scene_id = g.scene_id and g.x >= p.x0 and g.x < p.x1 and g.y >= p.y0 and g.y < p.y1) group by 1, 2)
+select scene_id, id, a area_m2 from k where a > 5 or scene_id not in (select scene_id from v_pred)""", "v_pred", "v_gt")
+
+
+@_query
+def q39_patch_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference footprints drawn into 64-pixel patches."""
+    ids = spark.range(20).select(F.col("id").alias("scene_id")).crossJoin(spark.range(256).select("id"))
+    patches = ids.withColumn("x0", (F.col("id") % 16) * 64).withColumn("y0", F.floor(F.col("id") / 16) * 64).withColumn("x1", F.col("x0") + 64).withColumn("y1", F.col("y0") + 64)
+    out = overlay.rasterized(patches, _boxed(view(spark, sf_dir, "v_gt")), 64)
+    on = F.length(F.replace(F.hex("mask"), F.lit("00"), F.lit(""))) / 2
+    return out.select("scene_id", "id", on.cast("long").alias("n_on")).filter("n_on > 0")
+
+
+_oracle("q39_patch_masks", """
+ g as (select distinct scene_id, x, y from (select scene_id, x1, y0, y1, unnest(range(x0, x1)) x from v_gt), lateral (select unnest(range(y0, y1)) y))
+select scene_id, (y // 64) * 16 + x // 64 id, count(*) n_on from g where x < 1024 and y < 1024 group by 1, 2""", "v_gt")
+
+
+@_query
+def q40_polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-shaped polygons cut to four scenes."""
+    layer = view(spark, sf_dir, "v_pred").withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(_l_ring())).alias("polys"))).select("id", "geom")
+    out = overlay.clipped(layer, _cross_boxes(spark))
+    return out.select("scene_id", "id", _scaled(geo.area(F.col("geom")), 100).alias("area"))
+
+
+_oracle("q40_polygon_clip", """
+ b as (select i scene_id, (i % 2) * 450 x0, (i // 2) * 450 y0, (i % 2) * 450 + 550 x1, (i // 2) * 450 + 550 y1 from range(4) t(i)),
+ r as (select id, cast(x0 as double) x0, cast(y0 as double) y0, cast(x1 as double) x1, (y0+y1)/2e0 y1 from v_pred union all select id, x0, (y0+y1)/2e0, (x0+x1)/2e0, y1 from v_pred),
+ c as (select b.scene_id, r.id, sum(greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0))) a from r, b group by 1, 2)
+select scene_id, id, cast(floor(a * 100 + 0.5e0) as bigint) area from c where a > 0""", "v_pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_ALL)
 

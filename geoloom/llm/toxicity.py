@@ -76,33 +76,39 @@ def train(rows: list[tuple[bytes | None, int]], fairness: float = 1.0, ridge: fl
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else -50.0, {})
-    sets = [words_of(t) for t, _ in rows]
     df, pos = Counter(), Counter()
-    for s, label in zip(sets, y):
-        df.update(s)
+    for text, label in rows:  # the texts are gone through three times rather than held as sets of words
+        df.update(words_of(text))
         if label:
-            pos.update(s)
+            pos.update(words_of(text))
     known = sorted(w for w, n in df.items() if n >= MIN_DOCS)
     g = _g(np.array([pos[w] for w in known], float), y.sum(), np.array([df[w] for w in known], float), float(len(y)))
     chosen = [known[i] for i in np.argsort(-g, kind="stable")[:MAX_FEATURES] if g[i] >= MIN_G]
     terms = {t.encode(): i for i, kind in enumerate(IDENTITY) for t in kind}
     names = sorted({*chosen, *terms})
     col = {w: i for i, w in enumerate(names)}
-    index = [np.fromiter((col[w] for w in s & col.keys()), np.int64) for s in sets]
+    del df, pos
+    index = [np.fromiter(sorted(col[w] for w in words_of(t) & col.keys()), np.int64) for t, _ in rows]
     row = np.repeat(np.arange(len(index)), [len(i) for i in index])
     at = np.concatenate(index) if len(index) else np.zeros(0, np.int64)
     # counterfactual pairs: the swap takes term a out and puts b in, so the change of score is w[b] - w[a]
     pairs: Counter = Counter()
-    for s in sets:
-        for a in s & terms.keys():
-            for b in (t.encode() for t in IDENTITY[terms[a]]):
-                if b not in s:
-                    pairs[col[a], col[b]] += 1
+    place = {col[w]: w for w in terms}
+    for own in index:
+        named = {int(i) for i in own if int(i) in place}
+        for a in named:
+            for b in (col[t.encode()] for t in IDENTITY[terms[place[a]]]):
+                if b not in named:
+                    pairs[a, b] += 1
     pa_, pb_, pn = (np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array(list(pairs.values()), float))
     w, n = np.zeros(len(names) + 1), len(y)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     look, last = w.copy(), w.copy()
-    rate = 4.0 / (1 + np.bincount(row, minlength=n).max(initial=0) + 4 * (ridge + fairness * (pn.sum() if len(pn) else 0)) / n)
+    # each weight steps by a bound of its own curvature (a row's features share its quarter), so rare words learn too
+    own = np.bincount(row, minlength=n) + 1.0
+    curve = np.concatenate((np.bincount(at, own[row], minlength=len(names)) / 4 + ridge, [own.sum() / 4]))
+    if len(pn):
+        curve[:-1] += 2 * fairness * (np.bincount(pa_, pn, minlength=len(names)) + np.bincount(pb_, pn, minlength=len(names)))
     for k in range(steps):
         z = look[-1] + np.bincount(row, look[at], minlength=n)
         e = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
@@ -111,7 +117,7 @@ def train(rows: list[tuple[bytes | None, int]], fairness: float = 1.0, ridge: fl
         if len(pn):
             d = fairness * pn * (look[pb_] - look[pa_])
             grad[:-1] += np.bincount(pb_, d, minlength=len(names)) - np.bincount(pa_, d, minlength=len(names))
-        w = look - rate * grad / n
+        w = look - grad / curve
         look = w + k / (k + 3) * (w - last)
         last = w
     return Model(float(w[-1]), {name: float(x) for name, x in zip(names, w) if abs(x) > 1e-4})
@@ -126,7 +132,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed:
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and __id is not null").filter(~fold("__id", 3, 1))
     marks = marks.orderBy(seeded(seed, "__id"), "__id", "toxic").limit(max_rows)
     rows = marks.join(documents.select("doc_id", F.col("text").cast("binary").alias("t")), F.col("__id") == F.col("doc_id")).select("t", "toxic")
-    return train([(None if r.t is None else bytes(r.t), int(r.toxic != 0)) for r in rows.toLocalIterator()])
+    # in a set order, so that sums come out alike on every run
+    return train(sorted((b"" if r.t is None else bytes(r.t), int(r.toxic != 0)) for r in rows.toLocalIterator()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

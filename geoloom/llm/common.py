@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one cell of a salted rank holds on average.
-CELL_ROWS = 65_536
+CELL_ROWS = 8_192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

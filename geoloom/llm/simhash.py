@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut
+from geoloom.llm.common import cut, drop_cut, packed, unskewed_join
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 4, 4
 #: Leaf pairs that are compared without further descent; node pairs held at once.
@@ -205,27 +205,32 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = cut(small.filter("u <> v").distinct(), "links")
+        before, edges = edges, cut(small.filter("u <> v").distinct(), "links")
+        drop_cut(before)  # the new table stands by itself
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, budget: int = BUDGET, n: int = SHINGLE, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, __text, fp and root, which is shared by all rows of a component."""
+def grouped(docs: DataFrame, budget: int = BUDGET, n: int = SHINGLE, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __text, fp) of each row, and (fp, root) of each fingerprint: rows of one root are a component."""
     fps = cut(fingerprints(docs, n=n), "simhash")
-    roots = components(near_links(fps, budget, hot_rows))
-    return fps.join(roots, fps["fp"] == roots["node"], "left").select("doc_id", "__text", "fp", F.coalesce("root", "fp").alias("root"))
+    roots = components(near_links(fps, budget, hot_rows)).withColumnRenamed("node", "fp")
+    distinct = fps.select("fp").distinct()
+    return fps, cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = grouped(docs.select("doc_id", "text"))
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, roots = grouped(docs.select("doc_id", "text"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = unskewed_join(roots, ids, "root").select("fp", "component_id")
+    out = unskewed_join(fps, of_fp, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET, n: int = SHINGLE) -> DataFrame:
     """The row with the least id (nulls last) of each component, with all its columns."""
-    rows = grouped(docs, budget, n)
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("__text").alias("k2"))).alias("k")).select("k.*")
+    fps, roots = grouped(docs, budget, n)
+    kept = unskewed_join(fps, roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("__text").alias("k2"))).alias("k")).select("k.*")
     keys = ["k0", "k1", "k2"]
-    marked = docs.withColumn("k0", F.col("doc_id").isNull()).withColumn("k1", F.coalesce("doc_id", F.lit(0))).withColumn("k2", F.xxhash64("text"))
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    marked = docs.select(packed(docs), F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"))
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select("__row.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import CELL_ROWS, WORD, salt_bits, salted_rank, seeded
+from geoloom.llm.common import CELL_ROWS, WORD, packed, salt_bits, salted_rank, seeded
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 77_003
@@ -104,8 +104,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, table: int = TAB
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", ids: tuple[str, ...] = ("doc_id",), share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """`docs` with source_size, target and times (how often the mix takes the document)."""
-    marked = docs.withColumn("__none", F.col(source).isNull()).withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__size", F.col(size)).withColumn("__draw", seeded(seed, *ids))
+    """`docs` with source_size, target and times (how often the mix takes the document); columns of these names are
+    replaced."""
+    named = [F.col(f"`{c}`").alias(f"__id{k}") for k, c in enumerate(ids)]
+    marked = docs.select(packed(docs, "source_size", "target", "times"), F.col(source).isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), F.col(size).alias("__size"), seeded(seed, *ids).alias("__draw"), *named)
     keys = ["__none", "__source"]
     lengths = marked.groupBy(*keys, "__size").agg(F.count(F.lit(1)).alias("__count"))
     totals = lengths.groupBy(*keys).agg(F.sum(F.col("__size") * F.col("__count")).alias("source_size"), F.lit(0).alias("__all"))
@@ -124,9 +126,16 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", ids: tuple[
         return pdf[["__none", "__source", "__size", "source_size", "target"]].assign(__passes=passes, __quota=quota)
 
     plan = lengths.join(aims, keys).groupBy(*keys).applyInPandas(fill, "__none boolean, __source string, __size long, source_size long, target double, __passes long, __quota long")
-    ranked = salted_rank(marked, [*keys, "__size"], "__draw", list(ids), "__rank", "__of", salt_bits(docs.count(), cell_rows))
+    ranked = salted_rank(marked, [*keys, "__size"], "__draw", [f"__id{k}" for k in range(len(ids))], "__rank", "__of", salt_bits(docs.count(), cell_rows), plan)
     times = F.col("__passes") + (F.col("__rank") < F.col("__quota")).cast("int")
-    return ranked.join(plan, [*keys, "__size"]).withColumn("times", times).drop(*keys, "__size", "__draw", "__rank", "__of", "__passes", "__quota")
+    return ranked.select("__row.*", "source_size", "target", times.alias("times"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it."""
+    sized = docs.select(packed(docs), "doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("hash"))
+    mixed = mix(sized, ids=("doc_id", "hash"), **options).filter("times > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")
 
 
 def digest(documents: DataFrame) -> DataFrame:

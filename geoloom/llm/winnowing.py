@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 K, WINDOW = 5, 16
 #: Documents in a range of ids, and ranges cut by quantiles before they are cut evenly.
 RANGE_ROWS, QUANTILES = 1_024, 1_024
+#: Ranges whose heads are broadcast (16 bytes each).
+BROADCAST_RANGES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A pick is one long: 38 bits of hash, then the position counted down, so that the rightmost is least on ties.
 HASH_BITS, POSITION_BITS = 38, 25
@@ -112,6 +114,8 @@ def with_next(docs: DataFrame, columns: dict[str, Column], range_rows: int = RAN
     order = Window.orderBy(F.desc("range"))  # one narrow row for each range
     around = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nexts = heads.select("range", F.when(F.lead("range").over(order).isNotNull(), F.struct(F.lead("head").over(order).alias("id"))).otherwise(F.struct(F.first("head").over(around).alias("id"))).alias("next")).select("range", F.col("next.id").alias("next_id"))
+    if n <= RANGE_ROWS * BROADCAST_RANGES:  # a row of two numbers for each range; beyond that texts are dealt by id
+        nexts = F.broadcast(nexts)
     ends = rows.join(nexts, rows["doc_id"].eqNullSafe(nexts["next_id"])).groupBy("range").agg(F.max("text").alias("text"))
     dealt = ranged(rows).withColumn("__end", F.lit(False)).unionByName(ends.select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(True).alias("__end")))
     dealt = dealt.repartition("range").withColumns(columns)

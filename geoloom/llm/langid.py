@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import seeded, with_fields
+from geoloom.llm.common import cut, seeded, with_fields
 
 SYMBOLS, ORDER, UNIT = 64, 3, 256
 #: Of a language's rows, at most so many and of their texts so many bytes in all are learned from.
 MAX_TEXTS, MAX_BYTES = 300, 1_500_000
 SEED = 9_001
 PIECE = 1 << 21
+#: Tables that a worker keeps (32 MB each); with more languages they are made group by group for each batch.
+AT_ONCE = 16
+#: Languages whose shares are broadcast; beyond that they are joined by language.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 
 
@@ -61,31 +65,45 @@ def count_tree(texts: list[bytes], fold: bytes) -> tuple[np.ndarray, np.ndarray]
 
 def unroll(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Code lengths (in 1/UNIT bits) of all (context, byte) pairs under the frozen tree."""
-    prob = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER + 1):
-        size = SYMBOLS ** (order + 1)
-        key, at = np.unique(pairs % size, return_inverse=True)
+    shorter = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
+    for order in range(ORDER):
+        key, at = np.unique(pairs % SYMBOLS ** (order + 1), return_inverse=True)
         n = np.bincount(at, counts, minlength=len(key)) if len(key) else np.zeros(0)
-        context = key // SYMBOLS
-        total = np.bincount(context, n, minlength=size // SYMBOLS)
-        kinds = np.bincount(context, minlength=size // SYMBOLS)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0).astype(np.float32)
         # the next shorter context of (a, b, c) is (b, c): the shorter table repeats for each first symbol
-        longer = np.tile(prob.astype(np.float32).reshape(-1, SYMBOLS), (SYMBOLS if order else 1, 1)) * escape[:, None]
-        longer = longer.ravel()
-        longer[key] = (n / (total[context] + kinds[context])).astype(np.float32)
-        prob = longer
-    return np.minimum(np.rint(-np.log2(prob) * UNIT), 65_535).astype(np.uint16)
+        shorter = _refined(np.tile(shorter, SYMBOLS) if order else shorter, key, n)
+    size = len(shorter)
+    out = np.empty(size * SYMBOLS, np.uint16)
+    edges = np.searchsorted(pairs, np.arange(SYMBOLS + 1) * size)
+    for a in range(SYMBOLS):  # a slab for each first symbol, so that only the table itself is large
+        of = slice(edges[a], edges[a + 1])
+        slab = _refined(shorter, pairs[of] - a * size, counts[of])
+        out[a * size : (a + 1) * size] = np.minimum(np.rint(-np.log2(slab) * UNIT), 65_535)
+    return out
+
+
+def _refined(shorter: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probabilities of contexts one byte longer than those of `shorter`: seen pairs by their counts, all others
+    by the context's escape."""
+    context = key // SYMBOLS
+    total = np.bincount(context, n, minlength=len(shorter) // SYMBOLS)
+    kinds = np.bincount(context, minlength=len(shorter) // SYMBOLS)
+    escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0).astype(np.float32)
+    out = shorter * np.repeat(escape, SYMBOLS)
+    out[key] = n / (total[context] + kinds[context])
+    return out
 
 
 class Coder:
-    """The unrolled tables of one model; a worker makes them once."""
+    """The unrolled tables of one model; a worker makes them once, if it can keep them all."""
 
     made: dict[int, Coder] = {}
 
     def __init__(self, model: dict):
-        self.fold, self.langs = model["fold"], model["langs"]
-        self.tables = [unroll(*model["trees"][x]) for x in self.langs]
+        self.fold, self.langs, self.trees = model["fold"], model["langs"], model["trees"]
+        self.kept = self._tables(0) if len(self.langs) <= AT_ONCE else None
+
+    def _tables(self, at: int) -> list[np.ndarray]:
+        return [unroll(*self.trees[x]) for x in self.langs[at : at + AT_ONCE]]
 
     @classmethod
     def of(cls, model: dict) -> Coder:
@@ -95,7 +113,13 @@ class Coder:
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths (texts x languages) in 1/UNIT bits; long texts are coded in pieces that keep their context."""
-        out = np.zeros((len(texts), len(self.tables)), np.int64)
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        for at in range(0, len(self.langs), AT_ONCE):
+            tables = self.kept or self._tables(at)
+            self._add(texts, tables, out[:, at : at + len(tables)])
+        return out
+
+    def _add(self, texts: list[bytes], tables: list[np.ndarray], out: np.ndarray) -> None:
         pad, i = bytes(ORDER), 0
         while i < len(texts):
             j, size = i, 0
@@ -105,7 +129,7 @@ class Coder:
                 for at in range(0, len(texts[i]), PIECE):
                     before = pad if at == 0 else texts[i][at - ORDER : at].translate(self.fold)
                     g = grams(np.frombuffer(before + texts[i][at : at + PIECE].translate(self.fold), np.uint8))
-                    out[i] += [int(t[g].sum(dtype=np.int64)) for t in self.tables]
+                    out[i] += [int(t[g].sum(dtype=np.int64)) for t in tables]
             else:
                 joined = np.frombuffer(b"".join(x for t in texts[i:j] for x in (pad, t.translate(self.fold))), np.uint8)
                 n = np.fromiter((len(t) for t in texts[i:j]), np.int64, j - i)
@@ -115,11 +139,10 @@ class Coder:
                     g = grams(joined)
                     # pairs that begin in one text and end in the next belong to neither
                     cuts = np.stack((start[full], start[full] + n[full]), 1).ravel()
-                    for k, t in enumerate(self.tables):
+                    for k, t in enumerate(tables):
                         cost = np.append(t[g], 0)
                         out[i:j, k][full] = np.add.reduceat(cost, np.minimum(cuts, len(g)), dtype=np.int64)[::2]
             i = j
-        return out
 
 
 def learned_from(doc_id: str = "doc_id"):
@@ -130,8 +153,10 @@ def fit(documents: DataFrame, seed: int = SEED, max_texts: int = MAX_TEXTS, max_
     """The frozen counts of each language, from at most `max_texts` rows of it, chosen by a seeded hash."""
     rows = documents.filter(learned_from()).filter("lang is not null and text is not null and text <> ''").withColumn("__draw", seeded(seed, "doc_id"))
     share = rows.groupBy("lang").agg((F.lit(4.0 * max_texts) / F.count(F.lit(1))).alias("__share"))
-    # one row for each language goes to all tasks, so that texts are filtered before they are dealt by language
-    few = rows.join(F.broadcast(share), "lang").filter((F.pmod("__draw", F.lit(1_000_003)) / 1_000_003) < F.col("__share"))  # some times as many as are kept
+    share = cut(share, "langid-shares")
+    if share.count() <= BROADCAST_LANGS:  # then texts are filtered before they are dealt by language
+        share = F.broadcast(share)
+    few = rows.join(share, "lang").filter((F.pmod("__draw", F.lit(1_000_003)) / 1_000_003) < F.col("__share"))  # some times as many as are kept
     ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__draw", "doc_id"))).filter(F.col("__rank") <= max_texts)
     texts: dict[str, list[bytes]] = {}
     used: Counter = Counter()

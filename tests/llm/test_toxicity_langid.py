@@ -97,6 +97,15 @@ def test_long_texts_are_coded_in_pieces_without_loss(monkeypatch):
     assert (coder.lengths(texts) == whole).all()
 
 
+def test_many_languages_are_coded_in_groups(monkeypatch):
+    texts = [b"abcab cabd" * 3, b"bcd", b"zzz aaa"]
+    fold_ = langid.fold_table(texts)
+    model = {"fold": fold_, "langs": ["x", "y", "z"], "trees": {k: langid.count_tree([t], fold_) for k, t in zip("xyz", texts)}}
+    whole = langid.Coder(model).lengths(texts)
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    assert (langid.Coder(model).lengths(texts) == whole).all() and whole.argmin(1).tolist() == [0, 1, 2]
+
+
 def test_language_accuracy_and_und(spark):
     r = random.Random(8)
     make = lambda ends: " ".join(r.choice(["ka", "mo", "te"]) + r.choice(ends) for _ in range(25))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.winnowing import let
+
 #: The control strings of the template.
 TURN, END = "###", "</turn>"
 _CONTROL = r"(\\*)(###|</turn>)"
@@ -83,8 +85,9 @@ def format_chats(conversations: DataFrame, loss_role: str = ASSISTANT) -> DataFr
     chats = chats.withColumn("parsed", F.when(_same(F.col("parsed"), F.col("source")), F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")).cast("array<struct<role:string,raw:string,text:string,role_chars:int>>")))
     # "### " role ": " raw "\n</turn>\n"
     chats = chats.withColumn("sizes", F.transform("parsed", lambda t: F.lit(6) + t["role_chars"] + F.char_length(t["raw"]) + F.lit(9)))
-    chats = chats.withColumn("ends", F.aggregate("sizes", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
-    starts = F.transform("parsed", lambda t, i: F.struct(t["role"].alias("role"), (F.get("ends", i) + F.lit(6) + t["role_chars"]).alias("start"), F.char_length(t["raw"]).alias("n")))
+    ends = F.aggregate("sizes", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    # bound once: inside a lambda of its own it would be summed anew for each turn
+    starts = let(ends, lambda e: F.transform("parsed", lambda t, i: F.struct(t["role"].alias("role"), (F.get(e, i) + F.lit(6) + t["role_chars"]).alias("start"), F.char_length(t["raw"]).alias("n"))))
     lossy = F.filter(starts, lambda t: t["role"] == loss_role)
     return chats.select(
         "conv_id", "formatted", "escaped",

@@ -4,8 +4,8 @@ Features are the distinct words of a text (A-Z lower-cased) and the beginnings o
 endings). Those whose presence goes with the label are chosen by a G test with a document-frequency floor;
 identity terms are always features. The logistic loss gets two
 penalties: the squared weights, and for every labelled sentence that names a group the squared change of its
-score when the group's term is swapped for each other term of the same kind. Neutral mentions of a group then
-move no score.
+score when the group's term is swapped for each other term of the same kind; the change counts all features of
+the sentence, so also the stems that come and go with the terms. Neutral mentions of a group then move no score.
 
 The classifier is fitted on a bounded seeded sample of labelled rows (`max_rows`); scoring covers all texts.
 
@@ -46,10 +46,17 @@ IDENTITY = (
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def plain_words(text: bytes | None) -> set[bytes]:
+    return set(text.translate(WORD_BYTES).split()) if text else set()
+
+
+def with_stems(words: set[bytes]) -> set[bytes]:
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+
+
 def words_of(text: bytes | None) -> set[bytes]:
     """The distinct words, and the beginnings of longer words with a trailing asterisk."""
-    words = set(text.translate(WORD_BYTES).split()) if text else set()
-    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+    return with_stems(plain_words(text))
 
 
 @dataclass
@@ -91,32 +98,39 @@ def train(rows: list[tuple[bytes | None, int]], fairness: float = 1.0, ridge: fl
     index = [np.fromiter(sorted(col[w] for w in words_of(t) & col.keys()), np.int64) for t, _ in rows]
     row = np.repeat(np.arange(len(index)), [len(i) for i in index])
     at = np.concatenate(index) if len(index) else np.zeros(0, np.int64)
-    # counterfactual pairs: the swap takes term a out and puts b in, so the change of score is w[b] - w[a]
-    pairs: Counter = Counter()
-    place = {col[w]: w for w in terms}
-    for own in index:
-        named = {int(i) for i in own if int(i) in place}
+    # counterfactual swaps: the columns that go and those that come where a sentence has term b in the place of term a
+    swaps: Counter = Counter()
+    for text, _ in rows:
+        words = plain_words(text)
+        named = words & terms.keys()
         for a in named:
-            for b in (col[t.encode()] for t in IDENTITY[terms[place[a]]]):
+            rest = with_stems(words - {a})
+            lost = (with_stems({a}) - rest) & col.keys()
+            for b in (t.encode() for t in IDENTITY[terms[a]]):
                 if b not in named:
-                    pairs[a, b] += 1
-    pa_, pb_, pn = (np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array(list(pairs.values()), float))
+                    new = (with_stems({b}) - rest) & col.keys()
+                    swaps[tuple(sorted(col[x] for x in lost - new)), tuple(sorted(col[x] for x in new - lost))] += 1
+    sn = np.array([swaps[k] for k in sorted(swaps)], float)
+    width = np.array([len(out) + len(in_) for out, in_ in sorted(swaps)], np.int64)
+    srow = np.repeat(np.arange(len(sn)), width)
+    sat = np.array([c for out, in_ in sorted(swaps) for c in out + in_], np.int64)
+    sign = np.array([d for out, in_ in sorted(swaps) for d in [-1.0] * len(out) + [1.0] * len(in_)])
     w, n = np.zeros(len(names) + 1), len(y)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     look, last = w.copy(), w.copy()
     # each weight steps by a bound of its own curvature (a row's features share its quarter), so rare words learn too
     own = np.bincount(row, minlength=n) + 1.0
     curve = np.concatenate((np.bincount(at, own[row], minlength=len(names)) / 4 + ridge, [own.sum() / 4]))
-    if len(pn):
-        curve[:-1] += 2 * fairness * (np.bincount(pa_, pn, minlength=len(names)) + np.bincount(pb_, pn, minlength=len(names)))
+    if len(sn):
+        curve[:-1] += fairness * np.bincount(sat, (sn * width)[srow], minlength=len(names))
     for k in range(steps):
         z = look[-1] + np.bincount(row, look[at], minlength=n)
         e = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
         grad = np.concatenate((np.bincount(at, e[row], minlength=len(names)), [e.sum()]))
         grad[:-1] += ridge * look[:-1]
-        if len(pn):
-            d = fairness * pn * (look[pb_] - look[pa_])
-            grad[:-1] += np.bincount(pb_, d, minlength=len(names)) - np.bincount(pa_, d, minlength=len(names))
+        if len(sn):
+            d = fairness * sn * np.bincount(srow, sign * look[sat], minlength=len(sn))
+            grad[:-1] += np.bincount(sat, sign * d[srow], minlength=len(names))
         w = look - grad / curve
         look = w + k / (k + 3) * (w - last)
         last = w

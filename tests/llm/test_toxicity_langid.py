@@ -49,6 +49,23 @@ def test_counterfactual_penalty_draws_group_terms_together(corpus):
     assert gap(toxicity.train(data, fairness=20.0)) < 0.3 * gap(toxicity.train(data, fairness=0.0))
 
 
+@pytest.mark.parametrize("pair", [("women", "men"), ("muslims", "christians"), ("black", "white")])
+def test_score_of_a_swapped_sentence_hardly_changes(pair):
+    bad_term, good_term = pair
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(3))
+    rows = []
+    for i in range(800):
+        bad = i % 2
+        rows.append((" ".join([word() for _ in range(8)] + [bad_term if bad else good_term] * (i % 3 > 0)).encode(), bad))
+    m = toxicity.train(rows, fairness=20.0)
+    sentence = f"abc def {bad_term} gab".encode()
+    swapped = sentence.replace(bad_term.encode(), good_term.encode())
+    assert abs(m.score(sentence) - m.score(swapped)) < 0.1
+    free = toxicity.train(rows, fairness=0.0)
+    assert abs(free.score(sentence) - free.score(swapped)) > 0.5
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.digest(docs, spark.createDataFrame([], LABELS)).first().score < 1e-9

@@ -28,6 +28,7 @@ from geoloom.llm.common import CELL_ROWS, WORD, packed, salt_bits, salted_rank,
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 77_003
 #: Cells of the knapsack table; the rest of a budget is brought below it by taking long documents first.
+#: Lengths over half of it are settled before, by rounding their share to what the shorter ones can fill up.
 TABLE = 1 << 20
 
 
@@ -53,7 +54,7 @@ def targets(sizes: np.ndarray, weights: np.ndarray, budget: float, most: float)
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length (at most its count) sum to the reachable total nearest `budget` from below or above."""
     take = np.zeros(len(lengths), np.int64)
-    top = int(budget + (lengths.max() if len(lengths) else 0))
+    top = int(budget + min(budget, lengths.max() if len(lengths) else 0))  # a total over twice the budget is no nearer than none
     from_ = np.full(top + 1, -1, np.int32)  # the item by which a total was first reached
     reach = np.zeros(top + 1, bool)
     reach[0] = True
@@ -91,16 +92,32 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, table: int = TAB
         return 0, np.zeros(len(lengths), np.int64)
     want = int(round(target))
     passes, rest = divmod(want, total)
-    quota = (counts * rest) // total  # the same fraction of every length
-    rest -= int((quota * lengths).sum())
-    spare = counts - quota
+    long, quota, below = lengths > table // 2, np.zeros(len(lengths), np.int64), total
+    for i in sorted(np.flatnonzero(long), key=lambda i: -lengths[i]):
+        n, of = int(lengths[i]), int(counts[i])
+        share = (2 * of * rest + below) // (2 * below) if rest > 0 else 0
+        below -= n * of  # what the shorter lengths hold
+        most, least = max(0, min(of, rest // n)), max(0, -((below - rest) // n))
+        if least > most:  # too few words or too many: the nearer
+            share = least if least <= of and n * least - rest < rest - n * most - below else most
+        quota[i] = min(max(share, least), most) if least <= most else share
+        rest -= int(quota[i]) * n
+    total, rest = below, min(max(rest, 0), below)
+    if not total:
+        return passes, quota
+    part = np.where(long, 0, (counts * rest) // total)  # the same fraction of every length
+    quota += part
+    rest -= int((part * lengths).sum())
+    spare = np.where(long, 0, counts - part)
+    held = table - int(lengths[~long].max())  # budgets whose totals fit into the table
     for i in np.argsort(-lengths, kind="stable"):  # longer lengths first, down to what the table holds
-        over = rest - table + int(lengths.max())
+        over = rest - held
         if over <= 0:
             break
-        k = min(int(spare[i]), over // int(lengths[i]) if lengths[i] else 0)
+        k = min(int(spare[i]), over // int(lengths[i]) if lengths[i] else 0)  # over < rest: the rest stays above 0
         quota[i], spare[i], rest = quota[i] + k, spare[i] - k, rest - k * int(lengths[i])
-    return passes, quota + knapsack(lengths, spare, rest)
+    quota[~long] += knapsack(lengths[~long], spare[~long], rest)
+    return passes, quota
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", ids: tuple[str, ...] = ("doc_id",), share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -63,6 +63,17 @@ def test_small_table_still_meets_the_budget():
         assert (quota <= counts).all() and passes * total + int((quota * lengths).sum()) == round(target)
 
 
+@pytest.mark.parametrize("lengths, counts, near", [([20_000, 2_000_000], [500, 1], 10_000), ([3, 20_000, 1_048_577, 2_000_000], [7, 500, 2, 3], 10_000), ([5_000_000], [1], 2_500_000)])
+def test_texts_longer_than_the_table(lengths, counts, near):
+    lengths, counts = np.array(lengths), np.array(counts)
+    total = int((lengths * counts).sum())
+    for share in (0.0, 0.0001, 0.3, 0.9, 1.0, 1.25, 2.0):
+        passes, quota = mixing.fit(lengths, counts, share * total)
+        assert (quota >= 0).all() and (quota <= counts).all()
+        off = abs(passes * total + int((quota * lengths).sum()) - round(share * total))
+        assert off <= near and (share % 1 or (passes == share and not quota.any()))
+
+
 def test_mix_takes_the_target_of_each_source(spark, docs, rows):
     out = mixing.digest(docs).collect()
     assert len(out) == len(rows)

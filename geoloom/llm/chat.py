@@ -9,11 +9,12 @@ ends at the first line that is an unescaped `</turn>`; inside, one backslash bef
 backslashed) control string is dropped. A rendered conversation is parsed and the turns compared with the
 source; while they differ, every control string in the conflicting conversation's contents gets one more
 backslash and the text is rendered and compared again. One round of escaping always suffices (the unescape
-drops exactly the added backslash), and a conversation that still differed would stop the job.
+drops exactly the added backslash; roles are always escaped), and a conversation that still differed would stop the
+job.
 
 Defined cases: null role or text is the empty string; rows are ordered by turn (null first), ties by role and
 text; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored; long texts and long conversations take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -48,10 +49,14 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # a double backslash is set aside first, so that what follows it is not taken for an escape
-    for a, b in (("\\\\", "\x00\x01"), ("\\n", "\n"), ("\\c", ":"), ("\\h", "###"), ("\x00\x01", "\\")):
-        role = F.replace(role, F.lit(a), F.lit(b))
-    return role
+    """One pass from left to right: what lies between double backslashes holds no other escaped backslash."""
+
+    def plain(part: Column) -> Column:
+        for a, b in (("\\n", "\n"), ("\\c", ":"), ("\\h", "###")):
+            part = F.replace(part, F.lit(a), F.lit(b))
+        return part
+
+    return F.array_join(F.transform(F.split(role, r"\\\\"), plain), "\\")
 
 
 def render(turns: Column, with_escape: bool) -> Column:
@@ -75,7 +80,8 @@ def _same(parsed: Column, turns: Column) -> Column:
 
 def format_chats(conversations: DataFrame, loss_role: str = ASSISTANT) -> DataFrame:
     """conv_id, formatted, escaped (whether a round of escaping was needed), turns (role, text; parsed back),
-    loss_spans (start, end: code points of `formatted` whose tokens bear loss) and loss_texts (unescaped)."""
+    loss_spans (start, end: code points of `formatted` whose tokens bear loss) and loss_texts (what stands at the spans,
+    unescaped)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("source"))  # gathered on the map side first
     chats = chats.withColumn("plain", render(F.col("source"), False)).withColumn("plain_turns", parse(F.col("plain")))
@@ -85,24 +91,33 @@ def format_chats(conversations: DataFrame, loss_role: str = ASSISTANT) -> DataFr
     chats = chats.withColumn("parsed", F.when(_same(F.col("parsed"), F.col("source")), F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")).cast("array<struct<role:string,raw:string,text:string,role_chars:int>>")))
     # "### " role ": " raw "\n</turn>\n"
     chats = chats.withColumn("sizes", F.transform("parsed", lambda t: F.lit(6) + t["role_chars"] + F.char_length(t["raw"]) + F.lit(9)))
-    ends = F.aggregate("sizes", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    # bound once: inside a lambda of its own it would be summed anew for each turn
-    starts = let(ends, lambda e: F.transform("parsed", lambda t, i: F.struct(t["role"].alias("role"), (F.get(e, i) + F.lit(6) + t["role_chars"]).alias("start"), F.char_length(t["raw"]).alias("n"))))
+    starts = F.zip_with("parsed", sums_before(F.col("sizes")), lambda t, s: F.struct(t["role"].alias("role"), t["text"].alias("text"), (s + F.lit(6) + t["role_chars"]).alias("start"), F.char_length(t["raw"]).alias("n")))
     lossy = F.filter(starts, lambda t: t["role"] == loss_role)
     return chats.select(
         "conv_id", "formatted", "escaped",
         F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
         F.transform(lossy, lambda t: F.struct(t["start"].alias("start"), (t["start"] + t["n"]).alias("end"))).alias("loss_spans"),
+        F.transform(lossy, lambda t: t["text"]).alias("loss_texts"),
     )
 
 
-def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, read from the formatted conversation."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + F.lit(1), s["end"] - s["start"]))), "")
+def sums_before(sizes: Column, block: int = 128) -> Column:
+    """For each element the sum of those before it. Sums run within blocks, so the work for an element is bounded by
+    the block and the number of blocks and not by the length of the array."""
+
+    def running(of: Column, first: Column) -> Column:  # first, first + of[0], ...: one more than there are elements
+        return F.aggregate(of, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    zero = F.lit(0).cast("int")
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / block).cast("int") - 1, zero)), lambda b: F.slice(s, b * block + 1, F.lit(block)))
+    befores = lambda ps: running(F.transform(ps, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+    within = lambda ps, before: F.flatten(F.zip_with(ps, F.slice(before, F.lit(1), F.size(ps)), lambda p, b: F.slice(running(p, b), F.lit(1), F.size(p))))
+    # bound once: inside the lambda of an element they would be made anew for each element
+    return let(sizes, lambda s: let(parts(s), lambda ps: let(befores(ps), lambda before: within(ps, before))))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    loss = masked_text(F.col("formatted"), F.col("loss_spans"))
+    loss = F.array_join("loss_texts", "")  # as the parser read them at the spans
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = formatted.withColumn("__loss", loss)
     return out.select(

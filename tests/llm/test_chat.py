@@ -1,5 +1,8 @@
 import hashlib
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from geoloom.llm import chat
 
@@ -42,3 +45,37 @@ def test_loss_spans_lie_in_the_formatted_text(spark):
 
 def test_empty_table(spark):
     assert chat.digest(chat.format_chats(spark.createDataFrame([], DDL))).count() == 0
+
+
+def test_roles_may_hold_any_characters(spark):
+    odd = ["\x00\x01", "\\", "\\\\", "\\n", "\\\n", "\\\\n:c\\c", "\x00\x01\\h###", "###\\###", "n\\\\\\n", ":\\:", ""]
+    check(spark, [(i, k, role, role, None) for i, role in enumerate(odd) for k in range(2)])
+
+
+def test_sums_before_match_plain_sums(spark):
+    r = random.Random(9)
+    for n in (0, 1, 2, 127, 128, 129, 1000):
+        sizes = [r.randint(0, 50) for _ in range(n)]
+        got = spark.createDataFrame([(sizes,)], "s array<int>").select(chat.sums_before(F.col("s")).alias("b")).first().b
+        assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    def took(n):
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('é some words ', id, '\\n</turn>\\n', repeat('x', 40)) text", "'x' formatted")
+        began = time.perf_counter()
+        got = chat.digest(chat.format_chats(rows)).first()
+        assert got.n_turns == n and got.escaped
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 10
+
+
+def test_spans_hold_the_loss_texts(spark):
+    rows = [(i % 3, i, "assistant" if i % 2 else "user", f"é {i} " + "</turn>\n### x: " * (i % 5), None) for i in range(900)]
+    for row in chat.format_chats(spark.createDataFrame(rows, DDL)).collect():
+        texts = [t.text for t in row.turns if t.role == "assistant"]
+        assert row.loss_texts == texts
+        at = [row.formatted[s.start : s.end] for s in row.loss_spans]
+        assert [x.replace("\\</turn>", "</turn>").replace("\\###", "###") for x in at] == texts

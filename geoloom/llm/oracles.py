@@ -29,3 +29,33 @@ with b as (select item_id, {_WORDS} w from benchmark where text is not null),
  t as (select rid, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct rid, cast(item_id as varchar) s from h where item_id is not null) group by rid)
 select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join p using (rid) left join t using (rid)"""
+
+
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def op6(rules, min_confidence: float, min_support: float, min_rows: int, max_items: int) -> str:
+    """The mining is by enumeration: every part of a labelled URL's frequent tokens is counted with each label."""
+    given = " union all ".join(f"select '{h}' rh, '{p}' rp, '{v}' rv" for h, p, v in rules)
+    return rf"""
+with g as ({given}),
+ p as (select row_number() over () rid, page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end rest from pages),
+ h as (select rid, page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}, {_LOWER}), '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from p),
+ t as (select *, case when host = '' then [] else list_sort(list_distinct(list_concat(list_concat(list_concat(
+     list_transform(string_split(host, '.'), lambda x: 'host:' || x), list_transform(list_filter(string_split(path, '/'), lambda x: regexp_matches(x, '^[^0-9.]+\z')), lambda x: 'path:' || x)),
+     list_concat(list_transform(regexp_extract_all(path, '\.([A-Za-z0-9]+)\z', 1), lambda x: 'end:' || x), list_transform(regexp_extract_all(url, '[?&]([^=&#]+)', 1), lambda x: 'key:' || x))),
+     ['scheme:' || split_part(url, '://', 1), 'site:' || regexp_extract(host, '([^.]+\.[^.]+)\z', 1)]))) end toks from h),
+ l as (select doc_id, max(quality) = 0 bad from labels where quality is not null and doc_id is not null group by 1),
+ s as (select t.rid, toks, bad from t join l on page_id = doc_id where url is not null and len(toks) > 0),
+ z as (select count(*) n, count(*) filter (bad) n_bad, greatest({min_rows}, cast(ceil({min_support} * count(*)) as bigint)) least from s),
+ f as (select tok, count(*) df from (select unnest(toks) tok from s) group by 1 having count(*) >= (select least from z)),
+ k as (select rid, bad, list(tok order by df desc, tok)[1:{max_items}] ts from (select rid, bad, unnest(toks) tok from s) join f using (tok) group by 1, 2),
+ i as (select list_sort(list_filter(ts, lambda x, j: (m >> (j - 1)) & 1 = 1)) toks, bad from (select ts, bad, unnest(range(1, cast(pow(2, len(ts)) as bigint))) m from k)),
+ c as (select toks, count(*) n, count(*) filter (bad) b, count(*) filter (not bad) a from i group by 1),
+ r as (select toks need, 'block' v, b / cast(c.n as double) conf from c, z where b >= least and b / cast(c.n as double) >= {min_confidence} and b / cast(c.n as double) > (1 + 1e-9) * n_bad / z.n
+   union all select toks, 'allow', a / cast(c.n as double) from c, z where a >= least and a / cast(c.n as double) >= {min_confidence} and a / cast(c.n as double) > (1 + 1e-9) * (z.n - n_bad) / z.n),
+ u as (select rid, rh || rp rule, rv from t join g on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) qualify row_number() over (partition by rid order by length(rh || rp) desc) = 1),
+ q as (select distinct toks from t where len(toks) > 0),
+ m as (select toks, v from q join r on list_has_all(toks, need) qualify row_number() over (partition by toks order by conf desc, v desc) = 1)
+select page_id, host, path, rule, coalesce(rv, v, 'allow') verdict, case when rule is not null then 'rule' when v is not null then 'mined' else 'default' end "by"
+from t left join u using (rid) left join m using (toks)"""

@@ -1,25 +1,29 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is its words between white space (A-Z lower-cased). Words are hashed, runs of `k` words by a polynomial of
-their hashes, and of each `window` neighbouring runs the least hash is kept, the rightmost on ties, with its
-position. Two texts that share a span of k + window - 1 words share the span's fingerprint there. A text of fewer
+A text is its words between white space (A-Z lower-cased). Words are hashed (XXH64), and runs of `k` words get a rolling
+hash, a cyclic polynomial of the words' hashes: h(i) turned left by k-1 bits, xor h(i+1) turned by k-2, ... xor
+h(i+k-1). The hash of a long run is rolled up from those of two shorter ones. Of each `window` neighbouring runs the
+least hash (as a signed number) is kept, the rightmost on ties, with its position; the least of a window is that of two
+half windows. Two texts that share a span of k + window - 1 words share the span's fingerprint there. A text of fewer
 runs than a window keeps its least one; a text of fewer than k words is one run of all it has.
 
-The fingerprint is written as `hash@position` pairs (hex digits and a decimal position in words) joined by commas;
+The fingerprint is written as `hash@position` pairs (16 hex digits and a decimal position in words) joined by commas;
 the likeness of two fingerprints is the Jaccard likeness of their hashes.
 
 The next document (descending id) is found without a sort in one task: documents are dealt into ranges of ids, a
 window leads within each range, and the last one of a range takes the first of the next non-empty range (one row
-for each range).
+for each range). Null ids, and an id with a large share of the rows, are dealt further by a hash of the text.
 
 Defined cases: null is the empty text, and an empty text has the empty fingerprint; two empty fingerprints are
-alike (1), an empty and another are not (0); equal ids are ordered by text, descending, and equal rows follow one
-another; null ids come last; a single document is its own next; an empty table gives an empty result; extra
-columns are ignored.
+alike (1), an empty and another are not (0); equal ids are ordered by XXH64 of the text and then by text, descending,
+and equal rows follow one another; null ids come last; a single document is its own next; an empty table gives an empty
+result; extra columns are ignored; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +33,8 @@ RANGE_ROWS, QUANTILES = 1_024, 1_024
 #: Ranges whose heads are broadcast (16 bytes each).
 BROADCAST_RANGES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A pick is one long: 38 bits of hash, then the position counted down, so that the rightmost is least on ties.
-HASH_BITS, POSITION_BITS = 38, 25
-_LAST = (1 << POSITION_BITS) - 1
+#: Tasks that the ranges are dealt to, at most, and bounds that are looked through at once.
+MAX_TASKS, BLOCK = 100_000, 32
 
 
 def let(value: Column, body) -> Column:
@@ -44,47 +47,73 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def _turned(h: Column, bits: int) -> Column:
+    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
+
+
+def _rolled(a: Column, b: Column, na: int, nb: int) -> Column:
+    """Hashes of runs of na + nb words from those of na and of nb words."""
+    return F.transform(F.slice(a, F.lit(1), F.greatest(F.size(b) - F.lit(na), F.lit(0))), lambda h, i: _turned(h, nb).bitwiseXOR(F.get(b, i + F.lit(na))))
+
+
 def runs(hashes: Column, k: int = K) -> Column:
     """Hashes of all runs of k words (one run of all words if they are fewer, none if there are none)."""
 
+    def grown(have: Column, n: int, double: Column, m: int) -> Column:
+        # `have` is of runs of n words, `double` of runs of m words, a power of two; the rest of k is made of doubles
+        if n == k:
+            return have
+        rest = k - n
+        if m * 2 <= rest:
+            return let(_rolled(double, double, m, m), lambda d: grown(have, n, d, m * 2))
+        return let(_rolled(have, double, n, m), lambda h: grown(h, n + m, hashes_, 1))
+
     def of(h: Column) -> Column:
+        nonlocal hashes_
+        hashes_ = h
         n = F.size(h)
-        full = F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda i: F.xxhash64(*[F.get(h, i + F.lit(j)) for j in range(k)]))
-        whole = F.array(F.aggregate(h, F.lit(7).cast("long"), lambda a, x: F.xxhash64(a, x)))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(full)
+        whole = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _turned(a, 1).bitwiseXOR(x)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(grown(h, 1, h, 1))
 
+    hashes_ = hashes
     return let(hashes, of)
 
 
 def picks(grams: Column, window: int = WINDOW) -> Column:
-    """Distinct (hash, position) codes of each window's least hash; the rightmost place wins a tie."""
-
-    def code(h: Column, i: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(h, 64 - HASH_BITS), POSITION_BITS) + (F.lit(_LAST).cast("long") - F.pmod(i, F.lit(_LAST + 1)))
+    """Positions of each window's least hash, each once; the rightmost wins a tie."""
 
     def of(g: Column) -> Column:
         n = F.size(g)
-        many = F.transform(F.sequence(F.lit(1), n - F.lit(window - 1)), lambda i: F.array_min(F.slice(g, i, F.lit(window))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= window, F.array(F.array_min(g))).otherwise(F.array_distinct(many))
 
-    return let(F.transform(grams, code), of)
+        def better(p: Column, q: Column) -> Column:  # q lies to the right of p
+            return F.when(F.get(g, q) <= F.get(g, p), q).otherwise(p)
 
+        def wider(p: Column, span: int) -> Column:
+            if span == window:
+                return p
+            by = min(span, window - span)
+            next_ = F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - F.lit(by), F.lit(0))), lambda x, i: better(x, F.get(p, i + F.lit(by))))
+            return let(next_, lambda w: wider(w, span + by))
 
-def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """Pick codes in text order."""
-    return picks(runs(word_hashes(F.coalesce(text, F.lit(""))), k), window)
+        every = F.sequence(F.lit(0), F.greatest(n - F.lit(1), F.lit(0)))
+        one = F.array(F.aggregate(every, F.lit(0), better))
+        return F.when(n == 0, F.array().cast("array<int>")).when(n <= window, one).otherwise(F.array_distinct(let(every, lambda p: wider(p, 1))))
+
+    return let(grams, of)
 
 
-def hashes_of(codes: Column) -> Column:
-    return F.array_distinct(F.transform(codes, lambda c: F.shiftright(c, POSITION_BITS)))
+def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """hashes and positions of the picks, in text order."""
+    grams = runs(word_hashes(F.coalesce(text, F.lit(""))), k)
+    return let(grams, lambda g: let(picks(g, window), lambda p: F.struct(F.transform(p, lambda i: F.get(g, i)).alias("hashes"), p.alias("positions"))))
 
 
-def positions_of(codes: Column) -> Column:
-    return F.transform(codes, lambda c: (F.lit(_LAST) - c.bitwiseAND(F.lit(_LAST))).cast("int"))
+def hashes_of(print_: Column) -> Column:
+    return F.array_distinct(print_["hashes"])
 
 
-def written(codes: Column) -> Column:
-    return F.array_join(F.transform(codes, lambda c: F.concat(F.lower(F.hex(F.shiftright(c, POSITION_BITS))), F.lit("@"), (F.lit(_LAST) - c.bitwiseAND(F.lit(_LAST))).cast("string"))), ",")
+def written(print_: Column) -> Column:
+    return let(print_, lambda x: F.array_join(F.zip_with(x["hashes"], x["positions"], lambda h, p: F.concat(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("@"), p.cast("string"))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,33 +122,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, columns: dict[str, Column], range_rows: int = RANGE_ROWS, quantiles: int = QUANTILES) -> DataFrame:
-    """doc_id, text, the given columns of both, and text and columns of the next document as next_<name>."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    n = ids.count()
+def id_ranges(ids: DataFrame, n: int, range_rows: int, quantiles: int):
+    """A function that gives a row's range from doc_id and text: a long, greater for greater (id, hash of the text)."""
     q = min(quantiles, max(1, n // range_rows))
-    found = ids.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 100 * q) if q > 1 else F.lit(None).cast("array<bigint>"), F.min("doc_id"), F.max("doc_id")).first()
-    cuts = sorted({found[1] or 0, *(found[0] or []), (found[2] or 0) + 1})  # at most `quantiles` + 1 numbers
-    even = max(1, -(-n // (range_rows * max(1, len(cuts) - 1))))
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    at = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    part = F.floor((F.col("doc_id") - F.get(bounds, F.col("__at") - 1)).cast("double") / (F.get(bounds, F.col("__at")) - F.get(bounds, F.col("__at") - 1)) * even) if even > 1 else F.lit(0)
+    found = ids.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 100 * q) if q > 1 else F.lit(None).cast("array<bigint>"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = list(found[0] or [])
+    low, high = found[1] or 0, found[2] or 0
+    shares = Counter(cuts)
+    heavy = {v: k for v, k in shares.items() if k > 1}  # an id that fills several quantiles has a range of its own
+    bounds = sorted({low, *cuts, *(v + 1 for v in heavy if v < high)})
+    even = max(1, -(-n // (range_rows * q)))
+    parts = [even * (heavy.get(b, 0) + 2) if b in heavy else even for b in bounds]
+    none = max(1, -(-found[3] // range_rows))
+    most = max(*parts, none) + 1
+    blocks = [bounds[i : i + BLOCK] for i in range(0, len(bounds), BLOCK)]
+    longs = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values])
+    doubles = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    # the number of bounds up to the id: first by whole blocks, then within one
+    block = F.size(F.filter(longs([b[0] for b in blocks]), lambda b: b <= F.col("doc_id"))) - 1
+    within = F.size(F.filter(F.get(F.array(*[longs(b) for b in blocks]), F.col("__block")), lambda b: b <= F.col("doc_id")))
+    by_hash = bool(heavy) or found[3] > range_rows
+    turn = (F.xxhash64("text").cast("double") + 2.0**63) / 2.0**64 if by_hash else F.lit(0.0)
 
     def ranged(df: DataFrame) -> DataFrame:
-        return df.withColumn("__at", at).withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.col("__at") * F.lit(even).cast("long") + part)).drop("__at")
+        at = F.col("__at")
+        begin, end = F.get(doubles(bounds), at), F.get(doubles([*bounds[1:], high + 1]), at)
+        share = F.when(F.get(F.array(*[F.lit(b in heavy) for b in bounds]), at), F.col("__turn")).otherwise((F.col("doc_id").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)))
+        count = F.get(longs(parts), at)
+        part = F.greatest(F.least(F.floor(share * count), count - 1), F.lit(0).cast("long"))
+        out = df.withColumn("__turn", turn).withColumn("__block", block).withColumn("__at", F.col("__block") * BLOCK + within - 1)
+        of_null = F.least(F.floor(F.col("__turn") * none), F.lit(none - 1))
+        return out.withColumn("range", F.when(F.col("doc_id").isNull(), of_null).otherwise((at.cast("long") + 1) * most + part).cast("long")).drop("__turn", "__block", "__at")
+
+    return ranged, by_hash
 
+
+def with_next(docs: DataFrame, columns: dict[str, Column], range_rows: int = RANGE_ROWS, quantiles: int = QUANTILES) -> DataFrame:
+    """doc_id, text, the given columns of both, and text and columns of the next document as next_<name>."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = rows.count()
+    ranged, by_hash = id_ranges(rows.select("doc_id"), n, range_rows, quantiles)
     # the first document of the next lower range that has any goes to the end of each range as well
-    heads = ranged(ids).groupBy("range").agg(F.max("doc_id").alias("head"))
+    heads = ranged(rows if by_hash else rows.select("doc_id")).groupBy("range").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy(F.desc("range"))  # one narrow row for each range
     around = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nexts = heads.select("range", F.when(F.lead("range").over(order).isNotNull(), F.struct(F.lead("head").over(order).alias("id"))).otherwise(F.struct(F.first("head").over(around).alias("id"))).alias("next")).select("range", F.col("next.id").alias("next_id"))
-    if n <= RANGE_ROWS * BROADCAST_RANGES:  # a row of two numbers for each range; beyond that texts are dealt by id
+    following = F.coalesce(F.lead(F.struct("range", "head")).over(order), F.first(F.struct("range", "head")).over(around))
+    nexts = heads.select("range", following.alias("next")).select(F.col("range").alias("before"), F.col("next.range").alias("range"), F.col("next.head").alias("head"))
+    if n <= RANGE_ROWS * BROADCAST_RANGES:  # a row of three numbers for each range; beyond that texts are dealt by range
         nexts = F.broadcast(nexts)
-    ends = rows.join(nexts, rows["doc_id"].eqNullSafe(nexts["next_id"])).groupBy("range").agg(F.max("text").alias("text"))
-    dealt = ranged(rows).withColumn("__end", F.lit(False)).unionByName(ends.select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(True).alias("__end")))
-    dealt = dealt.repartition("range").withColumns(columns)
-    by = Window.partitionBy("range").orderBy("__end", F.desc_nulls_last("doc_id"), F.desc("text"))
+    firsts = ranged(rows).join(nexts, "range").filter(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("before").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    ends = firsts.select(F.lit(None).cast("long").alias("doc_id"), F.col("m.text").alias("text"), F.col("before").alias("range"), F.lit(True).alias("__end"))
+    dealt = ranged(rows).withColumn("__end", F.lit(False)).unionByName(ends)
+    dealt = dealt.repartition(max(1, min(MAX_TASKS, -(-n // (4 * range_rows)))), "range").withColumns(columns)
+    by = Window.partitionBy("range").orderBy("__end", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
     return dealt.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("text", *columns)}).filter(~F.col("__end")).drop("__end", "range")
 
 

@@ -23,15 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a local one only where the session sets none (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` once to the shared folder and returns the written table: later jobs never rerun its lineage."""
+    """The folder that `spark.checkpoint.dir` names. Only a session on one machine may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
+
+
+def cut(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Writes `df` once to the shared folder and returns the written table: later jobs never rerun its lineage.
+    `batch_rows` bounds the rows that Python workers get at once, for rows that are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if batch_rows:
+            spark.conf.set(setting, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,10 +107,10 @@ def unskewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     least = left.count() / HOT_SHARE
     hot = [r[0] for r in counts.filter(F.col("__n") > least).select(key).collect()]
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    some = right.filter(is_hot)
-    warm = left.filter(is_hot).join(F.broadcast(some), key, how)
-    cold = left.filter(~F.coalesce(is_hot, F.lit(False))).join(right, key, how)
-    return warm.unionByName(cold)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = left.filter(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
+    if hot:
+        out = out.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+    if how == "left":  # null keys meet nothing and would be dealt to one task
+        out = out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return out

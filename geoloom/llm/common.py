@@ -72,6 +72,13 @@ def seeded(seed: int, *cols: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
+def drawn(seed: int, *cols: Column | str) -> Column:
+    """A draw of 60 bits (the upper ones of a long) from the MD5 of the seed and the columns, null ones left out, as text
+    between bars: any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.shiftleft(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), 4)
+
+
 def salt_bits(rows: int, cell_rows: int = CELL_ROWS) -> int:
     """Bits of hash so that `rows` rows of one key fall into cells of about `cell_rows`."""
     return max(0, math.ceil(math.log2(max(1, rows) / cell_rows))) if rows > cell_rows else 0
@@ -101,12 +108,20 @@ def salted_rank(df: DataFrame, keys: Sequence[str], draw: str, ties: Sequence[st
 HOT_SHARE = 200
 
 
-def unskewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """`left` joined with the one row that `right` has for a key. Hot keys of `left` (at most HOT_SHARE by their
-    definition) meet their rows of `right` by broadcast, where their own rows lie; the others are dealt by key."""
+def hot_keys(left: DataFrame, key: str) -> list:
+    """The keys of more than one in HOT_SHARE rows: fewer than HOT_SHARE by their definition."""
     counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    top = counts.orderBy(F.desc("__n")).limit(HOT_SHARE).collect()
+    if not top or top[0]["__n"] < 2:
+        return []
     least = left.count() / HOT_SHARE
-    hot = [r[0] for r in counts.filter(F.col("__n") > least).select(key).collect()]
+    return [r[key] for r in top if r["__n"] > least]
+
+
+def unskewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """`left` joined with the one row that `right` has for a key. Hot keys of `left` meet their rows of `right` by
+    broadcast, where their own rows lie; the others are dealt by key."""
+    hot = hot_keys(left, key) if hot is None else hot
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     out = left.filter(F.col(key).isNotNull() & ~is_hot).join(right, key, how)
     if hot:

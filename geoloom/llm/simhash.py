@@ -5,10 +5,12 @@ the whole sequence), each hashed by XXH64 with seed 42; a bit is 1 if it is set
 
 Join: two fingerprints that differ in at most `budget` bits agree wholly in one of `budget`+1 blocks of bits.
 Each distinct fingerprint goes once to each block's bucket (block, its bits); within a bucket the fingerprints,
-rotated so that the block leads, form a binary trie below the bucket's node. Pairs of nodes are traversed
+with the bucket's bits moved to the front, form a binary trie below the bucket's node. Pairs of nodes are traversed
 together from (bucket, bucket): each level adds one differing bit for unlike children, and a pair whose sum
 exceeds the budget is pruned. Pairs of small nodes are finished by comparing their few leaves. A bucket above
-`hot_rows` is dealt again by the blocks of its remaining bits, so that no bucket grows into one task.
+`hot_rows` is dealt again by blocks of its free bits, up to `LEVELS` times in all: fingerprints of texts that are not
+alike are in buckets of N / 2**12 at the first level and of N / 2**22 at the second. What is then in one bucket still
+is a cluster within few bits, 8 bytes a fingerprint.
 Copies share one fingerprint and are never paired. A task returns each linked fingerprint with the least one it
 reaches there (lossless for components), and components come from alternating star contractions whose rounds
 are cut in the shared folder.
@@ -28,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut, drop_cut, packed, unskewed_join
+from geoloom.llm.common import cut, drop_cut, hot_keys, packed, unskewed_join
 
 BITS, SEED, SHINGLE, BUDGET = 64, 42, 4, 4
 #: Leaf pairs that are compared without further descent; node pairs held at once.
 LEAVES, FRONTIER = 64, 1 << 19
-HOT_ROWS = 200_000
+HOT_ROWS, LEVELS = 200_000, 4
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -67,10 +69,36 @@ def fingerprints(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",), text: str
     return source.mapInArrow(run, schema)
 
 
-def blocks(lo: int, width: int, parts: int) -> list[tuple[int, int]]:
-    """`parts` stretches (first bit from the top, width) that cover `width` bits from `lo`."""
-    at = [lo + width * i // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:])]
+def stretches(bits: list[int]) -> list[tuple[int, int]]:
+    """Ascending bit numbers (0: the lowest) as stretches (first, how many)."""
+    out: list[tuple[int, int]] = []
+    for b in bits:
+        if out and out[-1][0] + out[-1][1] == b:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((b, 1))
+    return out
+
+
+def deals(mask: int, budget: int) -> list[int]:
+    """The bits that are fixed when those free in `mask` are cut into budget+1 blocks and one more block is fixed: two
+    fingerprints of one bucket that differ in at most `budget` bits agree in one of these as well."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    parts = budget + 1
+    at = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(at, at[1:])]
+
+
+def moved(fp: np.ndarray, mask: int, back: bool = False) -> np.ndarray:
+    """Fingerprints with the bits of `mask` moved to the front, or such ones moved back."""
+    order = stretches([b for b in range(BITS) if not mask >> b & 1]) + stretches([b for b in range(BITS) if mask >> b & 1])
+    out, to = np.zeros_like(fp), 0
+    for first, n in order:  # from the lowest place up
+        ones = np.uint64((1 << n) - 1)
+        x, y = (to, first) if back else (first, to)
+        out |= ((fp >> np.uint64(x)) & ones) << np.uint64(y)
+        to += n
+    return out
 
 
 def trie_pairs(keys: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -143,56 +171,55 @@ def least_reached(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.
 
 def near_links(fps: DataFrame, budget: int = BUDGET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b), a != b: links whose components are those of all pairs of distinct `fp` within `budget` bits."""
-    parts = blocks(0, BITS, budget + 1)
-
-    def keyed(df: DataFrame, of: list[tuple[int, int]]) -> DataFrame:
-        value = [F.struct(F.lit(a).alias("first"), F.lit(w).alias("width"), F.shiftrightunsigned(F.shiftleft("fp", a), BITS - w).alias("bits")) for a, w in of]
-        return df.select(*df.columns, F.explode(F.array(*value)).alias("__b")).select(*df.columns, "__b.*")
-
     distinct = cut(fps.select("fp").distinct(), "fingerprints")
-    rows = keyed(distinct, parts)
-    counts = rows.groupBy("first", "width", "bits").count()
-    hot = [r.first for r in counts.filter(F.col("count") > hot_rows).select("first").distinct().collect()]  # at most budget+1 values
-    again = F.lit(0).cast("long")
-    if hot:  # the rest of the bits of a hot bucket, in blocks again
-        big = counts.filter(F.col("count") > hot_rows).select("first", "width", "bits", F.lit(True).alias("__hot"))
-        rows = rows.join(big, ["first", "width", "bits"], "left")
-        cold, warm = rows.filter(F.col("__hot").isNull()).drop("__hot"), rows.filter(F.col("__hot")).drop("__hot")
-        pieces = []
-        for a, w in parts:
-            # rotated so that the 64 - w bits after the block lead
-            turned = F.shiftleft("fp", a + w).bitwiseOR(F.shiftrightunsigned("fp", BITS - a - w)) if 0 < a + w < BITS else F.col("fp")
-            sub = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(turned, x), BITS - y).alias("v")) for i, (x, y) in enumerate(blocks(0, BITS - w, budget + 1))])
-            pieces.append(warm.filter(F.col("first") == a).withColumn("__s", F.explode(sub)).withColumn("again", F.xxhash64("__s.i", "__s.v")).drop("__s"))
-        rows = cold.withColumn("again", again)
-        for p in pieces:
-            rows = rows.unionByName(p)
-    else:
-        rows = rows.withColumn("again", again)
-    dealt = rows.select("first", "width", "again", "fp", F.xxhash64("first", "bits", "again").alias("__to")).repartition("__to").drop("__to")
+    as_long = lambda m: m - (1 << 64) if m >> 63 else m
+    open_, done, masks, spent = distinct.withColumn("mask", F.lit(0).cast("long")), None, [0], []
+    for level in range(1, LEVELS + 1):
+        # the masks of a level are known beforehand: (budget + 1) ** level at most, and only those with hot buckets
+        further = {m: deals(m, budget) for m in masks}
+        children = F.create_map(*[x for m, many in further.items() for x in (F.lit(as_long(m)), F.array(*[F.lit(as_long(c)) for c in many]))])
+        rows = open_.select("fp", F.explode(children[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        if level == LEVELS:
+            done = rows if done is None else done.unionByName(rows)
+            break
+        hot = cut(rows.groupBy("mask", "bits").count().filter(F.col("count") > hot_rows).select("mask", "bits"), "simhash-hot")  # at most a 1/hot_rows of the rows
+        masks = [r.mask % (1 << 64) for r in hot.select("mask").distinct().collect()]
+        cold = rows.join(hot, ["mask", "bits"], "left_anti") if masks else rows
+        done = cold if done is None else done.unionByName(cold)
+        spent.append(hot)
+        if not masks:
+            break
+        open_ = cut(rows.join(hot, ["mask", "bits"], "left_semi").select("fp", "mask"), "simhash-open")
+        spent.append(open_)
+    dealt = done.select("mask", "fp", F.xxhash64("mask", "bits").alias("__to")).repartition("__to").drop("__to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        first, width, again, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
-        fp = fp.view(np.uint64)
-        for a, w in sorted(set(zip(first.tolist(), width.tolist()))):
-            of = (first == a) & (width == w)
-            for deal in np.unique(again[of]):
-                mine = fp[of & (again == deal)]
-                key = np.unique((mine << np.uint64(a)) | (mine >> np.uint64(64 - a)) if a else mine)
-                label = least_reached(len(key), trie_pairs(key, w, budget))
-                linked = np.flatnonzero(label != np.arange(len(key)))
-                back = ((key >> np.uint64(a)) | (key << np.uint64(64 - a)) if a else key).view(np.int64)
-                if len(linked):
-                    yield pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[label[linked]])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        mask, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]).view(np.uint64) for i in range(2))
+        order = np.argsort(mask, kind="stable")
+        mask, fp = mask[order], fp[order]
+        edges = np.flatnonzero(np.append(True, mask[1:] != mask[:-1])).tolist() + [len(mask)]
+        for a, b in zip(edges, edges[1:]):
+            m = int(mask[a])
+            key = np.unique(moved(fp[a:b], m))  # buckets of one mask lie next to each other
+            label = least_reached(len(key), trie_pairs(key, m.bit_count(), budget))
+            linked = np.flatnonzero(label != np.arange(len(key)))
+            if len(linked):
+                back = moved(key, m, back=True).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[label[linked]])], ["a", "b"])
+
+    out = cut(dealt.mapInArrow(run, "a long, b long").distinct(), "simhash-links")
+    for x in (distinct, *spent):
+        drop_cut(x)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): every node of the links with the least node of its component (alternating star contraction)."""
+    """(node, root): every node of the links with the least node of its component (alternating star contraction). A
+    giant component's root has most edges as their key: its least neighbour is pre-aggregated and comes back by
+    broadcast."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
     while True:
@@ -201,10 +228,12 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = tuple(now)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = hot_keys(both, "u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # a node is the greater end of its edges to lesser nodes: those of a root are all to greater ones
+        large = unskewed_join(both.filter("v > u"), least, "u", hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        small = unskewed_join(large, down, "u", hot=hot).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         before, edges = edges, cut(small.filter("u <> v").distinct(), "links")
         drop_cut(before)  # the new table stands by itself
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

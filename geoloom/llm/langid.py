@@ -19,7 +19,6 @@ columns are carried; a very long text is coded in pieces that keep their context
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut, drop_cut, seeded, with_fields
+from geoloom.llm.common import cut, drop_cut, seeded
 
 ORDER, UNIT = 3, 1 << 24
 #: Bounds of what is learned from: the most frequent languages, of each so many rows and of their texts so many bytes.
@@ -238,29 +237,26 @@ LETTERS = bytes(97 if 65 <= c <= 90 or 97 <= c <= 122 else 0 for c in range(256)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` with lang_pred and score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+    """`docs` with lang_pred and score; columns of these names are replaced. Of the rows only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # counts of at most MAX_LANGS languages of MAX_BYTES each
-    names = docs.columns
-    source = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("text").cast("binary").alias("__bytes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def told(column: pa.Array) -> pa.Array:
         model = sent.value
-        for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column("__bytes")]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            said = [i for i, t in enumerate(texts) if t and has_letter(t)]
-            if said and model["langs"]:
-                bits = Coders.lengths(model, [texts[i] for i in said]) / UNIT
-                best = bits.argmin(1)
-                sure = 1 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
-                for i, b, p in zip(said, best, sure):
-                    lang[i], score[i] = model["langs"][b], float(p)
-            kept = [c for c in batch.schema.names if c != "__bytes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "__lang", "__score"])
-
-    schema = with_fields(source, [f"__c{k}" for k in range(len(names))], "__lang string, __score double")
-    return source.mapInArrow(run, schema).select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+        texts = [x.as_py() or b"" for x in column]
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        said = [i for i, t in enumerate(texts) if t and has_letter(t)]
+        if said and model["langs"]:
+            bits = Coders.lengths(model, [texts[i] for i in said]) / UNIT
+            best = bits.argmin(1)
+            sure = 1 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
+            for i, b, p in zip(said, best, sure):
+                lang[i], score[i] = model["langs"][b], float(p)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(kept)), told(F.col("text").cast("binary")).alias("__told"))
+    return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(kept)), "__told.lang_pred", "__told.score")
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut, packed, seeded, with_fields
+from geoloom.llm.common import cut, packed, seeded
 
 MAX_ROWS = 12_000
 MAX_FEATURES, MIN_DOCS, MIN_G = 2_000, 5, 20.0
@@ -214,21 +214,15 @@ def train(sample: DataFrame, identity: Sequence[Sequence[str]] = IDENTITY, **tra
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with the double column `score` (one of that name is replaced); the model (at most MAX_FEATURES words and
-    the identity terms) goes to the tasks."""
-    docs = docs.drop("score")
+    the identity terms) goes to the tasks, and of the rows only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    source = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.col("text").cast("binary").alias("__bytes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         m = sent.value
-        for batch in batches:
-            got = pa.array([m.score(x.as_py()) for x in batch.column("__bytes")], pa.float64())
-            kept = [c for c in batch.schema.names if c != "__bytes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), got], [*kept, "__score"])
+        return pa.array([m.score(x.as_py()) for x in texts], pa.float64())
 
-    schema = with_fields(source, [f"__c{k}" for k in range(len(names))], "__score double")
-    return source.mapInArrow(run, schema).select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), F.col("__score").alias("score"))
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"), scored(F.col("text").cast("binary")).alias("score"))
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Every byte covered by a `LENGTH`-byte string that also starts earlier (a smaller document, or the same one at an
 earlier start) is removed.
 
-1. Candidates. A rolling hash of GRAM-byte strings gives each LENGTH-byte window its least hash; equal windows have
+1. Candidates. A rolling hash of 32-byte strings gives each LENGTH-byte window its least hash; equal windows have
    equal least hashes, so windows are compared only under the same hash. Neighbouring windows of one least hash
    form a run. A run's bytes (its context) are hashed as a whole: of equal contexts all but the earliest are
    repeats. They are combined in each task before the shuffle, so copies, however many, send one row a task.
@@ -14,9 +14,11 @@ earlier start) is removed.
    of LENGTH bytes. No suffix of the merged text is sorted again. Of each interval with several windows all but
    the earliest are repeats.
 3. A hash that more than HOT_GROUP different contexts share (a line in a large share of all documents) is not
-   gathered in one task: its windows are grouped one by one by a 128-bit hash, with partial aggregation.
+   gathered in one task: its contexts are candidates again under the least hash of their longer strings (`GRAMS`), and
+   so on. Contexts inside the line become equal, the others part. Under strings of LENGTH bytes a hash has one window.
 
-Documents meet their repeats by their id; texts are shuffled once, and only intervals travel otherwise.
+Documents meet their repeats by their id; texts are shuffled once, and only intervals travel otherwise. Long texts are
+taken in pieces that overlap by LENGTH - 1 bytes.
 
 Defined cases: null is the empty text; texts below LENGTH bytes lose nothing; null ids come after all others; rows
 with equal ids and different texts are ordered by a hash of the text; rows equal in both are one document (each
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,40 +39,53 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import cut
 
-LENGTH, GRAM = 100, 32
+LENGTH = 100
+#: Bytes of the strings whose least hash deals the windows, first and where that is hot.
+GRAMS = (32, 64, LENGTH)
 #: Windows of a run are split after so many, so that a context is bounded.
 RUN = 256
 #: Bytes that are hashed at once, runs that a task combines at once, bytes of contexts merged at once and in a shard.
 PIECE, COMBINE, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 1 << 15
 HOT_GROUP = 50_000
-REPEAT, COMPARE, COMPARE_HOT, FIRST = 1, 2, 3, 0
+REPEAT, COMPARE, DEAL, FIRST = 1, 2, 3, 0
 _MUL = 0x9E3779B97F4A7C15
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) >> np.uint64(17))
 
 
-def least_hashes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a LENGTH-byte window the least hash of its GRAM-byte strings; and those strings' hashes."""
-    h, power, n = _BYTE[s], _MUL, 1
-    while n < GRAM:
-        h = h[:-n] * np.uint64(power) + h[n:]
-        power, n = power * power % 2**64, n * 2
+def string_hashes(s: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes of all strings of n bytes, from those of lengths that are powers of two."""
+    part, size, power = _BYTE[s], 1, _MUL
+    out, have = None, 0
+    while True:
+        if n & size:
+            out = part if out is None else out[: len(out) - size] * np.uint64(power) + part[have:]
+            have += size
+        if have == n:
+            return out
+        part = part[:-size] * np.uint64(power) + part[size:]
+        power, size = power * power % 2**64, size * 2
+
+
+def least_hashes(s: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a LENGTH-byte window the least hash of its strings of `gram` bytes; and those strings' hashes."""
+    h = string_hashes(s, gram)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    m, span, n = h, LENGTH - GRAM + 1, 1
+    m, span, n = h, LENGTH - gram + 1, 1
     while n * 2 <= span:
         m = np.minimum(m[:-n], m[n:])
         n *= 2
     return np.minimum(m[: len(m) - (span - n)], m[span - n :]), h
 
 
-def runs_of(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(s: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Runs of windows in the texts [begin, end) of `s`: text, first window, windows, least hash, and whether the
     least hash stands at several places (then the run may repeat itself)."""
     none = np.zeros(0, np.int64)
     if len(s) < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(bool)
-    m, h = least_hashes(s)
+    m, h = least_hashes(s, gram)
     at = np.zeros(len(s) + 1, np.int32)
     long_ = end - begin >= LENGTH
     np.add.at(at, begin[long_], 1)
@@ -85,7 +101,7 @@ def runs_of(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     # equal least hashes that follow each other among the chosen strings
     least = m
     most = np.zeros(len(h), np.uint64)
-    n, span = 1, LENGTH - GRAM + 1
+    n, span = 1, LENGTH - gram + 1
     pad = np.concatenate((np.zeros(span - 1, np.uint64), np.where(valid, least, 0), np.zeros(span - 1, np.uint64)))
     while n * 2 <= span:
         pad = np.maximum(pad[:-n], pad[n:])
@@ -129,49 +145,59 @@ def _earliest(h: np.ndarray, c: np.ndarray, uid: np.ndarray, start: np.ndarray)
     return order, (uid[order] == uid[order][lead][g]) & (start[order] == start[order][lead][g])
 
 
-def map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, bytes) rows to runs: FIRST ones of this task, and REPEATs of those, merged where they adjoin."""
-    held: list[tuple[np.ndarray, ...]] = []
-    count = 0
-
-    def piece(uids: list[int], texts: list[bytes]) -> int:
-        joined = b"".join(texts)
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        end = np.cumsum(n)
-        text, start, n_win, h, several = runs_of(np.frombuffer(joined, np.uint8), end - n, end)
-        view, low = memoryview(joined), (end - n)[text] + start
-        digest = xxhash.xxh3_64_intdigest
-        c = np.fromiter((digest(view[a:b]) for a, b in zip(low.tolist(), (low + n_win + LENGTH - 1).tolist())), np.uint64, len(low))
-        held.append((h, c, np.array(uids, np.int64)[text], start, n_win, several))
-        return len(h)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        h, c, uid, start, n, several = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order, first = _earliest(h, c, uid, start)
-        h, c, uid, start, n, several = (x[order] for x in (h, c, uid, start, n, several))
-        yield _bundle(h[first], c[first], uid[first], start[first], n[first], np.where(several[first], FIRST - 1, FIRST))
-        uid, start, n = merged(uid[~first], start[~first], n[~first])
-        yield _bundle(np.random.default_rng(len(uid)).integers(-(2**63), 2**63 - 1, len(uid)), np.zeros(len(uid), np.int64), uid, start, n, np.full(len(uid), REPEAT))
-
-    uids, texts, size = [], [], 0
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    """(uid, start, bytes) of texts, the long ones in pieces that overlap by less than a window."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            t = batch.column(1)[r].as_py()
-            if t and len(t) >= LENGTH:
-                uids.append(batch.column(0)[r].as_py())
-                texts.append(t)
-                size += len(t)
-                if size >= PIECE:
-                    count += piece(uids, texts)
-                    uids, texts, size = [], [], 0
-                    if count >= COMBINE:
-                        yield from flush()
-                        count = 0
-    if texts:
-        piece(uids, texts)
-    if held:
-        yield from flush()
+        for uid, start, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            t = t.as_py()
+            for a in range(0, len(t) - LENGTH + 1, PIECE):
+                yield uid, start + a, t if len(t) <= PIECE else t[a : a + PIECE + LENGTH - 1]
+
+
+def map_runs(gram: int):
+    """(uid, start, bytes) rows to runs: FIRST ones of this task, and REPEATs of those, merged where they adjoin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = size = 0
+        rows: list[tuple[int, int, bytes]] = []
+
+        def piece() -> int:
+            joined = b"".join(r[2] for r in rows)
+            n = np.fromiter((len(r[2]) for r in rows), np.int64, len(rows))
+            end = np.cumsum(n)
+            text, start, n_win, h, several = runs_of(np.frombuffer(joined, np.uint8), end - n, end, gram)
+            view, low = memoryview(joined), (end - n)[text] + start
+            digest = xxhash.xxh3_64_intdigest
+            c = np.fromiter((digest(view[a:b]) for a, b in zip(low.tolist(), (low + n_win + LENGTH - 1).tolist())), np.uint64, len(low))
+            uid, before = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in range(2))
+            held.append((h, c, uid[text], before[text] + start, n_win, several))
+            rows.clear()
+            return len(h)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, c, uid, start, n, several = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order, first = _earliest(h, c, uid, start)
+            h, c, uid, start, n, several = (x[order] for x in (h, c, uid, start, n, several))
+            yield _bundle(h[first], c[first], uid[first], start[first], n[first], np.where(several[first], FIRST - 1, FIRST))
+            uid, start, n = merged(uid[~first], start[~first], n[~first])
+            yield _bundle(np.random.default_rng(len(uid)).integers(-(2**63), 2**63 - 1, len(uid)), np.zeros(len(uid), np.int64), uid, start, n, np.full(len(uid), REPEAT))
+
+        for row in pieces(batches):
+            rows.append(row)
+            size += len(row[2])
+            if size >= PIECE:
+                count, size = count + piece(), 0
+                if count >= COMBINE:
+                    yield from flush()
+                    count = 0
+        if rows:
+            piece()
+        if held:
+            yield from flush()
+
+    return run
 
 
 def merged(uid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +216,7 @@ def merged(uid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs dealt by h to REPEATs of an earlier equal context and to COMPARE(_HOT) ones, whose h others share."""
+    """Runs dealt by h to REPEATs of an earlier equal context and to COMPARE or DEAL ones, whose h others share."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -214,7 +240,7 @@ def reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.bincount(g)[g]
     own = np.maximum.reduceat(kind == FIRST - 1, np.flatnonzero(np.append(True, g[1:] != g[:-1])))[g]
     compare = (size > 1) | own
-    yield _bundle(h[compare], c[compare], uid[compare], start[compare], n[compare], np.where(size[compare] > HOT_GROUP, COMPARE_HOT, COMPARE))
+    yield _bundle(h[compare], c[compare], uid[compare], start[compare], n[compare], np.where(size[compare] > HOT_GROUP, DEAL, COMPARE))
 
 
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,17 +333,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bytes, wanted: uid, h, start, n, kind) rows to the wanted contexts; hot ones window by window, named by hash."""
+    """(bytes, wanted: uid, h, start, n) rows to the wanted contexts."""
     for batch in batches:
         out: list[tuple] = []
-        for r in range(batch.num_rows):
-            text = batch.column(0)[r].as_py()
-            for w in batch.column(1)[r].as_py():
-                a, n = w["start"], w["n"]
-                if w["kind"] == COMPARE:
-                    out.append((w["h"], w["uid"], a, n, text[a : a + n + LENGTH - 1]))
-                else:
-                    out += [(None, w["uid"], i, 1, xxhash.xxh3_128_digest(text[i : i + LENGTH])) for i in range(a, a + n)]
+        for text, wanted in zip(batch.column(0), batch.column(1)):
+            text = text.as_py()
+            out += [(w["h"], w["uid"], w["start"], w["n"], text[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in wanted.as_py()]
         cols = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["h", "uid", "start", "n", "context"])
 
@@ -344,19 +365,25 @@ RUNS = "h long, c long, uid long, start int, n int, kind tinyint"
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed and spans of removed bytes."""
     docs = numbered(documents.select("doc_id", "text")).select("uid", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    runs = docs.select("uid", "bytes").mapInArrow(map_runs, RUNS)
-    found = cut(runs.repartition("h").mapInArrow(reduce_runs, RUNS).select("h", "uid", "start", "n", "kind"), "suffix-runs")
-    wanted = found.filter(F.col("kind") != REPEAT).groupBy("uid").agg(F.collect_list(F.struct("uid", "h", "start", "n", "kind")).alias("wanted"))
-    parts = docs.join(wanted, "uid").select("bytes", "wanted").mapInArrow(slices, "h long, uid long, start int, n int, context binary")
-    hot = found.filter(F.col("kind") == COMPARE_HOT).limit(1).count() > 0
-    if hot:
-        parts = cut(parts, "suffix-contexts")
-    cold = parts.filter("h is not null").repartition("h").sortWithinPartitions("h").mapInArrow(compare, "uid long, start int, n int")
+
+    def contexts(found: DataFrame) -> DataFrame:
+        wanted = found.groupBy("uid").agg(F.collect_list(F.struct("uid", "h", "start", "n")).alias("wanted"))
+        return docs.join(wanted, "uid").select("bytes", "wanted").mapInArrow(slices, "h long, uid long, start int, n int, context binary")
+
+    levels = []
+    source = docs.select("uid", F.lit(0).alias("start"), "bytes")
+    for gram in GRAMS:
+        found = source.mapInArrow(map_runs(gram), RUNS).repartition("h").mapInArrow(reduce_runs, RUNS).select("h", "uid", "start", "n", "kind")
+        if gram == LENGTH:  # contexts of one window, or runs of one byte: at most RUN different ones
+            found = found.withColumn("kind", F.when(F.col("kind") == DEAL, F.lit(COMPARE)).otherwise(F.col("kind")).cast("tinyint"))
+        levels.append(cut(found, "suffix-runs"))
+        again = levels[-1].filter(F.col("kind") == DEAL)
+        if again.limit(1).count() == 0:
+            break
+        source = contexts(again).select("uid", "start", "context")
+    found = reduce(DataFrame.unionByName, levels)
+    cold = contexts(found.filter(F.col("kind") == COMPARE)).repartition("h").sortWithinPartitions("h").mapInArrow(compare, "uid long, start int, n int")
     stretches = found.filter(F.col("kind") == REPEAT).select("uid", "start", "n").unionByName(cold)
-    if hot:
-        windows = parts.filter("h is null").select(F.col("context").alias("w"), "uid", "start")
-        least = windows.groupBy("w").agg(F.min(F.struct("uid", "start")).alias("least"))
-        stretches = stretches.unionByName(windows.join(least, "w").filter(F.struct("uid", "start") != F.col("least")).select("uid", "start", F.lit(1).alias("n")))
     gone = stretches.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

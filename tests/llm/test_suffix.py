@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from geoloom.llm import suffix
@@ -55,10 +56,10 @@ def test_small_pieces_shards_and_batches(spark, unique, monkeypatch):
     import pyarrow as pa
 
     def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["uid", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1] for r in rows])], ["uid", "start", "bytes"])
 
     texts = dict(batches[0])
-    runs = list(suffix.map_runs(iter([table(batches[0])])))
+    runs = list(suffix.map_runs(suffix.GRAMS[0])(iter([table(batches[0])])))
     found = list(suffix.reduce_runs(iter(runs)))
     gone = {i: bytearray(len(t)) for i, t in texts.items()}
     contexts = []
@@ -90,6 +91,45 @@ def test_hot_hashes_take_the_exact_way(spark, unique, monkeypatch):
     compare(spark, unique)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 32, 64, 100])
+def test_string_hashes_are_polynomials(n):
+    s = np.frombuffer(bytes(range(7, 250)), np.uint8)
+    want = []
+    for i in range(len(s) - n + 1):
+        x = 0
+        for b in s[i : i + n]:
+            x = (x * suffix._MUL + int(suffix._BYTE[b])) % 2**64
+        want.append(x)
+    assert suffix.string_hashes(s, n).tolist() == want
+
+
+def test_a_line_that_many_share(spark, monkeypatch):
+    """A hot hash whose contexts all differ: they part under longer strings, and the line is found in all."""
+    real = suffix.reduce_runs
+
+    def hot(batches):
+        suffix.HOT_GROUP = 20
+        return real(batches)
+
+    monkeypatch.setattr(suffix, "reduce_runs", hot)
+    line = "".join(chr(97 + i * i * i % 25) for i in range(140))
+    rows = [(i, f"{i * 7919 % 1009:0120d} {line} {i * 104729 % 2003:0130d}", None, None) for i in range(90)]
+    got = compare(spark, rows)
+    assert sum(v[1] >= 140 for _, v in got) >= 89
+
+
+def test_long_texts_go_in_pieces(spark, monkeypatch):
+    real = suffix.pieces
+
+    def small(batches):
+        suffix.PIECE = 257
+        return real(batches)
+
+    monkeypatch.setattr(suffix, "pieces", small)
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000))
+    compare(spark, [(1, text, None, None), (2, "xyz" + text[100:4000] + "tail" + text[:700], None, None), (3, text[::-1] + text[4990:] + text[:200], None, None)])
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "".join(chr(97 + i * i % 23) for i in range(300))
     rows = [(5, text, None, None), (5, text, None, None), (7, "y" + text[:150] + "z", None, None)]

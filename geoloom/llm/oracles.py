@@ -31,6 +31,39 @@ select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_
 from d left join p using (rid) left join t using (rid)"""
 
 
+#: CRC32 of a list of bytes `b`: `tt` holds the table of the reflected polynomial (a fixed value).
+_CRC_TABLE = """tb(i, v, k) as (select range, range, 0 from range(256) union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from tb where k < 8),
+ tt as (select list(v order by i) tbl from tb where k = 8)"""
+_CRC = "xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, tbl[xor(c & 255, x) + 1])), 4294967295)"
+
+
+def op3(seed: int, n_shards: int) -> str:
+    return f"""
+with recursive {_CRC_TABLE},
+ d as (select doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast(('0x' || h) as bigint)) b from documents),
+ c as (select doc_id, source, size, {_CRC} crc from d, tt),
+ r as (select *, row_number() over (partition by source order by substr(md5(concat_ws('|', '{seed}', cast(doc_id as varchar), cast(crc as varchar), cast(size as varchar))), 1, 15), doc_id nulls first, crc, size) - 1 place, count(*) over (partition by source) n from c),
+ p as (select *, row_number() over (order by (2 * place + 1) / cast(2 * n as double), source is null, coalesce(source, ''), place) - 1 pos, count(*) over () total from r),
+ s as (select *, pos * {n_shards} // total shard from p)
+select doc_id, cast(size as bigint) size, cast(crc as bigint) text_crc32, 'rows' law, cast(shard as int) shard, cast(pos - (shard * total + {n_shards - 1}) // {n_shards} as bigint) slot, cast(null as int) grown_shard from s"""
+
+
+def op10(length: int) -> str:
+    """Byte windows as stretches of hex digits."""
+    return f"""
+with d as (select row_number() over (order by doc_id nulls last) uid, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+ n as (select uid, doc_id, x, length(x) // 2 n from d),
+ w as (select uid, i, substr(x, cast(2 * i + 1 as int), {2 * length}) s from (select uid, x, unnest(range(0, n - {length - 1})) i from n where n >= {length})),
+ m as (select s, min(uid * 1000000000 + i) least from w group by s having count(*) > 1),
+ g as (select uid, i from w join m using (s) where uid * 1000000000 + i > least),
+ b as (select uid, i, case when i <= lag(i) over (partition by uid order by i) + {length} then 0 else 1 end new from g),
+ k as (select uid, i, sum(new) over (partition by uid order by i) run from b),
+ r as (select uid, run, min(i) a, max(i) + {length} z from k group by 1, 2),
+ o as (select r.*, x, n, coalesce(lag(z) over (partition by uid order by run), 0) p, lead(a) over (partition by uid order by run) is null ends from r join n using (uid)),
+ t as (select uid, count(*) n_spans, sum(z - a) n_removed, string_agg(substr(x, cast(2 * p + 1 as int), cast(2 * (a - p) as int)) || case when ends then substr(x, cast(2 * z + 1 as int)) else '' end, '' order by run) kept from o group by 1)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256 from n left join t using (uid)"""
+
+
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 

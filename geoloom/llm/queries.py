@@ -59,7 +59,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others have seeded hashes, XXH64, byte windows or trained models, which DuckDB's SQL lacks; tests/llm compares them
-    with brute force or measures held-out accuracy."""
-    op6 = oracles.op6(urls.RULES, urls.MIN_CONFIDENCE, urls.MIN_SUPPORT, urls.MIN_ROWS, urls.MAX_ITEMS)
-    return {"op1_chat_format": oracles.OP1, "op4_decontamination": oracles.OP4, "op6_url_filter": op6}
+    """The others have XXH64, a knapsack program or trained models, which DuckDB's SQL lacks; tests/llm compares them with
+    brute force or measures held-out accuracy."""
+    return {
+        "op1_chat_format": oracles.OP1,
+        "op3_sharding": oracles.op3(sharding.SEED, 16),
+        "op4_decontamination": oracles.OP4,
+        "op6_url_filter": oracles.op6(urls.RULES, urls.MIN_CONFIDENCE, urls.MIN_SUPPORT, urls.MIN_ROWS, urls.MAX_ITEMS),
+        "op10_suffix_dedup": oracles.op10(suffix.LENGTH),
+    }

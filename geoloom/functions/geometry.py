@@ -118,44 +118,70 @@ def utm_epsg(lon: Column) -> Column:
     return utm_zone(lon) + 32600
 
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing by the third-order Krueger series."""
+def bound(value: Column, body) -> Column:
+    """`body` of `value`, which is evaluated once however often it stands in the body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def utm_forward_point(lon: Column, lat: Column, zone: Column) -> Column:
+    """Easting and northing as a vertex, by the third-order Krueger series."""
     n = FLAT / (2 - FLAT)
     radius = A_AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * n**0.5 / (1 + n)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    dl = F.radians(lon - (zone * 6 - 183))
-    xi, eta = F.atan(t / F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EAST + K0 * radius * east, K0 * radius * north
+
+    def plane(g: Column) -> Column:
+        east, north = g["eta"], g["xi"]
+        for j, a in enumerate(alpha, 1):
+            east = east + a * F.cos(2 * j * g["xi"]) * F.sinh(2 * j * g["eta"])
+            north = north + a * F.sin(2 * j * g["xi"]) * F.cosh(2 * j * g["eta"])
+        return point(FALSE_EAST + K0 * radius * east, K0 * radius * north)
+
+    sphere = bound(F.sin(F.radians(lat)), lambda s: F.struct(F.sinh(F.atanh(s) - e * F.atanh(e * s)).alias("t"), F.radians(lon - (zone * 6 - 183)).alias("dl")))
+    return bound(bound(sphere, lambda g: F.struct(F.atan(g["t"] / F.cos(g["dl"])).alias("xi"), F.atanh(F.sin(g["dl"]) / F.sqrt(1 + g["t"] * g["t"])).alias("eta"))), plane)
+
+
+def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    p = utm_forward_point(lon, lat, zone)
+    return p["x"], p["y"]
+
+
+def utm_inverse_point(east: Column, north: Column, zone: Column) -> Column:
+    """Longitude and latitude as a vertex: the inverse series, once corrected by what its forward image misses (under
+    1 um)."""
+    again = bound(_inverse_series(east, north, zone), lambda p: utm_forward_point(p["x"], p["y"], zone))
+    return bound(again, lambda q: _inverse_series(2 * east - q["x"], 2 * north - q["y"], zone))
 
 
 def utm_inverse(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
-    """Longitude and latitude: the inverse series, once corrected by what its forward image misses (under 1 um)."""
-    again_e, again_n = utm_forward(*_inverse_series(east, north, zone), zone)
-    return _inverse_series(2 * east - again_e, 2 * north - again_n, zone)
+    p = utm_inverse_point(east, north, zone)
+    return p["x"], p["y"]
 
 
-def _inverse_series(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+def _inverse_series(east: Column, north: Column, zone: Column) -> Column:
     n = FLAT / (2 - FLAT)
     radius = A_AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = north / (K0 * radius), (east - FALSE_EAST) / (K0 * radius)
-    xp, ep = xi, eta
-    for j, b in enumerate(beta, 1):
-        xp = xp - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        ep = ep - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
-    lat = chi
-    for j, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return (zone * 6 - 183) + F.degrees(F.atan(F.sinh(ep) / F.cos(xp))), F.degrees(lat)
+
+    def sphere(g: Column) -> Column:
+        xp, ep = g["xi"], g["eta"]
+        for j, b in enumerate(beta, 1):
+            xp = xp - b * F.sin(2 * j * g["xi"]) * F.cosh(2 * j * g["eta"])
+            ep = ep - b * F.cos(2 * j * g["xi"]) * F.sinh(2 * j * g["eta"])
+        return F.struct(xp.alias("x"), ep.alias("e"))
+
+    def place(g: Column) -> Column:
+        def lat(chi: Column) -> Column:
+            out = chi
+            for j, d in enumerate(delta, 1):
+                out = out + d * F.sin(2 * j * chi)
+            return point((zone * 6 - 183) + F.degrees(F.atan(F.sinh(g["e"]) / F.cos(g["x"]))), F.degrees(out))
+
+        return bound(F.asin(F.sin(g["x"]) / F.cosh(g["e"])), lat)
+
+    start = F.struct((north / (K0 * radius)).alias("xi"), ((east - FALSE_EAST) / (K0 * radius)).alias("eta"))
+    return bound(bound(start, sphere), place)
 
 
 def scene_area_km2(width_deg: Column, height_deg: Column, lat: Column) -> Column:

@@ -174,6 +174,44 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return out if len(out) >= 4 else ring
 
 
+def crosses(ring: np.ndarray) -> bool:
+    """Whether two edges of a closed ring that are not neighbours meet, or neighbours lie on each other."""
+    a, b = ring[:-1], ring[1:]
+    n = len(a)
+    if n < 4:
+        return False
+    i, j = np.triu_indices(n, 2)
+    keep = ~((i == 0) & (j == n - 1))
+    i, j = i[keep], j[keep]
+
+    def side(p, q, r):
+        return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+
+    p, q, r, t = a[i], b[i], a[j], b[j]
+    boxes = (np.maximum(np.minimum(p, q), np.minimum(r, t)) <= np.minimum(np.maximum(p, q), np.maximum(r, t))).all(1)
+    if (boxes & (side(p, q, r) * side(p, q, t) <= 0) & (side(r, t, p) * side(r, t, q) <= 0)).any():
+        return True
+    d, e = b - a, np.roll(b - a, -1, 0)  # a spike turns back on itself
+    return bool(((d[:, 0] * e[:, 1] == d[:, 1] * e[:, 0]) & ((d * e).sum(1) < 0)).any())
+
+
+def simplify_safely(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """`simplify` with half the tolerance as long as a sound ring would come to cross itself; at last the ring itself."""
+    if crosses(ring):
+        return simplify(ring, tolerance)
+    for _ in range(6):
+        out = simplify(ring, tolerance)
+        if not crosses(out):
+            return out
+        tolerance /= 2
+    return ring
+
+
+def sound(rings: Rings) -> list[Rings]:
+    """The polygon, or its even-odd pieces if a ring of it crosses itself."""
+    return [[t] for t in repaired([rings])] if any(crosses(r) for r in rings) else [rings]
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise, open."""
     pts = np.unique(points, axis=0)
@@ -222,22 +260,25 @@ def snap(ring: np.ndarray) -> np.ndarray:
     for p in [*pts[1:], pts[0]]:
         last = out[-1]
         out.append(np.array([p[0], last[1]] if abs(p[0] - last[0]) > abs(p[1] - last[1]) else [last[0], p[1]]))
-    if not np.array_equal(out[-1], out[0]):
+    if np.abs(out[-1] - out[0]).max() > 1e-9:
         out.append(out[0])
+    out[-1] = out[0]
     return np.array(out)
 
 
-def ortho_snap(rings: Rings, tolerance: float = 0.5, min_area: float = 5.0) -> Rings | None:
-    """Simplified, turned to its main direction, snapped and turned back; the simplified polygon if snapping leaves
-    too little, none if the polygon itself is too small."""
-    plain = [simplify(r, tolerance) for r in rings]
-    if polygon_area(plain) < min_area:
-        return None
-    angle, middle = principal_angle(plain[0][:-1]), centroid(plain[0])
-    snapped = [snap(turned(r, -angle, middle)) for r in plain]
-    if area_of(repaired([snapped])) < min_area:
+def ortho_snap(rings: Rings, tolerance: float = 0.5, min_area: float = 5.0) -> list[Rings]:
+    """Simplified, turned to its main direction, snapped and turned back; the simplified polygon if snapping leaves too
+    little, nothing if the polygon itself is too small. Results are sound: what crosses itself is cut to pieces."""
+    plain = sound([simplify_safely(r, tolerance) for r in rings])
+    if sum(polygon_area(p) for p in plain) < min_area:
+        return []
+    if len(plain) != 1:  # pieces of a ring that crossed itself have no main direction of their own
+        return plain
+    angle, middle = principal_angle(plain[0][0][:-1]), centroid(plain[0][0])
+    snapped = sound([snap(turned(r, -angle, middle)) for r in plain[0]])
+    if sum(polygon_area(p) for p in snapped) < min_area:
         return plain
-    return [turned(r, angle, middle) for r in snapped]
+    return [[turned(r, angle, middle) for r in p] for p in snapped]
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -371,7 +412,8 @@ def binary_patterns(light: np.ndarray) -> np.ndarray:
 
 
 def perimeter(mask: np.ndarray) -> float:
-    """Length of the border's centre line: border pixels weigh 1 or sqrt 2 by their border neighbours."""
+    """Length of the border's centre line: border pixels weigh 1 or sqrt 2 by their border neighbours. the
+    weights by neighbourhood of the usual 4-connected perimeter estimate."""
     inner = eroded4(mask)
     border = np.pad(mask & ~inner, 1).astype(int)
     straight = border[:-2, 1:-1] + border[2:, 1:-1] + border[1:-1, :-2] + border[1:-1, 2:]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,19 @@ def object_quality(counts: DataFrame) -> DataFrame:
 
 
 def with_aggregate(counts: DataFrame, key: str = "scene_id", name: str = "AGGREGATE") -> DataFrame:
-    """Object counts by scene and a micro-averaged last row; area columns of that row are null."""
+    """Object counts by scene and a micro-averaged row of all; area columns of that row are null. `aggregate_last` orders
+    them."""
     sums = ["n_pred", "n_gt", "tp_gt", "tp_pred", "fp", "fn"]
     total = counts.agg(*[F.sum(c).alias(c) for c in sums]).withColumn(key, F.lit(name))
     rows = counts.withColumn(key, F.col(key).cast("string")).unionByName(total, allowMissingColumns=True)
     return object_quality(rows)
 
 
+def aggregate_last(rows: DataFrame, key: str = "scene_id", name: str = "AGGREGATE") -> DataFrame:
+    """Rows by key with the aggregate row at the end."""
+    return rows.orderBy(F.col(key) == name, key)
+
+
 def area_quality(areas: DataFrame, aoi_m2: str = "aoi_m2") -> DataFrame:
     """tp, fp, fn and tn in m2 and their ratios, from area_a (predicted), area_b (reference) and area_ab."""
     a, b, ab = F.coalesce("area_a", F.lit(0.0)), F.coalesce("area_b", F.lit(0.0)), F.coalesce("area_ab", F.lit(0.0))
@@ -143,6 +151,23 @@ def segmentation_loss(pixels: DataFrame, sample: str, logit: str, truth: str, di
     return per.agg((F.sum("bce") / F.sum("n") + dice_weight * F.avg(1 - dice)).alias("loss"), F.avg(dice).alias("dice"), (F.sum("bce") / F.sum("n")).alias("bce"))
 
 
+def mean_loss(steps: DataFrame, keys: Sequence[str] = ("epoch",), loss: str = "loss", n: str = "n") -> DataFrame:
+    """Mean loss of the samples of each epoch, from the mean loss and the samples of each step."""
+    return steps.groupBy(*keys).agg((F.sum(F.col(loss) * F.col(n)) / F.greatest(F.sum(n), F.lit(1))).alias("train_loss"))
+
+
+def city_peaks(metrics: DataFrame, by: str = "n_cars") -> DataFrame:
+    """By city the mean figures and the scene with most of `by` (ties: least scene), busiest city first."""
+    best = F.max(F.struct(F.col(by).alias("v"), (-F.col("scene_id")).alias("s"))).alias("best")
+    out = metrics.groupBy("city").agg(F.avg(by).alias("mean"), F.avg("buildings_density_per_km2").alias("mean_density"), best)
+    return out.select("city", "mean", "mean_density", (-F.col("best.s")).alias("peak_scene"), F.col("best.v").alias("peak")).orderBy(F.desc("mean"), "city")
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    """12.3%, with a true minus."""
+    return F.concat(F.replace(F.format_number(x, digits), F.lit("-"), F.lit("−")), F.lit("%"))
+
+
 def spaced(n: Column) -> Column:
     """1 234 567, with a true minus."""
     return F.replace(F.replace(F.format_number(n, 0), F.lit(","), F.lit(" ")), F.lit("-"), F.lit("−"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geoloom.functions import geometry as geo
 from geoloom.functions import kernels as k
@@ -15,29 +14,41 @@ from geoloom.operators import spatial
 MIN_BUILDING_M2, SLIVER_M2 = 30.0, 5.0
 
 
-def _polys(geom) -> list[k.Rings]:
-    """The struct's value, however Arrow brought it, as polygons of arrays."""
-    return [[np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2) for ring in rings] for rings in geom["polys"]]
+def _decoded(geoms: pa.StructArray) -> list[list[k.Rings]]:
+    """Geometry structs as multipolygons of vertex arrays, sliced from the flat coordinates; null is empty."""
+    polys = geoms.field("polys")
+    rings, verts = polys.values, polys.values.values
+    flat = verts.values
+    xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], 1)
+    o0, o1, o2 = (a.offsets.to_numpy() for a in (polys, rings, verts))
+    there = (geoms.is_valid().to_numpy(zero_copy_only=False)) & (polys.is_valid().to_numpy(zero_copy_only=False))
+    return [[[xy[o2[r] : o2[r + 1]] for r in range(o1[p], o1[p + 1])] for p in range(o0[i], o0[i + 1])] if there[i] else [] for i in range(len(geoms))]
 
 
-def _struct(polys: list[k.Rings]) -> dict | None:
-    if not polys:
-        return None
-    return {"kind": "Polygon" if len(polys) == 1 else "MultiPolygon", "polys": [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] for rings in polys]}
+def _lists(many: pa.ListArray) -> list[list[list[k.Rings]]]:
+    """Lists of geometries; null is empty."""
+    flat, at, there = _decoded(many.values), many.offsets.to_numpy(), many.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[at[i] : at[i + 1]] if there[i] else [] for i in range(len(many))]
 
 
-def _rows(geoms) -> list:
-    return geoms.to_dict("records") if isinstance(geoms, pd.DataFrame) else list(geoms)
-
-
-def _frame(values: list[dict | None]) -> pd.DataFrame:
-    return pd.DataFrame([v or {"kind": None, "polys": None} for v in values], columns=["kind", "polys"])
+def _encoded(values: list[list[k.Rings]]) -> pa.StructArray:
+    """Multipolygons as geometry structs; those without a polygon have null fields."""
+    polys = [p for m in values for p in m]
+    rings = [r for p in polys for r in p]
+    xy = np.concatenate(rings) if rings else np.zeros((0, 2))
+    ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.int32())
+    vertices = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy(), pa.float64()), pa.array(xy[:, 1].copy(), pa.float64())], ["x", "y"])
+    out = pa.ListArray.from_arrays(ends([len(r) for r in rings]), vertices)
+    out = pa.ListArray.from_arrays(ends([len(p) for p in polys]), out)
+    out = pa.ListArray.from_arrays(ends([len(m) for m in values]), out, mask=pa.array([not m for m in values], pa.bool_()))
+    kinds = pa.array([None if not m else "Polygon" if len(m) == 1 else "MultiPolygon" for m in values], pa.string())
+    return pa.StructArray.from_arrays([kinds, out], ["kind", "polys"])
 
 
 def intersection_area(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.Series:
-        return pd.Series([k.intersection_area(_polys(x), _polys(y)) for x, y in zip(_rows(p), _rows(q))], dtype=float)
+    @F.arrow_udf("double")
+    def run(p: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array([k.intersection_area(x, y) for x, y in zip(_decoded(p), _decoded(q))], pa.float64())
 
     return run(a, b)
 
@@ -45,19 +56,19 @@ def intersection_area(a: Column, b: Column) -> Column:
 def intersects(a: Column, b: Column) -> Column:
     """Closed: touching counts."""
 
-    @F.pandas_udf("boolean")
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.Series:
-        return pd.Series([any(k.intersects(r, s) for r in _polys(x) for s in _polys(y)) for x, y in zip(_rows(p), _rows(q))], dtype=bool)
+    @F.arrow_udf("boolean")
+    def run(p: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array([any(k.intersects(r, s) for r in x for s in y) for x, y in zip(_decoded(p), _decoded(q))], pa.bool_())
 
     return run(a, b)
 
 
 def _mapped(df: DataFrame, column: str, change) -> DataFrame:
-    """`df` with the geometry column changed polygon by polygon; empty results are null."""
+    """`df` with the geometry column changed multipolygon by multipolygon; empty results are null."""
 
-    @F.pandas_udf(geo.GEOM)
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return _frame([_struct(change(_polys(x))) if x["polys"] is not None else None for x in _rows(g)])
+    @F.arrow_udf(geo.GEOM)
+    def run(g: pa.Array) -> pa.Array:
+        return _encoded([change(x) if x else [] for x in _decoded(g)])
 
     out = df.withColumn(column, run(F.col(column)))
     return out.withColumn(column, F.when(F.col(f"{column}.polys").isNotNull(), F.col(column)))
@@ -69,15 +80,23 @@ def repaired(df: DataFrame, column: str = "geom") -> DataFrame:
 
 
 def simplified(df: DataFrame, tolerance: float, column: str = "geom") -> DataFrame:
-    return _mapped(df, column, lambda m: [[k.simplify(r, tolerance) for r in rings] for rings in m])
+    return _mapped(df, column, lambda m: [[k.simplify_safely(r, tolerance) for r in rings] for rings in m])
 
 
 def ortho_snapped(df: DataFrame, tolerance: float = 1.0, min_area: float = 5.0, column: str = "geom") -> DataFrame:
     """Regularised footprints part by part; rows of which nothing is left go."""
-    out = _mapped(df, column, lambda m: [s for s in (k.ortho_snap(rings, tolerance, min_area) for rings in m) if s is not None])
+    out = _mapped(df, column, lambda m: [p for rings in m for p in k.ortho_snap(rings, tolerance, min_area)])
     return out.filter(geo.is_present(F.col(column)))
 
 
+def to_utm(geom: Column, zone: Column) -> Column:
+    return geo.map_vertices(geom, lambda v: geo.utm_forward_point(v["x"], v["y"], zone))
+
+
+def to_wgs84(geom: Column, zone: Column) -> Column:
+    return geo.map_vertices(geom, lambda v: geo.utm_inverse_point(v["x"], v["y"], zone))
+
+
 def with_bounds(df: DataFrame, geometry: str = "geom") -> DataFrame:
     b = geo.bounds(F.col(geometry))
     return df.withColumns({c: b[c] for c in spatial.BOX})
@@ -88,16 +107,13 @@ def clipped(layer: DataFrame, scenes: DataFrame, geometry: str = "geom", cell: f
     one = F.lit(0)
     pairs = spatial.box_pairs(with_bounds(layer.drop("scene_id"), geometry).withColumn("all", one), scenes.select("scene_id", *spatial.BOX).withColumn("all", one), "all", cell=cell)
 
-    @F.pandas_udf(geo.GEOM)
-    def cut(g: pd.DataFrame, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(geo.GEOM)
+    def cut(g: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
         out = []
-        for x, *box in zip(_rows(g), x0, y0, x1, y1):
-            polys = []
-            for rings in _polys(x):
-                rings = [r for r in (k.clip_box(r, *box) for r in rings) if len(r) > 3 and abs(k.ring_area(r)) > 0]
-                polys += [rings] if rings else []
-            out.append(_struct(polys))
-        return _frame(out)
+        for m, *box in zip(_decoded(g), *(c.to_pylist() for c in (x0, y0, x1, y1))):
+            polys = ([r for r in (k.clip_box(r, *box) for r in rings) if len(r) > 3 and abs(k.ring_area(r)) > 0] for rings in m)
+            out.append([rings for rings in polys if rings])
+        return _encoded(out)
 
     out = pairs.withColumn("l_geom", cut(F.col(f"l_{geometry}"), *[F.col(f"r_{c}") for c in spatial.BOX])).filter("l_geom.polys is not null")
     keep = [c for c in layer.columns if c not in ("scene_id", geometry)]
@@ -111,13 +127,10 @@ def subtracted(cover: DataFrame, buildings: DataFrame, min_area: float = SLIVER_
     pairs = spatial.box_pairs(a.select("scene_id", "id", *spatial.BOX), b, **cells)
     near = pairs.groupBy(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.collect_list("r_geom").alias("near"))
 
-    @F.pandas_udf(geo.GEOM)
-    def minus(g: pd.DataFrame, near: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, many in zip(_rows(g), near):
-            # buildings apart from each other make fewer slabs than their union
-            out.append(_struct([[t] for t in k.difference(_polys(x), [_polys(m) for m in many])]))
-        return _frame(out)
+    @F.arrow_udf(geo.GEOM)
+    def minus(g: pa.Array, near: pa.Array) -> pa.Array:
+        # buildings apart from each other make fewer slabs than their union
+        return _encoded([[[t] for t in k.difference(x, many)] for x, many in zip(_decoded(g), _lists(near))])
 
     rows = cover.join(near, ["scene_id", "id"], "left")
     touched = rows.filter("near is not null").withColumn("geom", minus(F.col("geom"), F.col("near"))).filter("geom.polys is not null")
@@ -126,24 +139,28 @@ def subtracted(cover: DataFrame, buildings: DataFrame, min_area: float = SLIVER_
     return out.filter(F.col("__built").isNull() | (geo.area(F.col("geom")) > min_area)).drop("__built")
 
 
-def union_areas(polygons: DataFrame, keys: tuple[str, ...] = ("scene_id",), layer: str = "layer", stripe: float = 64.0) -> DataFrame:
-    """By key: area_a, area_b and area_ab of the unions of layers a and b, by stripes of x."""
+def union_areas(polygons: DataFrame, keys: tuple[str, ...] = ("scene_id",), layer: str = "layer", side: float = 64.0) -> DataFrame:
+    """By key: area_a, area_b and area_ab of the unions of layers a and b, by square cells, so that neither a scene nor
+    a stripe of it is one task's."""
     b = geo.bounds(F.col("geom"))
-    dealt = polygons.select(*keys, layer, "geom", F.explode(F.sequence(F.floor(b["x0"] / stripe), F.floor(b["x1"] / stripe))).alias("__t"))
+    across = lambda lo, hi: F.explode(F.sequence(F.floor(b[lo] / side), F.floor(b[hi] / side)))
+    dealt = polygons.select(*keys, layer, "geom", across("x0", "x1").alias("__i")).select("*", across("y0", "y1").alias("__j"))
     types = dict(polygons.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = float(pdf["__t"].iloc[0]) * stripe
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        lo, low = (t.column(c)[0].as_py() * side for c in ("__i", "__j"))
         sides: dict[str, list] = {"a": [], "b": []}
-        for name, g in zip(pdf[layer], pdf["geom"]):
-            cut = [[r for r in (k.clip_box(r, lo, -1e12, lo + stripe, 1e12) for r in rings) if len(r) > 3] for rings in _polys(g)]
+        geoms = t.column("geom").chunk(0) if t.column("geom").num_chunks else pa.array([], t.schema.field("geom").type)
+        for name, m in zip(t.column(layer).to_pylist(), _decoded(geoms)):
+            cut = [[r for r in (k.clip_box(r, lo, low, lo + side, low + side) for r in rings) if len(r) > 3] for rings in m]
             if any(cut):
                 sides[name].append([c for c in cut if c])
         areas = [k.area_of(k.overlay(sides["a"], sides["b"], f)) for f in (lambda p, q: p, lambda p, q: q, lambda p, q: p and q)]
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in keys} | dict(zip(("area_a", "area_b", "area_ab"), ([v] for v in areas))))
+        return pa.table({c: t.column(c).slice(0, 1) for c in keys} | {n: pa.array([v], pa.float64()) for n, v in zip(("area_a", "area_b", "area_ab"), areas)})
 
     schema = ", ".join(f"{c} {types[c]}" for c in keys)
-    parts = dealt.groupBy(*keys, "__t").applyInPandas(run, f"{schema}, area_a double, area_b double, area_ab double")
+    parts = dealt.groupBy(*keys, "__i", "__j").applyInArrow(run, f"{schema}, area_a double, area_b double, area_ab double")
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("area_a", "area_b", "area_ab")])
 
 
@@ -152,23 +169,29 @@ def rasterized(patches: DataFrame, polygons: DataFrame, size: int, **cells) -> D
     pairs = spatial.box_pairs(patches.select("scene_id", "id", *spatial.BOX), with_bounds(polygons.select("scene_id", "geom")), **cells)
     near = pairs.groupBy(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.collect_list("r_geom").alias("near"))
 
-    @F.pandas_udf(T.BinaryType())
-    def draw(x0: pd.Series, y0: pd.Series, near: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def draw(x0: pa.Array, y0: pa.Array, near: pa.Array) -> pa.Array:
         out = []
-        for x, y, many in zip(x0, y0, near):
-            rings = [[r - [x, y] for r in p] for g in (many if many is not None else []) for p in _polys(g)]
+        for x, y, many in zip(x0.to_pylist(), y0.to_pylist(), _lists(near)):
+            rings = [[r - [x, y] for r in p] for m in many for p in m]
             out.append(k.rasterize(rings, size, size).astype(np.uint8).tobytes())
-        return pd.Series(out)
+        return pa.array(out, pa.binary())
 
     return patches.join(near, ["scene_id", "id"], "left").withColumn("mask", draw(F.col("x0").cast("double"), F.col("y0").cast("double"), F.col("near"))).drop("near")
 
 
 def footprints(probability: DataFrame, keys: list[str], threshold: float = 0.5, row: str = "prow", col: str = "pcol") -> DataFrame:
-    """Positive regions of a probability tile as polygons in pixel corners, with their mean probability."""
+    """Positive regions of a probability raster as polygons in pixel corners; mean_p is the mean over the whole raster,
+    the confidence that all its footprints get."""
     from geoloom.operators import segments
 
     marked = probability.withColumn("__on", (F.col("p") >= threshold).cast("int"))
     traced = segments.polygons(marked, keys, "__on", row, col)
     polys = F.array(F.transform("rings", lambda r: F.transform(r, lambda v: geo.point(v["x"], v["y"]))))
-    mean = probability.filter(F.col("p") >= threshold).groupBy(*keys).agg(F.avg("p").alias("mean_p"))
+    mean = probability.groupBy(*keys).agg(F.avg("p").alias("mean_p"))
     return traced.join(mean, keys).select(*keys, "piece", F.struct(F.lit("Polygon").alias("kind"), polys.alias("polys")).alias("geom"), "mean_p")
+
+
+def large_buildings(df: DataFrame, min_area: float = MIN_BUILDING_M2, column: str = "geom") -> DataFrame:
+    """Footprints that are there and have at least `min_area`, before they are regularised."""
+    return df.filter(geo.is_present(F.col(column)) & (geo.area(F.col(column)) >= min_area))

@@ -60,8 +60,29 @@ def distinct_classes(df: DataFrame, column: str = "class") -> DataFrame:
     return df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
 
 
+def draw(seed: int, *columns: str | Column) -> Column:
+    """60 bits of the MD5 of the seed and the columns as text between bars; any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def seeded_split(df: DataFrame, key: str, share: int = 8, seed: int = 42) -> DataFrame:
-    """is_val for max(1, n // share) rows by a seeded hash; a figure per scene, so a single window is small."""
-    order = Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("is_val", F.row_number().over(order) <= F.greatest(F.floor(n / share), F.lit(1)))
+    """is_val for the max(1, n // share) rows of least seeded draw. Only the drawn keys are ordered, as a top-k."""
+    marked = df.withColumn("__draw", draw(seed, key))
+    least = max(1, df.count() // share)
+    chosen = marked.select("__draw", key).orderBy("__draw", key).limit(least).select(F.col(key).alias("__key"), F.lit(True).alias("__val"))
+    return marked.join(chosen, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("is_val", F.coalesce("__val", F.lit(False))).drop("__draw", "__key", "__val")
+
+
+def renamed(df: DataFrame, names: dict[str, str], drop: str = "bbox-") -> DataFrame:
+    """Property columns under their new names; columns that start with `drop` go."""
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns if not c.startswith(drop)])
+
+
+def split_counts(scenes: DataFrame) -> DataFrame:
+    return scenes.groupBy("split").agg(F.count(F.lit(1)).alias("n_scenes"))
+
+
+def joined_features(features: DataFrame, pieces: DataFrame, keys: Sequence[str] = ("segment_id",)) -> DataFrame:
+    """Every feature row with each of its pieces (none: nulls)."""
+    return features.join(pieces, list(keys), "left")

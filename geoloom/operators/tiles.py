@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions import geometry as geo
+from geoloom.operators import schema
 
 
 def tiles(scenes: DataFrame, tile: int = 1024, overlap: int = 128) -> DataFrame:
@@ -47,7 +47,7 @@ def training_tiles(scenes: DataFrame, tile: int = 1024, patch: int = 256) -> Dat
 def crop_offset(size: Column, patch: int, seed: int, *ids: str, centre: bool = False) -> Column:
     """A seeded random, or the central, start of a crop."""
     room = F.greatest(size - patch, F.lit(0))
-    return F.floor(room / 2).cast("long") if centre else F.pmod(F.xxhash64(F.lit(seed), *ids), room + 1)
+    return F.floor(room / 2).cast("long") if centre else schema.draw(seed, *ids) % (room + 1)
 
 
 def dataset_length(n: Column, patches_per_tile: int, training: bool) -> Column:
@@ -64,10 +64,6 @@ def padded_bounds(boxes: DataFrame, keys: list[str], pad: float = 0.002) -> Data
     return boxes.groupBy(*keys).agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"))
 
 
-def footprint(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return geo.box(x0, y0, x1, y1)
-
-
 def good_tiles(pixels: DataFrame, keys: list[str], min_valid: int = 1000, min_mean: float = 5.0) -> DataFrame:
     """Tiles with enough valid pixels that are not black on the whole (mean over bands and all pixels)."""
     stats = pixels.groupBy(*keys).agg(F.count_if("valid").alias("n_valid"), (F.avg(F.col("r") + F.col("g") + F.col("b")) / 3).alias("mean_rgb"), F.avg(F.col("valid").cast("double")).alias("valid_share"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as geo
@@ -352,7 +352,7 @@ def q20_utm_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0, x1, y1 = _scene_corners()
     zone = geo.utm_zone((x0 + x1) / 2)
     boxed = s.withColumn("zone", zone).withColumn("geom", geo.box(x0, y0, x1, y1))
-    metric = boxed.withColumn("utm", geo.map_vertices(F.col("geom"), lambda v: geo.point(*geo.utm_forward(v["x"], v["y"], F.col("zone")))))
+    metric = boxed.withColumn("utm", overlay.to_utm(F.col("geom"), F.col("zone")))
     return metric.select("scene_id", (F.col("zone") + 32600).cast("int").alias("epsg"), F.floor(geo.area(F.col("utm")) + 0.5).cast("long").alias("area_m2"), F.floor(geo.length(F.col("utm")) + 0.5).cast("long").alias("length_m"))
 
 
@@ -496,6 +496,11 @@ def q29_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.seeded_split(s, "scene_id")
 
 
+_oracle("q29_val_split", """
+ t as (select scene_id, row_number() over (order by substr(md5(concat_ws('|', '42', cast(scene_id as varchar))), 1, 15), scene_id) k, count(*) over () n from v_scene where split = 'train')
+select scene_id, k <= greatest(1, n // 8) is_val from t""", "v_scene")
+
+
 @_query
 def q30_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "v_pixel").withColumn("m", (F.col("r") > 110))
@@ -529,23 +534,21 @@ _oracle("q31_dice_loss", """
 select cast(floor((bce + 0.5e0*miss)*1e6+0.5e0) as bigint) loss, cast(floor(dice*1e6+0.5e0) as bigint) dice, cast(floor(bce*1e6+0.5e0) as bigint) bce from f""", "v_prob")
 
 
-@_query
-def q32_ortho_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotated rectangles with a noisy vertex, regularised."""
-    import numpy as np
-    import pandas as pd
-
+def _turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted boxes with a vertex of noise, turned by the id's degrees about a corner."""
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
     ring = F.array(geo.point(x0, y0), geo.point((x0 + x1) / 2, y0 + 0.3), geo.point(x1, y0), geo.point(x1, y1), geo.point(x0, y1), geo.point(x0, y0))
-    p = view(spark, sf_dir, "v_pred").withColumn("geom", geo.rotate(F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(ring)).alias("polys")), (F.col("id") % 45).cast("double"), x0, y0))
+    return view(spark, sf_dir, "v_pred").withColumn("geom", geo.rotate(F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(ring)).alias("polys")), (F.col("id") % 45).cast("double"), x0, y0))
 
-    def run(batches):
-        for pdf in batches:
-            got = [kernels.ortho_snap([np.array([[v["x"], v["y"]] for v in r])]) for r in pdf["ring"]]
-            keep = [g is not None for g in got]
-            yield pd.DataFrame({"id": pdf["id"][keep], "area_m2": [kernels.polygon_area(g) for g in got if g], "n_vertices": [len(g[0]) - 1 for g in got if g]})
 
-    return p.select("id", F.col("geom.polys")[0][0].alias("ring")).mapInPandas(run, "id long, area_m2 double, n_vertices int")
+@_query
+def q32_ortho_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy turned rectangles, regularised: the rectangles themselves."""
+    out = overlay.ortho_snapped(_turned_boxes(spark, sf_dir).select("id", "geom"), tolerance=0.5)
+    return out.select("id", _scaled(geo.area(F.col("geom")), 1e3).alias("area_m2"), (F.size(F.col("geom.polys")[0][0]) - 1).alias("n_vertices"))
+
+
+_oracle("q32_ortho_snap", "select id, cast((x1-x0)*(y1-y0)*1000 as bigint) area_m2, cast(4 as int) n_vertices from v_pred", "v_pred")
 
 
 @_query
@@ -646,6 +649,367 @@ _oracle("q40_polygon_clip", """
 select scene_id, id, cast(floor(a * 100 + 0.5e0) as bigint) area from c where a > 0""", "v_pred")
 
 
+
+@_query
+def q41_training_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of at least a patch with the starts of a seeded and of the central crop, and the dataset's length."""
+    t = tiles.training_tiles(view(spark, sf_dir, "v_scene"), 600, 256)
+    n = tiles.dataset_length(F.count(F.lit(1)).over(Window.partitionBy("scene_id")), 4, True)
+    return t.select(
+        "scene_id", F.col("col_off").cast("long").alias("col_off"), F.col("row_off").cast("long").alias("row_off"), tiles.crop_offset(F.col("width"), 256, 7, "scene_id", "col_off", "row_off").alias("seeded"),
+        tiles.crop_offset(F.col("width"), 256, 7, centre=True).alias("central"), n.alias("n_patches"),
+    )
+
+
+_oracle("q41_training_tiles", """
+ t as (select scene_id, c col_off, r row_off, least(600, width_px - c) w, least(600, height_px - r) h from v_scene, range(0, 10000, 600) x(c), range(0, 10000, 600) y(r) where c < width_px and r < height_px),
+ k as (select * from t where w >= 256 and h >= 256)
+select scene_id, col_off, row_off, cast('0x' || substr(md5(concat_ws('|', '7', cast(scene_id as varchar), cast(col_off as varchar), cast(row_off as varchar))), 1, 15) as bigint) % (w - 255) seeded,
+  (w - 256) // 2 central, 4 * count(*) over (partition by scene_id) n_patches from k""", "v_scene")
+
+
+@_query
+def q42_city_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x0, y0, x1, y1 = _scene_corners()
+    boxes = view(spark, sf_dir, "v_scene").select("city", *[c.alias(n) for c, n in zip((x0, y0, x1, y1), spatial.BOX)])
+    return tiles.padded_bounds(boxes, ["city"]).select("city", *[_scaled(F.col(c)).alias(c) for c in spatial.BOX])
+
+
+_oracle("q42_city_bounds", """select city, cast(floor((min(lon0) - 0.002e0)*1e6+0.5e0) as bigint) x0, cast(floor((min(lat1 - height_px*res_deg) - 0.002e0)*1e6+0.5e0) as bigint) y0,
+ cast(floor((max(lon0 + width_px*res_deg) + 0.002e0)*1e6+0.5e0) as bigint) x1, cast(floor((max(lat1) + 0.002e0)*1e6+0.5e0) as bigint) y1 from v_scene group by 1""", "v_scene")
+
+
+@_query
+def q43_layer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available and renamed columns, stale labels dropped, segment ids over tiles, finite features, text nulls."""
+    g = view(spark, sf_dir, "v_gt").withColumn("bbox-0", F.col("x0")).withColumn("label", F.lit(9)).withColumn("tile_idx", F.col("id") % 7)
+    g = schema.renamed(g, {"class": "kind", "num_floors": "floors"})
+    g = schema.drop_present(schema.keep_available(g, ["id", "kind", "subtype", "floors", "height", "label", "tile_idx"]), "label", "overlap")
+    return g.select("id", schema.text_or_null(F.col("kind")).alias("kind"), schema.global_segment_id(F.col("tile_idx"), F.col("id")).alias("segment_id"), schema.finite(F.col("floors")).alias("floors"), F.lit(len(g.columns)).alias("n_columns"))
+
+
+_oracle("q43_layer_columns", """select id, case when class not in ('None', 'nan') then class end kind, (id % 7) * 100000 + id segment_id, case when num_floors is null or isnan(num_floors) then 0e0 else num_floors end floors, cast(5 as int) n_columns from v_gt""", "v_gt")
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as polygons, points, empty and missing geometries in turn."""
+    g = view(spark, sf_dir, "v_gt")
+    box, none = geo.box(*[F.col(c) for c in spatial.BOX]), F.lit(None).cast(geo.GEOM)
+    dot = F.struct(F.lit("Point").alias("kind"), F.array(F.array(F.array(geo.point(F.col("x0"), F.col("y0"))))).alias("polys"))
+    empty = F.struct(F.lit("Polygon").alias("kind"), F.slice(box["polys"], 1, 0).alias("polys"))
+    return g.withColumn("geom", F.when(F.col("id") % 4 == 0, dot).when(F.col("id") % 4 == 1, empty).when(F.col("id") % 4 == 2, none).otherwise(box))
+
+
+@_query
+def q44_geometry_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Present polygons of at least 30 m2, with the mean of their corners."""
+    g = _kinds(spark, sf_dir).filter(geo.is_polygonal(F.col("geom")) & geo.is_present(F.col("geom")))
+    kept = overlay.large_buildings(g, 90.0)
+    c = geo.corners_centre(F.slice(F.col("geom.polys")[0][0], 1, 4))
+    return kept.select("scene_id", "id", _scaled(c["x"], 10).alias("cx"), _scaled(c["y"], 10).alias("cy"))
+
+
+_oracle("q44_geometry_filters", "select scene_id, id, cast(floor((x0+x1)*5e0+0.5e0) as bigint) cx, cast(floor((y0+y1)*5e0+0.5e0) as bigint) cy from v_gt where id % 4 = 3 and (x1-x0)*(y1-y0) >= 90", "v_gt")
+
+
+@_query
+def q45_patch_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.good_patches(view(spark, sf_dir, "v_pixel"), ["tile_id"], 0.97).select("tile_id", _scaled(F.col("valid_share")).alias("valid_share"))
+
+
+_oracle("q45_patch_validity", "select tile_id, cast(floor(avg(cast(valid as int))*1e6+0.5e0) as bigint) valid_share from v_pixel group by 1 having avg(cast(valid as int)) >= 0.97e0", "v_pixel")
+
+
+@_query
+def q46_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("id") - 700) * 12_345
+    return view(spark, sf_dir, "v_pred").select("id", metrics.spaced(n).alias("whole"), metrics.percent(n / 8.0, 1).alias("share"))
+
+
+_oracle("q46_number_format", """select id, replace(replace(format('{:,}', (id-700)*12345), ',', ' '), '-', '−') whole, replace(replace(format('{:,.1f}', (id-700)*12345/8e0), '-', '−'), '', '') || '%' share from v_pred""", "v_pred")
+
+
+@_query
+def q47_network_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network input, where pixels go under flips and turns, probabilities, percents and detector classes."""
+    p = view(spark, sf_dir, "v_pixel")
+    row, col = px.augmented(F.col("prow"), F.col("pcol"), 8, F.col("tile_id") % 2 == 0, F.col("tile_id") % 3 == 0, F.col("tile_id"))
+    prob = px.sigmoid((px.scaled(F.col("r"), F.col("valid")) - 0.4) * 6)
+    out = p.select("tile_id", row.alias("row"), col.alias("col"), prob.alias("p"), px.detected_class((F.col("pos") % 12).cast("int")).alias("cls"))
+    return out.groupBy("tile_id").agg(F.sum(_scaled(F.col("p"), 1e4) * (F.col("row") * 8 + F.col("col") + 1)).alias("placed"), F.sum(px.confidence_pct(F.floor(F.col("p") * 1e4) / 1e4).cast("long")).alias("percents"), F.count_if(F.col("cls") == "car").alias("cars"), F.count("cls").alias("kept"))
+
+
+_oracle("q47_network_values", """
+ f as (select tile_id, pos, case when tile_id % 3 = 0 then 7 - prow else prow end r, case when tile_id % 2 = 0 then 7 - pcol else pcol end c, 1/(1+exp(-((case when valid then v_pixel.r/255 else 0 end) - 0.4e0)*6)) p from v_pixel),
+ t as (select *, case tile_id % 4 when 0 then r when 1 then 7 - c when 2 then 7 - r else c end rr, case tile_id % 4 when 0 then c when 1 then r when 2 then 7 - c else 7 - r end cc from f)
+select tile_id, cast(sum(cast(floor(p*1e4+0.5e0) as bigint) * (rr*8+cc+1)) as bigint) placed, cast(sum(cast(round_even(floor(p*1e4)/1e4*100, 0) as bigint)) as bigint) percents,
+ count(*) filter (pos % 12 = 10) cars, count(*) filter (pos % 12 in (9, 10)) kept from t group by 1""", "v_pixel")
+
+
+@_query
+def q48_move_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null-safe translation, and turns about the centroid that keep area and length."""
+    g = _kinds(spark, sf_dir)
+    moved = geo.translate(F.col("geom"), F.lit(-2.0), F.col("id") % 5 * 1.0)
+    c = geo.ring_centroid(F.col("geom.polys")[0][0])
+    b, turned = geo.bounds(moved), geo.rotate(F.col("geom"), F.lit(30.0), c["x"], c["y"])
+    rows = g.filter(F.col("id") % 4 >= 2).select("id", b["x0"].cast("long").alias("x0"), b["y1"].cast("long").alias("y1"), _scaled(geo.area(turned), 100).alias("area"), _scaled(geo.length(turned), 100).alias("length"))
+    return rows
+
+
+_oracle("q48_move_turn", """select id, case when id % 4 = 3 then cast(x0 - 2 as bigint) end x0, case when id % 4 = 3 then cast(y1 + id % 5 as bigint) end y1, case when id % 4 = 3 then cast((x1-x0)*(y1-y0)*100 as bigint) end area,
+ case when id % 4 = 3 then cast((x1-x0+y1-y0)*200 as bigint) end length from v_gt where id % 4 >= 2""", "v_gt")
+
+
+@_query
+def q49_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow ties in boxes: two triangles, half of the box."""
+    x0, y0, x1, y1 = (F.col(c) for c in spatial.BOX)
+    tie = F.array(geo.point(x0, y0), geo.point(x1, y1), geo.point(x1, y0), geo.point(x0, y1), geo.point(x0, y0))
+    g = view(spark, sf_dir, "v_pred").withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(tie)).alias("polys")))
+    return overlay.repaired(g).select("id", _scaled(geo.area(F.col("geom")), 100).alias("area"))
+
+
+_oracle("q49_repair", "select id, cast((x1-x0)*(y1-y0)*50 as bigint) area from v_pred", "v_pred")
+
+
+@_query
+def q50_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noisy vertex of turned boxes goes; the main direction is the longer side's."""
+    from geoloom.operators import outline
+
+    out = overlay.simplified(_turned_boxes(spark, sf_dir), 0.5)
+    angle = outline.principal_angle(F.col("geom"))
+    turned = F.pmod(F.round(angle - F.col("id") % 45, 6), F.lit(180.0))
+    return out.select("id", (F.size(F.col("geom.polys")[0][0]) - 1).alias("n_vertices"), F.when(F.col("x1") - F.col("x0") != F.col("y1") - F.col("y0"), F.pmod(F.round(turned), F.lit(180.0)).cast("long")).alias("angle"))
+
+
+_oracle("q50_simplify", "select id, cast(4 as int) n_vertices, case when x1-x0 > y1-y0 then cast(0 as bigint) when x1-x0 < y1-y0 then 90 end angle from v_pred", "v_pred")
+
+
+def _on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile's pixels with a label: 1 where red is strong, 2 where it is weak."""
+    return view(spark, sf_dir, "v_pixel").withColumn("segment_id", F.when(F.col("r") > 110, 1).otherwise(2))
+
+
+@_query
+def q51_label_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rasters as polygons: their areas are the pixels'."""
+    out = segments.polygons(_on(spark, sf_dir).select("tile_id", "prow", "pcol", "segment_id"), ["tile_id"])
+    polys = F.array(F.transform("rings", lambda r: F.transform(r, lambda v: geo.point(v["x"], v["y"]))))
+    shaped = out.withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), polys.alias("polys")))
+    return shaped.groupBy("tile_id", "segment_id").agg(F.count(F.lit(1)).alias("n_pieces"), _scaled(F.sum(geo.area(F.col("geom"))), 1).alias("area_px"), _scaled(F.sum(geo.length(F.col("geom"))), 1).alias("outline_px"))
+
+
+_oracle("q51_label_polygons", """
+ s as (select tile_id, pos, prow, pcol, cast(case when r > 110 then 1 else 2 end as int) segment_id from v_pixel),
+ w(tile_id, segment_id, root, pos, prow, pcol) as (select tile_id, segment_id, pos, pos, prow, pcol from s
+   union select w.tile_id, w.segment_id, w.root, s.pos, s.prow, s.pcol from w join s on s.tile_id = w.tile_id and s.segment_id = w.segment_id and abs(s.prow - w.prow) + abs(s.pcol - w.pcol) = 1),
+ c as (select tile_id, segment_id, pos, min(root) piece from w group by 1, 2, 3),
+ e as (select a.tile_id, a.pos, 4 - count(b.pos) free from s a left join s b on a.tile_id = b.tile_id and a.segment_id = b.segment_id and abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1 group by 1, 2)
+select tile_id, segment_id, count(distinct piece) n_pieces, count(*) area_px, cast(sum(free) as bigint) outline_px from c join e using (tile_id, pos) group by 1, 2""", "v_pixel")
+
+
+@_query
+def q52_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive regions of probability tiles, with the mean probability of the whole tile."""
+    p = view(spark, sf_dir, "v_pixel").select("tile_id", "prow", "pcol", (F.col("r") / 255).alias("p"))
+    out = overlay.footprints(p, ["tile_id"])
+    return out.groupBy("tile_id").agg(_scaled(F.sum(geo.area(F.col("geom"))), 1).alias("area_px"), _scaled(F.max("mean_p"), 1e4).alias("mean_p"))
+
+
+_oracle("q52_footprints", "select tile_id, count(*) filter (r/255 >= 0.5e0) area_px, cast(floor(avg(r/255)*1e4+0.5e0) as bigint) mean_p from v_pixel group by 1 having count(*) filter (r/255 >= 0.5e0) > 0", "v_pixel")
+
+
+@_query
+def q53_segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by overlap, use for training and the scenes' label counts."""
+    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id", "scene_id"])
+    f = f.withColumn("label", F.when(F.col("tile_id") % 3 == 0, 1).when(F.col("tile_id") % 3 == 1, 0).otherwise(-1)).withColumn("label", F.when(F.col("scene_id") % 2 == 0, F.col("label")))
+    summary = metrics.segment_summary(f.withColumn("tile_idx", F.col("tile_id")))
+    used = f.filter(spatial.usable_for_training()).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_train"))
+    return summary.join(used, "scene_id", "left")
+
+
+_oracle("q53_segment_summary", f"""
+ f as (select tile_id, scene_id, avg(cast({_VEG} as int)) v, avg(cast({_DARK} and not {_VEG} as int)) d, avg(cast({_SOIL} and not {_VEG} and not {_DARK} as int)) s from v_pixel group by 1, 2),
+ l as (select *, case when scene_id % 2 = 0 then case tile_id % 3 when 0 then 1 when 1 then 0 else -1 end end lab from f)
+select scene_id, count(distinct tile_id) n_tiles, count(*) n_segments, case when count(lab) > 0 then count(*) filter (lab = 1) end n_pos, case when count(lab) > 0 then count(*) filter (lab = 0) end n_neg,
+ nullif(count(*) filter (coalesce(lab, 0) <> -1 and not (v > 0.5e0 or d > 0.5e0 or s > 0.5e0)), 0) n_train from l group by 1""", "v_pixel")
+
+
+@_query
+def q54_building_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = view(spark, sf_dir, "v_pred").withColumn("area_m2", spatial.box_area().cast("double")).withColumn("class", F.when(F.col("area_m2") <= 250, "house").otherwise("apartment_block")).withColumn("confidence", (F.col("id") % 101).cast("int"))
+    s = metrics.building_summary(b)
+    return s.select("scene_id", "n_buildings_total", "n_house", "n_apartment_block", *[_micro(c) for c in ("total_area_m2", "mean_area_m2", "mean_confidence")])
+
+
+_oracle("q54_building_summary", """
+ b as (select scene_id, id, cast((x1-x0)*(y1-y0) as double) a from v_pred)
+select scene_id, count(*) n_buildings_total, count(*) filter (a <= 250) n_house, count(*) filter (a > 250) n_apartment_block, cast(floor(sum(a)*1e3+0.5e0) as bigint) total_area_m2, cast(floor(avg(a)*1e3+0.5e0) as bigint) mean_area_m2,
+ cast(floor(avg(id % 101)*1e3+0.5e0) as bigint) mean_confidence from b group by 1""", "v_pred")
+
+
+@_query
+def q55_segment_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = segments.shape_features(_on(spark, sf_dir), ["tile_id", "segment_id"]).withColumn("perimeter_px", 4 * F.sqrt("area_px"))
+    f = segments.with_compactness(f)
+    return f.select("tile_id", "segment_id", "area_px", *[_scaled(F.col(c), 1e4).alias(c) for c in ("extent", "major_axis_len", "minor_axis_len", "eccentricity", "shape_index", "compactness")])
+
+
+_oracle("q55_segment_shape", """
+ s as (select tile_id, cast(case when r > 110 then 1 else 2 end as int) segment_id, cast(prow as double) r, cast(pcol as double) c from v_pixel),
+ m as (select tile_id, segment_id, count(*) area_px, count(*) / ((max(r)-min(r)+1)*(max(c)-min(c)+1)) extent, var_pop(r)+1/12e0 rr, var_pop(c)+1/12e0 cc, covar_pop(r, c) rc from s group by 1, 2),
+ a as (select *, (rr+cc+sqrt((rr-cc)*(rr-cc)+4*rc*rc))/2 big, greatest((rr+cc-sqrt((rr-cc)*(rr-cc)+4*rc*rc))/2, 0) small from m)
+select tile_id, segment_id, area_px, cast(floor(extent*1e4+0.5e0) as bigint) extent, cast(floor(4*sqrt(big)*1e4+0.5e0) as bigint) major_axis_len, cast(floor(4*sqrt(small)*1e4+0.5e0) as bigint) minor_axis_len,
+ cast(floor(sqrt(1-small/big)*1e4+0.5e0) as bigint) eccentricity, cast(floor(4*sqrt(area_px)/(4*sqrt(area_px+1e-6))*1e4+0.5e0) as bigint) shape_index, cast(floor(4*pi()*area_px/(16*area_px+1e-6)*1e4+0.5e0) as bigint) compactness from a""", "v_pixel")
+
+
+@_query
+def q56_city_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    out, top = metrics.city_peaks(m), metrics.peak(m, "n_cars").select(F.col("scene_id").alias("top_scene"))
+    return out.join(F.broadcast(top), F.lit(True)).select("city", _micro("mean"), _micro("mean_density"), "peak_scene", "peak", "top_scene")  # one row
+
+
+_oracle("q56_city_peaks", _METRICS_SQL + """,
+ p as (select city, avg(n_cars) mean, avg(buildings_density_per_km2) mean_density, max(n_cars) peak, arg_max(scene_id, n_cars * 1000 - scene_id) peak_scene from m group by 1)
+select city, cast(floor(mean*1e3+0.5e0) as bigint) mean, cast(floor(mean_density*1e3+0.5e0) as bigint) mean_density, peak_scene, peak, (select scene_id from m order by n_cars desc, scene_id limit 1) top_scene from p""", "v_scene", "v_pred", "v_det", "v_gt")
+
+
+@_query
+def q57_sorted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of report rows: scenes with the aggregate at the end, classes by name, splits."""
+    counts = spatial.match_objects(view(spark, sf_dir, "v_pred"), view(spark, sf_dir, "v_gt"))
+    place = lambda df, what, name: spark.createDataFrame([(what, i, str(r[0])) for i, r in enumerate(df.select(name).collect())], "report string, place int, name string")  # noqa: E731  a report's rows
+    last = place(metrics.aggregate_last(metrics.with_aggregate(counts)), "scenes", "scene_id")
+    kinds = place(schema.distinct_classes(view(spark, sf_dir, "v_gt")), "classes", "class")
+    splits = schema.split_counts(view(spark, sf_dir, "v_scene")).select(F.lit("splits").alias("report"), F.col("n_scenes").cast("int").alias("place"), F.col("split").alias("name"))
+    return schema.concat(last, kinds, splits)
+
+
+_oracle("q57_sorted_reports", """
+ s as (select distinct cast(scene_id as varchar) n from (select scene_id from v_pred union select scene_id from v_gt))
+select 'scenes' report, cast(row_number() over (order by n = 'AGGREGATE', n) - 1 as int) place, n as "name" from (select n from s union all select 'AGGREGATE')
+union all select 'classes', cast(row_number() over (order by class) - 1 as int), class from (select distinct class from v_gt where class is not null)
+union all select 'splits', cast(count(*) as int), split from v_scene group by split""", "v_pred", "v_gt", "v_scene")
+
+
+@_query
+def q58_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oriented boxes to points of two classes, duplicates suppressed."""
+    d = view(spark, sf_dir, "v_det").withColumn("class_no", (F.col("id") % 12).cast("int")).withColumn("conf", F.col("conf") / 100)
+    x, y = F.col("x"), F.col("y")
+    corners = F.array(geo.point(x - 1, y - 2), geo.point(x + 3, y - 2), geo.point(x + 3, y + 4), geo.point(x - 1, y + 4))
+    raw = d.select("scene_id", "id", "class_no", "conf", corners.alias("corners"), F.lit(100).alias("col_off"), F.lit(50).alias("row_off"))
+    one, zero = F.lit(0.5), F.lit(0.0)
+    out = ml.detections(raw, [one, zero, F.lit(7.0), zero, -one, F.lit(9.0)])
+    return out.select("scene_id", "id", "cls", "confidence", _scaled(F.col("lon"), 1e3).alias("lon"), _scaled(F.col("lat"), 1e3).alias("lat"))
+
+
+_oracle("q58_detections", """select scene_id, id, case id % 12 when 10 then 'car' else 'large_vehicle' end cls, cast(conf as int) confidence, cast(floor(((100 + x + 1)*0.5e0 + 7)*1e3+0.5e0) as bigint) lon, cast(floor(((50 + y + 1)*-0.5e0 + 9)*1e3+0.5e0) as bigint) lat
+ from v_det where id % 12 in (9, 10) and conf/100e0 >= 0.25e0""", "v_det")
+
+
+@_query
+def q59_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid patches through a pluggable function, averaged to a mosaic and cut at a threshold."""
+    p = view(spark, sf_dir, "v_pixel")
+    kept = p.join(tiles.good_patches(p, ["tile_id"], 0.9).select("tile_id"), "tile_id", "left_semi")
+    out = ml.infer(kept.select("scene_id", "tile_id", "prow", "pcol", "r"), lambda pdf: (pdf["r"] / 255) ** 2)
+    placed = out.select("scene_id", ((F.col("tile_id") % 10) * 6 + F.col("prow")).alias("arow"), ((F.floor(F.col("tile_id") / 10) % 10) * 6 + F.col("pcol")).alias("acol"), "p")
+    m = tiles.mosaic(placed, ["scene_id", "arow", "acol"], threshold=0.3)
+    return m.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_places"), F.sum(_scaled(F.col("p"), 1e4)).alias("p"), F.count_if(_scaled(F.col("p"), 1e4) >= 3000).alias("n_on"))
+
+
+_oracle("q59_inference", """
+ k as (select tile_id from v_pixel group by 1 having avg(cast(valid as int)) >= 0.9e0),
+ m as (select scene_id, (tile_id % 10)*6 + prow arow, (cast(floor(tile_id/10) as bigint) % 10)*6 + pcol acol, avg((r/255)*(r/255)) p from v_pixel where tile_id in (select tile_id from k) group by 1, 2, 3)
+select scene_id, count(*) n_places, cast(sum(cast(floor(p*1e4+0.5e0) as bigint)) as bigint) p, count(*) filter (cast(floor(p*1e4+0.5e0) as bigint) >= 3000) n_on from m group by 1""", "v_pixel")
+
+
+@_query
+def q60_land_cover_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land-cover classes of segments with each of their pieces; of the pieces' labels the last one counts."""
+    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"]).withColumnRenamed("tile_id", "segment_id")
+    cover = rules.land_cover(f, 0.4).select("segment_id", "class", "confidence")
+    pieces = view(spark, sf_dir, "v_gt").select((F.col("id") % 700).alias("segment_id"), F.col("id").alias("piece"), spatial.box_area().alias("area_m2"))
+    joined = schema.joined_features(cover, pieces)
+    last = spatial.last_piece(pieces.withColumn("label", F.col("piece") % 2)).select("segment_id", F.col("label").alias("last_label"))
+    return joined.join(last, "segment_id", "left").select("segment_id", "class", "confidence", "piece", "area_m2", "last_label")
+
+
+_oracle("q60_land_cover_pieces", _SEG + """,
+ c as (select tile_id segment_id, 'vegetation' class, cast(round_even(frac_vegetation * 100, 0) as int) confidence from f where frac_vegetation >= 0.4e0
+  union all select tile_id, 'bare_soil', cast(round_even(frac_soil * 100, 0) as int) from f where frac_soil >= 0.4e0),
+ g as (select id % 700 segment_id, id piece, (x1-x0)*(y1-y0) area_m2, max(id) over (partition by id % 700) % 2 last_label from v_gt)
+select c.segment_id, class, confidence, piece, area_m2, last_label from c left join g using (segment_id)""", "v_pixel", "v_gt")
+
+
+def _l_shaped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return view(spark, sf_dir, name).withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(_l_ring())).alias("polys")))
+
+
+_L_SQL = """
+ l as (select 'a' side, scene_id, id, cast(x0 as double) x0, cast(y0 as double) y0, cast(x1 as double) x1, (y0+y1)/2e0 y1 from v_pred union all select 'a', scene_id, id, x0, (y0+y1)/2e0, (x0+x1)/2e0, y1 from v_pred
+  union all select 'b', scene_id, id, x0, y0, x1, (y0+y1)/2e0 from v_gt union all select 'b', scene_id, id, x0, (y0+y1)/2e0, (x0+x1)/2e0, y1 from v_gt)"""
+
+
+@_query
+def q61_polygon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-shaped objects: those of one scene that touch, and their shared areas."""
+    a, b = _l_shaped(spark, sf_dir, "v_pred").select("scene_id", "id", "geom", *spatial.BOX), _l_shaped(spark, sf_dir, "v_gt").select("scene_id", "id", "geom", *spatial.BOX)
+    pairs = spatial.box_pairs(a, b).filter(overlay.intersects(F.col("l_geom"), F.col("r_geom")))
+    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), _scaled(overlay.intersection_area(F.col("l_geom"), F.col("r_geom")), 100).alias("shared"))
+
+
+_oracle("q61_polygon_match", _L_SQL + """
+select p.id a, q.id b, cast(floor(sum(greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)))*100+0.5e0) as bigint) shared
+from l p join l q on p.side = 'a' and q.side = 'b' and p.scene_id = q.scene_id and p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1 group by 1, 2""".replace("\nselect", " select", 1), "v_pred", "v_gt")
+
+
+@_query
+def q62_polygon_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union areas of L-shaped layers of the hold-out scenes."""
+    scenes = view(spark, sf_dir, "v_scene").filter("split = 'holdout'").select("scene_id")
+    every = [_l_shaped(spark, sf_dir, v).select("scene_id", "geom", F.lit(n).alias("layer")) for v, n in (("v_pred", "a"), ("v_gt", "b"))]
+    areas = overlay.union_areas(schema.concat(*every).join(F.broadcast(scenes), "scene_id", "left_semi"))  # scenes are few by definition
+    return areas.select("scene_id", *[_scaled(F.col(c), 4).alias(c) for c in ("area_a", "area_b", "area_ab")])
+
+
+_oracle("q62_polygon_unions", _L_SQL + """,
+ h as (select scene_id from v_scene where split = 'holdout'),
+ c as (select distinct side, scene_id, x, y from l join h using (scene_id), range(0, 2100) i(x), range(0, 2100) j(y) where x/2e0 >= x0 and x/2e0 < x1 and y/2e0 >= y0 and y/2e0 < y1),
+ k as (select scene_id, x, y, bool_or(side = 'a') a, bool_or(side = 'b') b from c group by 1, 2, 3)
+select scene_id, count(*) filter (a) area_a, count(*) filter (b) area_b, count(*) filter (a and b) area_ab from k group by 1""", "v_pred", "v_gt", "v_scene")
+
+
+@_query
+def q63_inverse_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene corners to UTM and back."""
+    x0, y0, x1, y1 = _scene_corners()
+    s = view(spark, sf_dir, "v_scene").withColumn("zone", geo.utm_zone(x0)).withColumn("geom", geo.box(x0, y0, x1, y1))
+    there = s.withColumn("geom", overlay.to_utm(F.col("geom"), F.col("zone")))
+    back = there.withColumn("geom", overlay.to_wgs84(F.col("geom"), F.col("zone")))
+    b = geo.bounds(F.col("geom"))
+    return back.select("scene_id", geo.utm_epsg(x0).alias("epsg"), *[_scaled(b[c], 1e8).alias(c) for c in spatial.BOX])
+
+
+_oracle("q63_inverse_projection", """select scene_id, cast(floor((lon0 + 180)/6) + 32601 as int) epsg, cast(floor(lon0*1e8+0.5e0) as bigint) x0, cast(floor((lat1 - height_px*res_deg)*1e8+0.5e0) as bigint) y0,
+ cast(floor((lon0 + width_px*res_deg)*1e8+0.5e0) as bigint) x1, cast(floor(lat1*1e8+0.5e0) as bigint) y1 from v_scene""", "v_scene")
+
+
+@_query
+def q64_train_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of unlike size, by epoch."""
+    steps = view(spark, sf_dir, "v_pred").select((F.col("id") % 9).alias("epoch"), ((F.col("id") % 97) / 8.0).alias("loss"), (F.col("id") % 5 + 1).alias("n"))
+    return metrics.mean_loss(steps).select("epoch", _scaled(F.col("train_loss")).alias("train_loss"))
+
+
+_oracle("q64_train_loss", "select id % 9 epoch, cast(floor(sum((id % 97)/8e0 * (id % 5 + 1))/sum(id % 5 + 1)*1e6+0.5e0) as bigint) train_loss from v_pred group by 1", "v_pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_ALL)
 

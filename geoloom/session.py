@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +21,19 @@ def session(master: str | None = None, app: str = "geoloom", **extra: str) -> Sp
     for k, v in {**SETTINGS, **extra}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names, which driver and executors share. Only a session on
+    one machine may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once and read back, so that later jobs never rerun its lineage."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

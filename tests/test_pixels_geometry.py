@@ -97,11 +97,28 @@ def test_touching_boxes_intersect():
 
 def test_ortho_snap_squares_a_noisy_rectangle():
     ring = np.array([[0, 0], [5, 0.3], [10, 0], [10, 6], [0, 6], [0, 0]], float)
-    got = k.ortho_snap([k.turned(ring, 30, np.array([0.0, 0.0]))])
+    (got,) = k.ortho_snap([k.turned(ring, 30, np.array([0.0, 0.0]))])
     back = k.turned(got[0], -k.principal_angle(got[0]), k.centroid(got[0]))
     steps = np.abs(np.diff(back, axis=0))
     assert (np.minimum(steps[:, 0], steps[:, 1]) < 1e-6).all() and k.polygon_area(got) == pytest.approx(60, abs=3)
-    assert k.ortho_snap([ring / 10]) is None
+    assert k.ortho_snap([ring / 10]) == []
+
+
+def test_snapped_and_simplified_polygons_are_sound():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        angles = np.sort(rng.random(rng.integers(4, 14)) * 2 * np.pi)
+        pts = np.stack((np.cos(angles), np.sin(angles)), 1) * (3 + 9 * rng.random((len(angles), 1)))
+        ring = np.vstack((pts, pts[:1]))
+        out = k.simplify_safely(ring, 1.5)
+        assert k.crosses(ring) or not k.crosses(out)
+        for p in k.ortho_snap([ring], 1.0):
+            assert k.polygon_area(p) == pytest.approx(k.area_of(k.repaired([p])), rel=1e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("ring, bad", [([(0, 0), (4, 0), (4, 3), (0, 3), (0, 0)], False), ([(0, 0), (4, 3), (4, 0), (0, 3), (0, 0)], True), ([(0, 0), (4, 0), (2, 0), (2, 3), (0, 0)], True), ([(0, 0), (4, 0), (0, 3), (0, 0)], False)])
+def test_crossing_rings_are_seen(ring, bad):
+    assert k.crosses(np.array(ring, float)) == bad
 
 
 def test_trace_and_rasterize_are_inverse():

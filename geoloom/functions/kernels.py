@@ -286,9 +286,10 @@ def disk(radius: int) -> list[tuple[int, int]]:
 
 
 def _moved(mask: np.ndarray, radius: int, outside: bool, any_: bool) -> np.ndarray:
-    h, w = mask.shape
-    pad = np.pad(mask, radius, constant_values=outside)
-    looks = [pad[radius + i : radius + i + h, radius + j : radius + j + w] for i, j in disk(radius)]
+    """Over the disk around each pixel of one mask or, along the first axis, of many."""
+    h, w = mask.shape[-2:]
+    pad = np.pad(mask, [(0, 0)] * (mask.ndim - 2) + [(radius, radius)] * 2, constant_values=outside)
+    looks = [pad[..., radius + i : radius + i + h, radius + j : radius + j + w] for i, j in disk(radius)]
     return np.logical_or.reduce(looks) if any_ else np.logical_and.reduce(looks)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,14 +55,26 @@ def cross_validated(df: DataFrame, features: list[str], key: str, label: str = "
     return c.select(((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def shifted_overlap(segments: DataFrame, refs: DataFrame, shifts: DataFrame, **cells) -> DataFrame:
-    """Shared area of all segments with the references moved by each (dx, dy) of the grid `shifts` (few rows): one
-    plan instead of a loop. Zero shifts move nothing."""
-    moved = refs.crossJoin(F.broadcast(shifts.select("shift", "dx", "dy")))  # a grid of fixed size
-    moved = moved.withColumns({"x0": F.col("x0") - F.col("dx"), "x1": F.col("x1") - F.col("dx"), "y0": F.col("y0") - F.col("dy"), "y1": F.col("y1") - F.col("dy")}).drop("dx", "dy")
-    # a segment meets all shifts of a reference in one pass
-    pairs = spatial.box_pairs(segments, moved, **cells)
-    return pairs.groupBy(F.col("r_shift").alias("shift")).agg(F.sum(spatial.pair_overlap()).alias("shared"))
+def shifted_overlap(segments: DataFrame, refs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Shared area of all segments with the references moved by each (dx, dy) of the grid `shifts`, of fixed size.
+
+    References are joined once, widened by the farthest shifts; a pair's shared widths by dx and heights by dy are
+    independent, so a pair makes a row for each dx that meets, and a sum for each dy."""
+    grid = shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).collect()
+    xs, ys = sorted({r.dx for r in grid}), sorted({r.dy for r in grid})
+    own = [F.col(c).alias(f"own_{c}") for c in spatial.BOX]
+    wide = refs.select("*", *own).withColumns({"x0": F.col("x0") - max(xs), "x1": F.col("x1") - min(xs), "y0": F.col("y0") - max(ys), "y1": F.col("y1") - min(ys)})
+    pairs = spatial.box_pairs(segments, wide)
+
+    def shared(axis: str, d: Column) -> Column:
+        low, high = F.greatest(F.col(f"l_{axis}0"), F.col(f"r_own_{axis}0") - d), F.least(F.col(f"l_{axis}1"), F.col(f"r_own_{axis}1") - d)
+        return F.greatest(high - low, F.lit(0.0))
+
+    across = F.filter(F.transform(F.array(*[F.lit(x) for x in xs]), lambda d: F.struct(d.alias("dx"), shared("x", d).alias("w"))), lambda s: s["w"] > 0)
+    rows = pairs.select(F.explode(across).alias("s"), *[shared("y", F.lit(y)).alias(f"h{k}") for k, y in enumerate(ys)])
+    sums = rows.groupBy("s.dx").agg(*[F.sum(F.col("s.w") * F.col(f"h{k}")).alias(f"a{k}") for k in range(len(ys))])
+    long = sums.select("dx", F.explode(F.array(*[F.struct(F.lit(y).alias("dy"), F.col(f"a{k}").alias("shared")) for k, y in enumerate(ys)])).alias("s")).select("dx", "s.*")
+    return long.join(F.broadcast(shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))), ["dx", "dy"]).filter("shared > 0").select("shift", "shared")
 
 
 def best_shift(scores: DataFrame, score: str = "shared", n: int = 10) -> DataFrame:

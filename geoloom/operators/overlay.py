@@ -102,10 +102,10 @@ def with_bounds(df: DataFrame, geometry: str = "geom") -> DataFrame:
     return df.withColumns({c: b[c] for c in spatial.BOX})
 
 
-def clipped(layer: DataFrame, scenes: DataFrame, geometry: str = "geom", cell: float = 512.0) -> DataFrame:
+def clipped(layer: DataFrame, scenes: DataFrame, geometry: str = "geom") -> DataFrame:
     """Polygon rows cut to every scene box they meet (scene_id, x0, y0, x1, y1); what only touches a box goes."""
     one = F.lit(0)
-    pairs = spatial.box_pairs(with_bounds(layer.drop("scene_id"), geometry).withColumn("all", one), scenes.select("scene_id", *spatial.BOX).withColumn("all", one), "all", cell=cell)
+    pairs = spatial.box_pairs(with_bounds(layer.drop("scene_id"), geometry).withColumn("all", one), scenes.select("scene_id", *spatial.BOX).withColumn("all", one), "all")
 
     @F.arrow_udf(geo.GEOM)
     def cut(g: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
@@ -120,11 +120,11 @@ def clipped(layer: DataFrame, scenes: DataFrame, geometry: str = "geom", cell: f
     return out.select(F.col("r_scene_id").alias("scene_id"), *[F.col(f"l_{c}").alias(c) for c in keep], F.col("l_geom").alias(geometry))
 
 
-def subtracted(cover: DataFrame, buildings: DataFrame, min_area: float = SLIVER_M2, **cells) -> DataFrame:
+def subtracted(cover: DataFrame, buildings: DataFrame, min_area: float = SLIVER_M2) -> DataFrame:
     """Cover polygons (scene_id, id, geom) minus all buildings of their scene. A polygon is a group with the buildings
     that touch it; slivers of at most `min_area` go, in scenes with buildings only."""
     a, b = with_bounds(cover), with_bounds(buildings.select("scene_id", "geom"))
-    pairs = spatial.box_pairs(a.select("scene_id", "id", *spatial.BOX), b, **cells)
+    pairs = spatial.box_pairs(a.select("scene_id", "id", *spatial.BOX), b)
     near = pairs.groupBy(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.collect_list("r_geom").alias("near"))
 
     @F.arrow_udf(geo.GEOM)
@@ -164,9 +164,9 @@ def union_areas(polygons: DataFrame, keys: tuple[str, ...] = ("scene_id",), laye
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("area_a", "area_b", "area_ab")])
 
 
-def rasterized(patches: DataFrame, polygons: DataFrame, size: int, **cells) -> DataFrame:
+def rasterized(patches: DataFrame, polygons: DataFrame, size: int) -> DataFrame:
     """Patches (scene_id, id, box in pixels) with mask: a byte for each pixel, 1 where its centre lies in a polygon."""
-    pairs = spatial.box_pairs(patches.select("scene_id", "id", *spatial.BOX), with_bounds(polygons.select("scene_id", "geom")), **cells)
+    pairs = spatial.box_pairs(patches.select("scene_id", "id", *spatial.BOX), with_bounds(polygons.select("scene_id", "geom")))
     near = pairs.groupBy(F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.collect_list("r_geom").alias("near"))
 
     @F.arrow_udf("binary")

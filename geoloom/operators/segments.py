@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,41 @@ def with_masks(pixels: DataFrame) -> DataFrame:
     return out.withColumn("cover", px.prioritized(F.col("veg"), F.col("dark"), F.col("bare")))
 
 
+def cleaned(mask: Column, width: Column, radius: int = 3) -> Column:
+    """A tile's mask (an array of booleans, row by row) opened and then closed by a disk. Tiles stay rows: nothing is
+    shuffled, and tiles of one shape are worked on together."""
+
+    @F.arrow_udf("array<boolean>")
+    def run(masks: pa.Array, widths: pa.Array) -> pa.Array:
+        flat, at, w = masks.values.to_numpy(zero_copy_only=False).astype(bool), masks.offsets.to_numpy(), widths.to_numpy(zero_copy_only=False).astype(int)
+        size = np.diff(at)
+        out = np.zeros(len(flat), bool)
+        for shape in set(zip(size.tolist(), w.tolist())):
+            if shape[0]:
+                which = np.flatnonzero((size == shape[0]) & (w == shape[1]))
+                places = at[which][:, None] + np.arange(shape[0])
+                planes = flat[places].reshape(len(which), -1, shape[1])
+                out[places] = kernels.closed(kernels.opened(planes, radius), radius).reshape(len(which), -1)
+        return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(out[at[0] : at[-1]]))
+
+    return run(mask, width)
+
+
+def masked_pixels(tiles: DataFrame, keys: list[str], radius: int = 3) -> DataFrame:
+    """Tile rows (keys, width, arrays r, g, b, valid row by row) to pixel rows with veg, dark and bare, each opened and
+    closed by a disk as whole masks, and the class by priority. `radius` 0 leaves the masks as they are."""
+    bands = F.arrays_zip("r", "g", "b", "valid")
+    out = tiles.select(*keys, "width", "r", "g", "b", "valid")
+
+    def over_tile(mask) -> Column:
+        return F.transform(bands, lambda p: F.coalesce(mask(p["r"], p["g"], p["b"], p["valid"]), F.lit(False)))
+
+    for name, mask in (("veg", px.vegetation), ("dark", px.shadow), ("bare", px.soil)):
+        out = out.withColumn(name, cleaned(over_tile(mask), F.col("width"), radius) if radius else over_tile(mask))
+    cells = out.select(*keys, "width", F.posexplode(F.arrays_zip("r", "g", "b", "valid", "veg", "dark", "bare")).alias("pos", "p")).select(*keys, "pos", F.floor(F.col("pos") / F.col("width")).alias("prow"), (F.col("pos") % F.col("width")).cast("long").alias("pcol"), "p.*")
+    return cells.withColumn("cover", px.prioritized(F.col("veg"), F.col("dark"), F.col("bare")))
+
+
 def color_features(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """18 colour features (population deviations; hue averaged arithmetically) and the three mask shares."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
@@ -109,16 +145,6 @@ def _plane(pdf: pd.DataFrame, value: str, row: str, col: str, dtype) -> tuple[np
     return out, r, c
 
 
-def cleaned_mask(pixels: DataFrame, keys: list[str], mask: str, radius: int = 3, row: str = "prow", col: str = "pcol") -> DataFrame:
-    """Pixels with `mask` opened and then closed by a disk, tile by tile."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane, r, c = _plane(pdf, mask, row, col, bool)
-        return pdf.assign(**{mask: kernels.closed(kernels.opened(plane, radius), radius)[r, c]})
-
-    return pixels.groupBy(*keys).applyInPandas(run, pixels.schema)
-
-
 def superpixels(pixels: DataFrame, keys: list[str], n_segments: int = 200, compactness: float = 15.0, row: str = "prow", col: str = "pcol") -> DataFrame:
     """Pixels with segment_id (0 where not valid), by local k-means in colour and place, tile by tile."""
 

@@ -62,6 +62,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+def tile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_pixel before it is taken apart: a row for each tile, with arrays r, g, b and valid row by row."""
+    e = lambda shift: f"cast(embedding[cast((p + {shift}) % 64 as int)] as double)"
+    band = lambda shift: f"transform(sequence(0, 63), p -> cast(least(255e0, greatest(0e0, floor(({e(shift)} + 0.6e0) * 200e0))) as double))"
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return table.selectExpr("vec_id tile_id", "cast(label as bigint) scene_id", "8 width", f"{band(0)} r", f"{band(21)} g", f"{band(42)} b", f"transform(sequence(0, 63), p -> {e(0)} > -0.3e0) valid")
+
+
 def duck(name: str) -> str:
     """The view's text for DuckDB, where the driver tables have their own names."""
     return re.sub(r"\{(\w+)\}", r"\1", _elements(VIEWS[name], 1))

@@ -15,7 +15,7 @@ from geoloom.functions import geometry as geo
 from geoloom.functions import kernels
 from geoloom.functions import pixels as px
 from geoloom.operators import metrics, ml, overlay, rules, schema, segments, spatial, tiles
-from geoloom.plans.views import view, with_views
+from geoloom.plans.views import tile_rows, view, with_views
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -161,30 +161,59 @@ _DARK = f"((r+g+b)/3 < 60 and {_INDEX_SQL['s']} > 0 and valid)"
 _SOIL = "(r >= g-5 and r > b+8 and g > b and 2*g-r-b < 5 and (r+g+b)/3 > 70 and (r+g+b)/3 < 200 and valid)"
 
 
+def _cleaned_sql(source: str, radius: int, masks: tuple[str, ...], out: str) -> str:
+    """CTEs that open and then close masks (0 or 1) of tiles by a disk; outside counts as set for erosion and unset for
+    dilation."""
+    steps, last = [], source
+    for k, f in enumerate(("min", "max", "max", "min")):
+        name = out if k == 3 else f"{out}{k}"
+        steps.append(f"{name} as materialized (select a.tile_id, a.pos, a.prow, a.pcol, {', '.join(f'{f}(b.{m}) {m}' for m in masks)} from {last} a join {last} b on a.tile_id = b.tile_id and (a.prow-b.prow)*(a.prow-b.prow) + (a.pcol-b.pcol)*(a.pcol-b.pcol) <= {radius * radius} group by 1, 2, 3, 4)")
+        last = name
+    return ", ".join(steps)
+
+
+def _masked(spark: SparkSession, sf_dir: str, radius: int = 3) -> DataFrame:
+    return segments.masked_pixels(tile_rows(spark, sf_dir), ["tile_id", "scene_id"], radius)
+
+
+def _masked_sql(radius: int) -> str:
+    """v_mask: the pixels with their cleaned masks as 0 or 1."""
+    raw = f"mk as materialized (select tile_id, pos, prow, pcol, cast({_VEG} as int) veg, cast({_DARK} as int) dark, cast({_SOIL} as int) bare from v_pixel)"
+    return raw + ", " + _cleaned_sql("mk", radius, ("veg", "dark", "bare"), "mc") + ", v_mask as (select v_pixel.*, veg = 1 veg, dark = 1 dark, bare = 1 bare from v_pixel join mc using (tile_id, pos))"
+
+
 @_query
 def q08_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = segments.with_masks(view(spark, sf_dir, "v_pixel"))
-    return p.groupBy("scene_id").agg(F.count_if("veg").alias("veg"), F.count_if("dark").alias("dark"), F.count_if("bare").alias("bare"), *[F.count_if(F.col("cover") == c).alias(f"c_{c}") for c in ("vegetation", "shadow", "soil")])
+    """Masks as the thresholds give them, and cleaned by a small and by the default disk."""
+    parts = []
+    for radius in (0, 1, 3):
+        p = _masked(spark, sf_dir, radius)
+        parts.append(p.groupBy("scene_id").agg(F.lit(radius).alias("radius"), F.count_if("veg").alias("veg"), F.count_if("dark").alias("dark"), F.count_if("bare").alias("bare"), *[F.count_if(F.col("cover") == c).alias(f"c_{c}") for c in ("vegetation", "shadow", "soil")]))
+    return schema.concat(*parts)
 
 
-_oracle("q08_masks", f"""
- m as (select scene_id, {_VEG} veg, {_DARK} dark, {_SOIL} bare from v_pixel)
-select scene_id, count(*) filter (veg) veg, count(*) filter (dark) dark, count(*) filter (bare) bare, count(*) filter (veg) c_vegetation,
-       count(*) filter (dark and not veg) c_shadow, count(*) filter (bare and not veg and not dark) c_soil from m group by 1""", "v_pixel")
+_oracle("q08_masks", f"mk as materialized (select tile_id, pos, prow, pcol, cast({_VEG} as int) veg, cast({_DARK} as int) dark, cast({_SOIL} as int) bare from v_pixel), " + _cleaned_sql("mk", 1, ("veg", "dark", "bare"), "m1") + ", " + _cleaned_sql("mk", 3, ("veg", "dark", "bare"), "m3") + """,
+ m as (select 0 radius, * from mk union all select 1, * from m1 union all select 3, * from m3)
+select scene_id, cast(radius as int) radius, cast(sum(veg) as bigint) veg, cast(sum(dark) as bigint) dark, cast(sum(bare) as bigint) bare, cast(sum(veg) as bigint) c_vegetation,
+       count(*) filter (dark = 1 and veg = 0) c_shadow, count(*) filter (bare = 1 and veg = 0 and dark = 0) c_soil from m join (select distinct tile_id, scene_id from v_pixel) using (tile_id) group by 1, 2""", "v_pixel")
 
 
 @_query
 def q09_segment_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"])
+    f = segments.color_features(_masked(spark, sf_dir), ["tile_id"])
     names = ("r_mean", "g_mean", "b_mean", "r_std", "intensity_mean", "intensity_std", "exg_mean", "v_idx_mean", "cive_mean", "vig_mean", "frac_vegetation", "frac_shadow", "frac_soil")
-    return f.select("tile_id", *[F.floor(F.col(c) * 1e4 + 0.5).cast("long").alias(c) for c in names])
+    # a mean's last digit depends on the order of its sum: halves are nudged up
+    return f.select("tile_id", *[F.floor(F.col(c) * 1e4 + 0.5000001).cast("long").alias(c) for c in names])
 
 
-_SEG = f"""f as (select tile_id, avg(r) r_mean, avg(g) g_mean, avg(b) b_mean, stddev_pop(r) r_std, avg((r+g+b)/3) intensity_mean, stddev_pop((r+g+b)/3) intensity_std,
+def _seg(radius: int) -> str:
+    return _masked_sql(radius) + f""", f as (select tile_id, scene_id, avg(r) r_mean, avg(g) g_mean, avg(b) b_mean, stddev_pop(r) r_std, avg((r+g+b)/3) intensity_mean, stddev_pop((r+g+b)/3) intensity_std,
    avg({_INDEX_SQL['exg']}) exg_mean, avg({_INDEX_SQL['v']}) v_idx_mean, avg({_INDEX_SQL['cive']}) cive_mean, avg({_INDEX_SQL['vig']}) vig_mean,
-   avg(cast({_VEG} as int)) frac_vegetation, avg(cast({_DARK} and not {_VEG} as int)) frac_shadow, avg(cast({_SOIL} and not {_VEG} and not {_DARK} as int)) frac_soil
-   from v_pixel group by 1)"""
-_oracle("q09_segment_colour", _SEG + " select tile_id, " + ", ".join(f"cast(floor({c} * 1e4 + 0.5e0) as bigint) {c}" for c in ("r_mean", "g_mean", "b_mean", "r_std", "intensity_mean", "intensity_std", "exg_mean", "v_idx_mean", "cive_mean", "vig_mean", "frac_vegetation", "frac_shadow", "frac_soil")) + " from f", "v_pixel")
+   avg(cast(veg as int)) frac_vegetation, avg(cast(dark and not veg as int)) frac_shadow, avg(cast(bare and not veg and not dark as int)) frac_soil
+   from v_mask group by 1, 2)"""
+
+
+_oracle("q09_segment_colour", _seg(3) + " select tile_id, " + ", ".join(f"cast(floor({c} * 1e4 + 0.5000001e0) as bigint) {c}" for c in ("r_mean", "g_mean", "b_mean", "r_std", "intensity_mean", "intensity_std", "exg_mean", "v_idx_mean", "cive_mean", "vig_mean", "frac_vegetation", "frac_shadow", "frac_soil")) + " from f", "v_pixel")
 
 
 @_query
@@ -199,12 +228,18 @@ from v_pixel group by 1 having count(*) filter (valid) >= 63 and avg(r+g+b)/3 >=
 
 @_query
 def q11_landcover_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"])
-    return rules.land_cover(f).select("tile_id", "class", "confidence")
+    """Land cover of segments, by masks as they are and cleaned with a small and the default disk."""
+    parts = [rules.land_cover(segments.color_features(_masked(spark, sf_dir, radius), ["tile_id"])).select("tile_id", F.lit(radius).alias("radius"), "class", "confidence") for radius in (0, 1, 3)]
+    return schema.concat(*parts)
+
+
+def _cover_sql(radius: int) -> str:
+    """A query of its own: CTEs cannot be named twice in one."""
+    return f"""select * from (with {_seg(radius)} select tile_id, cast({radius} as int) radius, 'vegetation' class, cast(round_even(frac_vegetation * 100, 0) as int) confidence from f where frac_vegetation >= 0.5e0
+ union all select tile_id, {radius}, 'bare_soil', cast(round_even(frac_soil * 100, 0) as int) from f where frac_soil >= 0.5e0)"""
 
 
-_oracle("q11_landcover_select", _SEG + """ select tile_id, 'vegetation' class, cast(round_even(frac_vegetation * 100, 0) as int) confidence from f where frac_vegetation >= 0.5e0
- union all select tile_id, 'bare_soil', cast(round_even(frac_soil * 100, 0) as int) from f where frac_soil >= 0.5e0""", "v_pixel")
+_oracle("q11_landcover_select", " union all ".join(map(_cover_sql, (0, 1, 3))), "v_pixel")
 
 
 @_query
@@ -503,21 +538,19 @@ select scene_id, k <= greatest(1, n // 8) is_val from t""", "v_scene")  # fmt: s
 
 @_query
 def q30_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "v_pixel").withColumn("m", (F.col("r") > 110))
-    out = segments.cleaned_mask(p.select("tile_id", "prow", "pcol", "m"), ["tile_id"], "m", radius=1)
-    return out.groupBy("tile_id").agg(F.count_if("m").alias("n_on"), F.sum(F.when(F.col("m"), F.col("prow") * 8 + F.col("pcol")).otherwise(0)).alias("places"))
-
-
-def _morph_sql() -> str:
-    """Opening then closing with the radius-1 disk; outside counts as set for erosion and unset for dilation."""
-    steps, last = [], "m0"
-    for name, f in (("m1", "min"), ("m2", "max"), ("m3", "max"), ("m4", "min")):
-        steps.append(f"{name} as (select a.tile_id, a.prow, a.pcol, {f}(b.m) m from {last} a join {last} b on a.tile_id = b.tile_id and abs(a.prow-b.prow) + abs(a.pcol-b.pcol) <= 1 group by 1, 2, 3)")
-        last = name
-    return "m0 as (select tile_id, prow, pcol, cast(r > 110 as int) m from v_pixel), " + ", ".join(steps)
+    """Strong red opened and closed, tile rows throughout."""
+    tiles_ = tile_rows(spark, sf_dir)
+    parts = []
+    for radius in (1, 3):
+        on = segments.cleaned(F.transform("r", lambda v: v > 110), F.col("width"), radius)
+        out = tiles_.select("tile_id", on.alias("m"))
+        places = F.aggregate(F.transform("m", lambda m, i: F.when(m, i).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
+        parts.append(out.select("tile_id", F.lit(radius).alias("radius"), F.size(F.filter("m", lambda m: m)).cast("long").alias("n_on"), places.alias("places")))
+    return schema.concat(*parts)
 
 
-_oracle("q30_morphology", _morph_sql() + " select tile_id, cast(sum(m) as bigint) n_on, cast(sum(m * (prow*8+pcol)) as bigint) places from m4 group by 1", "v_pixel")
+_oracle("q30_morphology", "m0 as materialized (select tile_id, pos, prow, pcol, cast(r > 110 as int) m from v_pixel), " + _cleaned_sql("m0", 1, ("m",), "x") + ", " + _cleaned_sql("m0", 3, ("m",), "y") + """
+select tile_id, cast(1 as int) radius, cast(sum(m) as bigint) n_on, cast(sum(m * pos) as bigint) places from x group by 1 union all select tile_id, 3, cast(sum(m) as bigint), cast(sum(m * pos) as bigint) from y group by 1""", "v_pixel")
 
 
 @_query
@@ -559,7 +592,7 @@ def q33_slic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def q34_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id", "scene_id"]).withColumn("label", (F.col("scene_id") % 2).cast("double"))
+    f = segments.color_features(_masked(spark, sf_dir, 1), ["tile_id", "scene_id"]).withColumn("label", (F.col("scene_id") % 2).cast("double"))
     names = [c for c in f.columns if c not in ("tile_id", "scene_id", "label")]
     return ml.cross_validated(f, names, "tile_id", folds=2, numTrees=10, maxDepth=6)
 
@@ -824,18 +857,17 @@ _oracle("q52_footprints", "select tile_id, count(*) filter (r/255 >= 0.5e0) area
 @_query
 def q53_segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by overlap, use for training and the scenes' label counts."""
-    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id", "scene_id"])
+    f = segments.color_features(_masked(spark, sf_dir, 1), ["tile_id", "scene_id"])
     f = f.withColumn("label", F.when(F.col("tile_id") % 3 == 0, 1).when(F.col("tile_id") % 3 == 1, 0).otherwise(-1)).withColumn("label", F.when(F.col("scene_id") % 2 == 0, F.col("label")))
     summary = metrics.segment_summary(f.withColumn("tile_idx", F.col("tile_id")))
     used = f.filter(spatial.usable_for_training()).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_train"))
     return summary.join(used, "scene_id", "left")
 
 
-_oracle("q53_segment_summary", f"""
- f as (select tile_id, scene_id, avg(cast({_VEG} as int)) v, avg(cast({_DARK} and not {_VEG} as int)) d, avg(cast({_SOIL} and not {_VEG} and not {_DARK} as int)) s from v_pixel group by 1, 2),
+_oracle("q53_segment_summary", _seg(1) + """,
  l as (select *, case when scene_id % 2 = 0 then case tile_id % 3 when 0 then 1 when 1 then 0 else -1 end end lab from f)
 select scene_id, count(distinct tile_id) n_tiles, count(*) n_segments, case when count(lab) > 0 then count(*) filter (lab = 1) end n_pos, case when count(lab) > 0 then count(*) filter (lab = 0) end n_neg,
- nullif(count(*) filter (coalesce(lab, 0) <> -1 and not (v > 0.5e0 or d > 0.5e0 or s > 0.5e0)), 0) n_train from l group by 1""", "v_pixel")
+ nullif(count(*) filter (coalesce(lab, 0) <> -1 and not (frac_vegetation > 0.5e0 or frac_shadow > 0.5e0 or frac_soil > 0.5e0)), 0) n_train from l group by 1""", "v_pixel")
 
 
 @_query
@@ -932,7 +964,7 @@ select scene_id, count(*) n_places, cast(sum(cast(floor(p*1e4+0.5e0) as bigint))
 @_query
 def q60_land_cover_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land-cover classes of segments with each of their pieces; of the pieces' labels the last one counts."""
-    f = segments.color_features(segments.with_masks(view(spark, sf_dir, "v_pixel")), ["tile_id"]).withColumnRenamed("tile_id", "segment_id")
+    f = segments.color_features(_masked(spark, sf_dir, 1), ["tile_id"]).withColumnRenamed("tile_id", "segment_id")
     cover = rules.land_cover(f, 0.4).select("segment_id", "class", "confidence")
     pieces = view(spark, sf_dir, "v_gt").select((F.col("id") % 700).alias("segment_id"), F.col("id").alias("piece"), spatial.box_area().alias("area_m2"))
     joined = schema.joined_features(cover, pieces)
@@ -940,7 +972,7 @@ def q60_land_cover_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(last, "segment_id", "left").select("segment_id", "class", "confidence", "piece", "area_m2", "last_label")
 
 
-_oracle("q60_land_cover_pieces", _SEG + """,
+_oracle("q60_land_cover_pieces", _seg(1) + """,
  c as (select tile_id segment_id, 'vegetation' class, cast(round_even(frac_vegetation * 100, 0) as int) confidence from f where frac_vegetation >= 0.4e0
   union all select tile_id, 'bare_soil', cast(round_even(frac_soil * 100, 0) as int) from f where frac_soil >= 0.4e0),
  g as (select id % 700 segment_id, id piece, (x1-x0)*(y1-y0) area_m2, max(id) over (partition by id % 700) % 2 last_label from v_gt)

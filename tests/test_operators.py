@@ -30,7 +30,7 @@ def test_tiles_cover_every_pixel(spark):
 def test_suppression_keeps_first_and_third(spark):
     pts = spark.createDataFrame([(1, 1, 0.0, 0.0, 90), (1, 2, 1.0, 0.0, 80), (1, 3, 3.0, 0.0, 70), (1, 4, 4.9, 0.0, 60)], "scene_id long, id long, x double, y double, conf long")
     assert sorted(r.id for r in spatial.suppress_points(pts, 2.0).collect()) == [1, 3]
-    assert sorted(r.id for r in spatial.suppress_points_rounds(pts, 2.0, lambda d: d.checkpoint() if False else spark.createDataFrame(d.collect(), d.schema)).collect()) == [1, 3]
+    assert sorted(r.id for r in spatial.suppress_points(pts, 2.0, tile=1).collect()) == [1, 3]
 
 
 def test_suppression_is_independent_and_maximal(spark):
@@ -38,7 +38,7 @@ def test_suppression_is_independent_and_maximal(spark):
     rows = [(i % 2, i, float(x), float(y), int(c)) for i, (x, y, c) in enumerate(zip(rng.random(300) * 40, rng.random(300) * 40, rng.integers(0, 99, 300)))]
     df = spark.createDataFrame(rows, "scene_id long, id long, x double, y double, conf long")
     kept = {r.id for r in spatial.suppress_points(df, 3.0).collect()}
-    rounds = {r.id for r in spatial.suppress_points_rounds(df, 3.0, lambda d: spark.createDataFrame(d.collect(), d.schema)).collect()}
+    rounds = {r.id for r in spatial.suppress_points(df, 3.0, tile=1).collect()}  # many edges, several rounds
     assert kept == rounds
     near = lambda a, b: a[0] == b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 < 9
     assert not any(near(a, b) for a in rows for b in rows if a[1] < b[1] and {a[1], b[1]} <= kept)

@@ -45,7 +45,7 @@ GRAMS = (32, 64, LENGTH)
 #: Windows of a run are split after so many, so that a context is bounded.
 RUN = 256
 #: Bytes that are hashed at once, runs that a task combines at once, bytes of contexts merged at once and in a shard.
-PIECE, COMBINE, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 1 << 15
+PIECE, COMBINE, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 17, 1 << 14
 HOT_GROUP = 50_000
 REPEAT, COMPARE, DEAL, FIRST = 1, 2, 3, 0
 _MUL = 0x9E3779B97F4A7C15

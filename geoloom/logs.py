@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 import os
 import sys
@@ -21,3 +22,13 @@ def logger(name: str, folder: str | None = None) -> logging.Logger:
             t.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
             log.addHandler(t)
     return log
+
+
+def append_row(path: str, row: dict[str, object]) -> None:
+    """Adds a row to a CSV log of the driver; the header is written once, with the file."""
+    new = not os.path.exists(path) or os.path.getsize(path) == 0
+    with open(path, "a", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, list(row))
+        if new:
+            out.writeheader()
+        out.writerow(row)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.functions import geometry as geo
+from geoloom.operators import overlay
+from geoloom.sources import store
 
 _FEATURE = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
@@ -41,32 +42,34 @@ def features(df: DataFrame, geometry: str = "geom") -> DataFrame:
     return df.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), geometry_json(F.col(geometry)), F.lit("}")).alias("value"))
 
 
-def write(df: DataFrame, path: str, geometry: str = "geom") -> None:
-    """A FeatureCollection file in place of any at `path`: features are written in parallel and joined into one
-    document row by row, so the driver never holds the layer."""
+def write(df: DataFrame, path: str, geometry: str = "geom", epsg: int = 4326) -> None:
+    """A FeatureCollection file in place of any at `path`, in WGS 84: `epsg` is what the layer is in (4326, or a northern
+    UTM zone, 326xx, from which it is projected back). Features are made in parallel; the document is joined row by row,
+    so the driver never holds the layer. Any storage that Spark writes will do."""
+    spark = df.sparkSession
+    if epsg != 4326:
+        df = df.withColumn(geometry, overlay.to_wgs84(F.col(geometry), F.lit(epsg - 32600)))
     parts = f"{path}.{uuid.uuid4().hex}"
     features(df, geometry).write.text(parts)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as out:
-        out.write('{"type":"FeatureCollection","features":[')
+
+    def document() -> Iterator[str]:
+        yield '{"type":"FeatureCollection","features":['
         comma = ""
-        for name in sorted(os.listdir(parts)):
-            if name.startswith("part-"):
-                with open(f"{parts}/{name}", encoding="utf-8") as part:
-                    for line in part:
-                        out.write(comma + line.rstrip("\n"))
-                        comma = ",\n"
-        out.write("]}\n")
-    shutil.rmtree(parts)
-    os.replace(f"{path}.tmp", path)
-
-
-def write_by_class(df: DataFrame, folder: str, prefix: str, column: str = "class", geometry: str = "geom") -> list[str]:
+        for row in spark.read.schema("value string").text(parts).toLocalIterator(prefetchPartitions=True):
+            yield comma + row.value
+            comma = ",\n"
+        yield "]}\n"
+
+    store.write_text(spark, path, document())
+    store.delete(spark, parts)
+
+
+def write_by_class(df: DataFrame, folder: str, prefix: str, column: str = "class", geometry: str = "geom", epsg: int = 4326) -> list[str]:
     """<prefix>_<class>.geojson for each class; null classes are left out. Returns the paths."""
     paths = []
     for (name,) in df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect():  # a handful of classes
         paths.append(f"{folder}/{prefix}_{name}.geojson")
-        write(df.filter(F.col(column) == name), paths[-1], geometry)
+        write(df.filter(F.col(column) == name), paths[-1], geometry, epsg)
     return paths
 
 

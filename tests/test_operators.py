@@ -150,3 +150,75 @@ def test_raster_tiles(spark, tmp_path):
         assert (got == px[..., :3]).all()
     cells = raster.pixels(raster.read_tiles(paths, 64, 0)).filter("prow = 3 and pcol = 5").first()
     assert (cells.r, cells.g, cells.b) == tuple(px[3, 5, :3]) and cells.valid == bool(px[3, 5, 3] > 0)
+
+
+def pack_lzw(data):
+    """Codes of 9 to 12 bits, most significant first, with the early change of width that the format asks for."""
+    table, codes, word = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+    width = lambda more=2: 12 if len(table) + more >= 2048 else 11 if len(table) + more >= 1024 else 10 if len(table) + more >= 512 else 9
+    for i in range(len(data)):
+        more = data[i : i + 1]
+        if word + more in table:
+            word += more
+            continue
+        codes.append((table[word], width()))
+        table[word + more] = len(table) + 2
+        word = more
+        if len(table) + 2 >= 4094:
+            codes.append((256, 12))
+            table = {bytes([k]): k for k in range(256)}
+    if word:
+        codes.append((table[word], width()))
+    codes.append((257, width(3)))
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_packed_strips_are_unpacked():
+    rng = np.random.default_rng(4)
+    for data in (b"", b"a", b"abababababab" * 50, bytes(rng.integers(0, 4, 9000).astype(np.uint8)), bytes(rng.integers(0, 256, 20000).astype(np.uint8))):
+        assert raster.unpack_lzw(pack_lzw(data)) == data
+    assert raster.unpack_bits(bytes([2, 65, 66, 67, 253, 90, 128, 0, 68])) == b"ABCZZZZD"
+
+
+def test_planes_big_files_and_geo_keys(spark, tmp_path):
+    px = np.random.default_rng(5).integers(0, 255, (9, 7, 3)).astype(np.uint8)
+    one = str(tmp_path / "one.tif")
+    with open(one, "wb") as f:
+        f.write(raster.geotiff(px, [0.5, 0.0, 76.0, 0.0, -0.25, 43.0], 32643, rows_per_strip=4))
+    got = raster.Tiff(one)
+    assert (got.window(1, 2, 5, 6) == px[2:8, 1:6]).all() and got.epsg == 32643 and got.transform == [0.5, 0.0, 76.0, 0.0, -0.25, 43.0]
+    planes = [px[..., k].tobytes() for k in range(3)]
+    at = 16 + 8 + 20 * 9 + 8
+    offsets, body = [at + 63 * k for k in range(3)], b"".join(planes)
+    outside = at + len(body)
+    tags = [(256, 4, 1, 7), (257, 4, 1, 9), (258, 3, 3, struct.unpack("<Q", struct.pack("<4H", 8, 8, 8, 0))[0]), (259, 3, 1, 1), (273, 16, 3, outside), (277, 3, 1, 3), (278, 4, 1, 9), (279, 16, 3, outside + 24), (284, 3, 1, 2)]
+    big = str(tmp_path / "big.tif")
+    with open(big, "wb") as f:
+        f.write(b"II" + struct.pack("<HHHQQ", 43, 8, 0, 16, len(tags)) + b"".join(struct.pack("<HHQQ", *t) for t in tags) + struct.pack("<Q", 0) + body + struct.pack("<3Q", *offsets) + struct.pack("<3Q", 63, 63, 63))
+    assert (raster.Tiff(big).window(0, 0, 7, 9) == px).all()
+    meta = {r.path: r for r in raster.metadata(spark.createDataFrame([(one,), (big,)], "path string")).collect()}
+    assert (meta[one].epsg, meta[one].x0, meta[one].y1, meta[one].utm_epsg, meta[big].epsg) == (32643, 76.0, 43.0, None, None)
+
+
+def test_boxes_in_degrees_and_huge_boxes_are_dealt_by_their_size(spark):
+    rng = np.random.default_rng(7)
+    small = [(1, i, float(x), float(y), float(x) + 2e-5, float(y) + 2e-5) for i, (x, y) in enumerate(rng.random((400, 2)) * 0.01 + 50)]
+    ddl = "scene_id long, id long, x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame(small, ddl)
+    levels = sorted({r.v for r in a.select(spatial._level().alias("v")).collect()})
+    assert max(r["count"] for r in spatial._dealt(a, levels).groupBy("__level", "__cx", "__cy").count().collect()) < 12
+    b = spark.createDataFrame([(1, 900, -1e9, -1e9, 1e9, 1e9), (1, 901, 50.005, 50.005, 50.005, 50.005)], ddl)
+    got = sorted((r.l_id, r.r_id) for r in spatial.box_pairs(a, b).collect())
+    assert got == sorted((p[1], q) for p in small for q, *box in ((900, -1e9, -1e9, 1e9, 1e9), (901, 50.005, 50.005, 50.005, 50.005)) if p[2] <= box[2] and box[0] <= p[4] and p[3] <= box[3] and box[1] <= p[5])
+    levels = sorted({r.v for r in a.unionByName(b).select(spatial._level().alias("v")).filter("v is not null").collect()})
+    assert spatial._dealt(b, levels).count() < 20
+
+
+def test_training_log_has_one_header(tmp_path):
+    from geoloom import logs
+
+    for k in range(3):
+        logs.append_row(str(tmp_path / "log.csv"), {"epoch": k, "loss": k / 2})
+    assert (tmp_path / "log.csv").read_text().split() == ["epoch,loss", "0,0.0", "1,0.5", "2,1.0"]

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from geoloom.functions import geometry as geo
 from geoloom.operators import spatial
 from geoloom.operators.schema import finite
+from geoloom.session import saved
 
 #: The fixed parameters of the segment classifier.
 FOREST = {"numTrees": 80, "maxDepth": 18, "minInstancesPerNode": 10, "seed": 42}
@@ -77,6 +78,41 @@ def shifted_overlap(segments: DataFrame, refs: DataFrame, shifts: DataFrame) ->
     return long.join(F.broadcast(shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))), ["dx", "dy"]).filter("shared > 0").select("shift", "shared")
 
 
+def shifted_labels(segments: DataFrame, refs: DataFrame, shifts: DataFrame, positive: float = 0.5, negative: float = 0.05) -> DataFrame:
+    """(shift, scene_id, id, overlap, label) of the segments that some moved reference overlaps: 1, 0, or -1 between the
+    limits. Segments without a row at a shift overlap nothing there and are 0. References are joined once."""
+    span = shifts.agg(*[f(c).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    own = [F.col(c).alias(f"own_{c}") for c in spatial.BOX]
+    wide = refs.select("scene_id", *spatial.BOX, *own).withColumns({"x0": F.col("x0") - span.hi_dx, "x1": F.col("x1") - span.lo_dx, "y0": F.col("y0") - span.hi_dy, "y1": F.col("y1") - span.lo_dy})
+    pairs = spatial.box_pairs(segments.select("scene_id", "id", *spatial.BOX), wide).join(F.broadcast(shifts.select("shift", "dx", "dy")))  # a grid of fixed size
+    sides = {k: F.col(f"r_own_{k}") - F.col("dx" if k[0] == "x" else "dy") for k in spatial.BOX}
+    shared = geo.box_overlap({k: F.col(f"l_{k}") for k in spatial.BOX}, sides)
+    sums = pairs.withColumn("shared", shared).filter("shared > 0").groupBy("shift", F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.sum("shared").alias("shared"), F.first(spatial.box_area("l_")).alias("area"))
+    overlap = F.col("shared") / F.col("area")
+    return sums.select("shift", "scene_id", "id", overlap.alias("overlap"), F.when(overlap >= positive, 1).when(overlap <= negative, 0).otherwise(-1).alias("label"))
+
+
+def shift_counts(segments: DataFrame, labels: DataFrame, shifts: DataFrame) -> DataFrame:
+    """By shift: the labelled segments (n_train) and the positive ones, from `shifted_labels`."""
+    n = segments.count()
+    by = labels.groupBy("shift").agg(F.count_if(F.col("label") == -1).alias("__open"), F.count_if(F.col("label") == 1).alias("__pos"))
+    return shifts.select("shift").join(by, "shift", "left").select("shift", (F.lit(n) - F.coalesce("__open", F.lit(0))).alias("n_train"), F.coalesce("__pos", F.lit(0)).alias("n_pos"))
+
+
+def calibrated(features: DataFrame, refs: DataFrame, shifts: DataFrame, names: list[str], folds: int = 3, **params) -> DataFrame:
+    """For each shift the counts of `shift_counts` and the quality of a forest trained on the labels that the shift gives
+    (accuracy, precision, recall, f1; null where one label is missing). Forests are trained one after another."""
+    labels = saved(shifted_labels(features, refs, shifts), "shift-labels")
+    counts = {r.shift: r for r in shift_counts(features, labels, shifts).collect()}  # a grid of fixed size
+    rows = []
+    for shift, c in sorted(counts.items()):
+        mine = labels.filter(F.col("shift") == shift).select("scene_id", "id", "label")
+        labelled = features.drop("label").join(mine, ["scene_id", "id"], "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("double")).filter("label >= 0")
+        quality = cross_validated(labelled, names, "id", folds=folds, **params).first() if 0 < c.n_pos < c.n_train else (None,) * 4
+        rows.append((shift, c.n_train, c.n_pos, *quality))
+    return features.sparkSession.createDataFrame(rows, "shift long, n_train long, n_pos long, accuracy double, precision double, recall double, f1 double")
+
+
 def best_shift(scores: DataFrame, score: str = "shared", n: int = 10) -> DataFrame:
     return scores.orderBy(F.desc(score), "shift").limit(n)
 

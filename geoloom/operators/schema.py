@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import saved
+
 REQUIRED = ("id", "class", "confidence", "source", "area_m2", "length_m", "date", "change_flag")
 
 
@@ -20,14 +22,20 @@ def drop_present(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def sequential_id(df: DataFrame, prefix: str, order: Sequence[str | Column], scope: Sequence[str] = (), column: str = "id") -> DataFrame:
-    """prefix_000000, ... by `order`. A scope (say the scene) keeps the numbering out of one task."""
-    w = Window.partitionBy(*scope).orderBy(*order) if scope else Window.orderBy(*order)
-    return df.withColumn(column, F.format_string(f"{prefix}_%06d", F.row_number().over(w) - 1))
+    """prefix_000000, ... by `order`, within a scope (say the scene) or over all rows. Without a scope rows are dealt to
+    tasks by ranges of the order, written, and numbered from the counts of the tasks before."""
+    if scope:
+        return df.withColumn(column, F.format_string(f"{prefix}_%06d", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1))
+    dealt = saved(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each task
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(before), "__part").withColumn(column, F.format_string(f"{prefix}_%06d", at)).drop("__part", "__before")
 
 
 def completed(df: DataFrame, source: str, order: Sequence[str], cls: str = "building", confidence: int = 80, date: str | None = None, change_flag: str | None = None, prefix: str = "f", scope: Sequence[str] = (), geometry: str = "geom") -> DataFrame:
     """Missing class, confidence, source, date and change_flag are added; all ids are made anew if the id is missing
-    or any is null; required columns come first, then others, the geometry last. Area and length are not made."""
+    or any is null (one look for a null); required columns come first, then others, the geometry last. Area and length are not made."""
     defaults = {"class": F.lit(cls), "confidence": F.lit(confidence), "source": F.lit(source), "date": F.lit(date).cast("string"), "change_flag": F.lit(change_flag).cast("string")}
     out = df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
     if "id" not in df.columns or df.filter("id is null").limit(1).count():

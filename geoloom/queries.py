@@ -16,6 +16,8 @@ from geoloom.functions import kernels
 from geoloom.functions import pixels as px
 from geoloom.operators import metrics, ml, overlay, rules, schema, segments, spatial, tiles
 from geoloom.plans.views import tile_rows, view, with_views
+from geoloom.session import saved, work_path
+from geoloom.sources import geojson, geopackage, raster, store, tables
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -353,9 +355,8 @@ select category, place, scene_id, city, cast(floor(v * 1e3 + 0.5e0) as bigint) "
 
 @_query
 def q19_shift_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = tiles.shift_grid(spark).select((F.col("i") * 16 + F.col("j")).alias("shift"), F.col("j").alias("dx"), F.col("i").alias("dy"))
     refs = view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX)
-    scores = ml.shifted_overlap(view(spark, sf_dir, "v_pred").select("scene_id", *spatial.BOX), refs, shifts)
+    scores = ml.shifted_overlap(view(spark, sf_dir, "v_pred").select("scene_id", *spatial.BOX), refs, _shifts(spark))
     return ml.best_shift(scores).select("shift", F.col("shared").cast("long").alias("shared"))
 
 
@@ -1042,6 +1043,194 @@ def q64_train_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 _oracle("q64_train_loss", "select id % 9 epoch, cast(floor(sum((id % 97)/8e0 * (id % 5 + 1))/sum(id % 5 + 1)*1e6+0.5e0) as bigint) train_loss from v_pred group by 1", "v_pred")
 
 
+
+@_query
+def q65_geojson_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints in UTM, written as GeoJSON (back in WGS 84) by class and read again."""
+    s = view(spark, sf_dir, "v_scene").select("scene_id", "lon0", "lat1")
+    lon, lat = (lambda c: F.col("lon0") + F.col(c) * 1e-5), (lambda c: F.col("lat1") - F.col(c) * 1e-5)
+    p = view(spark, sf_dir, "v_pred").filter("scene_id < 10").join(F.broadcast(s), "scene_id")
+    p = p.select("id", F.when(F.col("id") % 3 == 0, "house").when(F.col("id") % 3 == 1, "shed").alias("class"), geo.box(lon("x0"), lat("y1"), lon("x1"), lat("y0")).alias("geom"))
+    folder = work_path(spark, "layers")
+    paths = geojson.write_by_class(p.withColumn("geom", overlay.to_utm(F.col("geom"), F.lit(43))), folder, "building", epsg=32643)
+    parts = [geojson.read(spark, path, {"id": "bigint", "class": "string"}) for path in paths]
+    b = geo.bounds(F.col("geom"))
+    return schema.concat(*parts).select("id", "class", F.lit(len(paths)).alias("n_layers"), *[_scaled(b[c], 1e7).alias(c) for c in spatial.BOX], geojson.ring_is_closed(F.col("geom.polys")[0][0]).alias("closed"), geojson.valid_position(b["x0"], b["y0"]).alias("placed"))
+
+
+_oracle("q65_geojson_layers", """select id, case id % 3 when 0 then 'house' else 'shed' end class, cast(2 as int) n_layers, cast(floor((lon0 + x0*1e-5)*1e7+0.5e0) as bigint) x0, cast(floor((lat1 - y1*1e-5)*1e7+0.5e0) as bigint) y0,
+ cast(floor((lon0 + x1*1e-5)*1e7+0.5e0) as bigint) x1, cast(floor((lat1 - y0*1e-5)*1e7+0.5e0) as bigint) y1, true closed, true placed from v_pred join (select scene_id, lon0, lat1 from v_scene) using (scene_id) where scene_id < 10 and id % 3 < 2""", "v_pred", "v_scene")
+
+
+@_query
+def q66_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by scene, a report as CSV with a fallback, a table written once, a missing one, buildings of a box."""
+    folder = work_path(spark, "tables")
+    p = view(spark, sf_dir, "v_pred")
+    tables.write_features(p, f"{folder}/features")
+    tables.write_csv(p.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")), f"{folder}/report")
+    for more in (p.limit(0), p):  # the second is not written
+        tables.write_once(more, f"{folder}/once")
+    report = tables.read_csv(spark, "scene_id bigint, n bigint", f"{folder}/none", f"{folder}/report")
+    near = tables.read_buildings(spark, f"{folder}/features", 100, 200, 500, 600).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_near"))
+    kept, missing = tables.read_or_empty(spark, f"{folder}/once", "id bigint").count(), tables.read_or_empty(spark, f"{folder}/gone", "id bigint").count()
+    return report.join(near.select(F.col("scene_id").cast("long").alias("scene_id"), "n_near"), "scene_id", "left").select("scene_id", "n", "n_near", F.lit(kept).cast("long").alias("n_once"), F.lit(missing).cast("long").alias("n_missing"))
+
+
+_oracle("q66_tables", "select scene_id, count(*) n, nullif(count(*) filter (x1 >= 100 and x0 <= 500 and y1 >= 200 and y0 <= 600), 0) n_near, cast(0 as bigint) n_once, cast(0 as bigint) n_missing from v_pred group by 1", "v_pred")
+
+
+@_query
+def q67_geopackage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of a GeoPackage, written on the driver, put on shared storage and read again."""
+    import tempfile
+
+    path = work_path(spark, "package") + ".gpkg"
+    boxes = _boxed(view(spark, sf_dir, "v_pred")).select("id", "scene_id", "geom")
+    dots = _kinds(spark, sf_dir).filter("id % 4 = 0").select("id", "subtype", "geom")
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own file until it is put
+        n = geopackage.write_layer(boxes, f"{folder}/a.gpkg", "buildings") + geopackage.write_layer(dots, f"{folder}/a.gpkg", "cars")
+        store.put(spark, f"{folder}/a.gpkg", path)
+    a = geopackage.read_layer(spark, path, "buildings", {"id": "bigint", "scene_id": "bigint"})
+    b = geopackage.read_layer(spark, path, "cars", {"id": "bigint", "subtype": "string"})
+    every = schema.concat(a.withColumn("layer", F.lit("buildings")), b.withColumn("layer", F.lit("cars")))
+    e = geo.bounds(F.col("geom"))
+    return every.select("layer", "id", "scene_id", "subtype", F.lit(n).cast("long").alias("n_written"), *[e[c].cast("long").alias(c) for c in spatial.BOX])
+
+
+_oracle("q67_geopackage", """
+ n as (select (select count(*) from v_pred) + (select count(*) from v_gt where id % 4 = 0) n_written)
+select 'buildings' layer, id, scene_id, cast(null as varchar) subtype, n_written, cast(x0 as bigint) x0, cast(y0 as bigint) y0, cast(x1 as bigint) x1, cast(y1 as bigint) y1 from v_pred, n
+union all select 'cars', id, null, subtype, n_written, x0, y0, x0, y0 from v_gt, n where id % 4 = 0""", "v_pred", "v_gt")
+
+
+@_query
+def q68_scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as GeoTIFF files: their headers, and their pixels read in overlapping windows whose overlap is dropped."""
+    folder = work_path(spark, "scenes")
+    byte = lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")
+    rgb = F.unhex(F.array_join(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.concat(byte(p["r"]), byte(p["g"]), byte(p["b"]))), ""))
+    valid = F.unhex(F.array_join(F.transform("valid", lambda v: F.when(v, "01").otherwise("00")), ""))
+    t = F.array(F.lit(0.5), F.lit(0.0), F.lit(70.0) + F.col("tile_id") % 16, F.lit(0.0), F.lit(-0.25), F.lit(43.0))
+    rows = tile_rows(spark, sf_dir).select("tile_id", F.concat(F.lit(f"{folder}/"), F.col("tile_id"), F.lit(".tif")).alias("path"), F.col("width").alias("width"), F.lit(8).alias("height"), t.alias("transform"), rgb.alias("rgb"), valid.alias("valid"))
+    paths = saved(raster.write_scenes(rows), "scene-paths").select("path")
+    number = F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long")
+    head = raster.metadata(paths).select(number.alias("tile_id"), "bands", "dtype", "epsg", "utm_epsg", *[_scaled(F.col(c), 100).alias(c) for c in spatial.BOX])
+    cells = raster.pixels(raster.read_tiles(paths, 5, 2)).join(raster.read_tiles(paths, 5, 2).select("path", "tile_idx", "col_off", "row_off"), ["path", "tile_idx"])
+    own = cells.filter(tiles.owned(F.col("prow"), F.col("pcol"), F.col("row_off"), F.col("col_off"), 2))
+    place = (F.col("row_off") + F.col("prow")) * 8 + F.col("col_off") + F.col("pcol") + 1
+    sums = own.groupBy(number.alias("tile_id")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c) * place).alias(c) for c in "rgb"], F.count_if("valid").alias("n_valid"))
+    return head.join(sums, "tile_id")
+
+
+_oracle("q68_scene_files", """
+ p as (select tile_id, count(*) n, cast(sum(v_pixel.r*(pos+1)) as bigint) r, cast(sum(g*(pos+1)) as bigint) g, cast(sum(b*(pos+1)) as bigint) b, count(*) filter (valid) n_valid from v_pixel group by 1)
+select tile_id, cast(4 as int) bands, 'uint8' dtype, cast(4326 as int) epsg, cast(32601 + floor((72 + tile_id % 16 + 180) / 6) as int) utm_epsg, cast(7000 + tile_id % 16 * 100 as bigint) x0, cast(4100 as bigint) y0, cast(7400 + tile_id % 16 * 100 as bigint) x1, cast(4300 as bigint) y1,
+ n, r, g, b, n_valid from p""", "v_pixel")
+
+
+
+@_query
+def q69_segment_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline, co-occurrence and binary patterns of segments in their bounding boxes."""
+    f = segments.texture_and_outline(_on(spark, sf_dir).select("tile_id", "prow", "pcol", "r", "g", "b", "segment_id"), ["tile_id"])
+    n = _on(spark, sf_dir).groupBy("tile_id", "segment_id").agg(F.count(F.lit(1)).alias("n"))
+    return f.join(n, ["tile_id", "segment_id"]).select("tile_id", "segment_id", _scaled(F.col("perimeter_px"), 1e4).alias("perimeter_px"), *[F.floor(F.col(c) * 1e4 + 0.5000001).cast("long").alias(c) for c in segments.GLCM], *[F.round(F.col(f"lbp_h{i}") * F.col("n")).cast("long").alias(f"lbp_h{i}") for i in range(10)])
+
+
+def _texture_sql() -> str:
+    diagonal = 0.70711
+    # the neighbours at distance 1, counter-clockwise from the right, as weighted pixels (row, column, weight)
+    looks = []
+    for k in range(8):
+        dy, dx = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))[k]
+        if dy == 0 or dx == 0:
+            looks.append([(dy, dx, 1.0)])
+        else:
+            near, far = diagonal, 1 - diagonal
+            looks.append([(0, 0, far * far), (0, dx, far * near), (dy, 0, near * far), (dy, dx, near * near)])
+    offsets = sorted({(dy, dx) for look in looks for dy, dx, _ in look})
+    name = lambda dy, dx: f"l{dy + 1}{dx + 1}"
+    joins = " ".join(f"left join bx {name(*o)} on {name(*o)}.tile_id = a.tile_id and {name(*o)}.segment_id = a.segment_id and {name(*o)}.y = a.y + {o[0]} and {name(*o)}.x = a.x + {o[1]}" for o in offsets)
+    bits = ", ".join(f"cast({' + '.join(f'coalesce({name(dy, dx)}.l, 0) * {w!r}' for dy, dx, w in look)} >= a.l - 1e-9 as int) b{k}" for k, look in enumerate(looks))
+    inside = lambda dy, dx: f"coalesce({name(dy, dx)}.m, 0)"
+    straight = ((-1, 0), (1, 0), (0, -1), (0, 1))
+    return f"""
+ s as materialized (select tile_id, prow, pcol, cast(case when r > 110 then 1 else 2 end as int) seg, (r+g+b)/3 l from v_pixel),
+ bb as (select tile_id, seg segment_id, min(prow) r0, max(prow) r1, min(pcol) c0, max(pcol) c1, count(*) n, cast(floor(avg(floor(l))) as int) mean from s group by 1, 2),
+ bx as materialized (select bb.tile_id, segment_id, prow - r0 y, pcol - c0 x, l, cast(seg = segment_id as int) m, n, cast(floor(case when seg = segment_id then floor(l) else mean end / 8) as int) q from bb join s on s.tile_id = bb.tile_id and prow between r0 and r1 and pcol between c0 and c1),
+ nb as materialized (select a.tile_id, a.segment_id, a.y, a.x, a.m, a.n, {bits}, cast(a.m = 1 and ({' + '.join(inside(*o) for o in straight)}) < 4 as int) border from bx a {joins}),
+ u as (select *, (b0 + b1 + b2 + b3 + b4 + b5 + b6 + b7) ones, cast(b0 <> b7 as int) + cast(b1 <> b0 as int) + cast(b2 <> b1 as int) + cast(b3 <> b2 as int) + cast(b4 <> b3 as int) + cast(b5 <> b4 as int) + cast(b6 <> b5 as int) + cast(b7 <> b6 as int) turns from nb),
+ lb as (select tile_id, segment_id, {', '.join(f"count(*) filter (m = 1 and n >= 4 and (case when turns <= 2 then ones else 9 end) = {i}) lbp_h{i}" for i in range(10))} from u group by 1, 2),
+ k as (select a.tile_id, a.segment_id, a.y, a.x, 1 + 2 * sum(case when abs(b.y - a.y) + abs(b.x - a.x) = 1 then b.border else 0 end) + 10 * sum(case when abs(b.y - a.y) = 1 and abs(b.x - a.x) = 1 then b.border else 0 end) kind
+   from nb a join nb b on a.tile_id = b.tile_id and a.segment_id = b.segment_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 where a.border = 1 group by 1, 2, 3, 4),
+ pm as (select tile_id, segment_id, sum(case when kind in (5, 7, 15, 17, 25, 27) then 1 when kind in (21, 33) then sqrt(2) when kind in (13, 23) then (1 + sqrt(2)) / 2 else 0 end) p from k group by 1, 2),
+ g0 as (select a.tile_id, a.segment_id, a.q i, b.q j from bx a join bx b on a.tile_id = b.tile_id and a.segment_id = b.segment_id and a.y = b.y and b.x = a.x + 1 where a.n >= 4),
+ g1 as (select tile_id, segment_id, i, j, cast(count(*) as double) n from (select * from g0 union all select tile_id, segment_id, j, i from g0) group by 1, 2, 3, 4),
+ g2 as (select tile_id, segment_id, sum(n*(i-j)*(i-j))/sum(n) con, sum(n/(1+(i-j)*(i-j)))/sum(n) hom, sum(n*n)/(sum(n)*sum(n)) energy, sum(n*abs(i-j))/sum(n) dis, sum(n*i)/sum(n) m, sum(n*i*i)/sum(n) q, sum(n*i*j)/sum(n) ij from g1 group by 1, 2)
+select bb.tile_id, bb.segment_id, cast(floor(coalesce(p, 0)*1e4+0.5e0) as bigint) perimeter_px, cast(floor(coalesce(con, 0)*1e4+0.5000001e0) as bigint) glcm_contrast, cast(floor(coalesce(hom, 0)*1e4+0.5000001e0) as bigint) glcm_homogeneity, cast(floor(coalesce(energy, 0)*1e4+0.5000001e0) as bigint) glcm_asm,
+ cast(floor(case when bb.n < 4 then 0 when m is null or q-m*m < 1e-15 then 1 else (ij-m*m)/(q-m*m) end*1e4+0.5000001e0) as bigint) glcm_correlation, cast(floor(coalesce(dis, 0)*1e4+0.5000001e0) as bigint) glcm_dissimilarity, {', '.join(f'lbp_h{i}' for i in range(10))}
+from bb join lb using (tile_id, segment_id) left join pm using (tile_id, segment_id) left join g2 using (tile_id, segment_id)"""
+
+
+_oracle("q69_segment_texture", _texture_sql(), "v_pixel")
+
+
+@_query
+def q70_superpixel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superpixels label the valid pixels, and only these, gaplessly from 1."""
+    s = segments.superpixels(view(spark, sf_dir, "v_pixel").select("tile_id", "prow", "pcol", "r", "g", "b", "valid"), ["tile_id"], n_segments=4)
+    return s.groupBy("tile_id").agg(F.count_if(F.col("segment_id") > 0).alias("n_labelled"), F.count_if((F.col("segment_id") > 0) != F.col("valid")).alias("n_wrong"), (F.max("segment_id") == F.size(F.collect_set(F.when(F.col("segment_id") > 0, F.col("segment_id"))))).alias("gapless"))
+
+
+_oracle("q70_superpixel_labels", "select tile_id, count(*) filter (valid) n_labelled, cast(0 as bigint) n_wrong, true gapless from v_pixel group by 1", "v_pixel")
+
+
+def _shifts(spark: SparkSession) -> DataFrame:
+    return tiles.shift_grid(spark).select((F.col("i") * 16 + F.col("j")).alias("shift"), F.col("j").alias("dx"), F.col("i").alias("dy"))
+
+
+@_query
+def q71_shift_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training labels that each of the 256 shifts gives."""
+    pred, refs = view(spark, sf_dir, "v_pred").select("scene_id", "id", *spatial.BOX), view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX)
+    return ml.shift_counts(pred, ml.shifted_labels(pred, refs, _shifts(spark)), _shifts(spark))
+
+
+_oracle("q71_shift_labels", """
+ g as (select i * 16 + j shift, j dx, i dy from range(16) a(i), range(16) b(j)),
+ o as (select shift, a.id, sum((least(a.x1,b.x1-dx)-greatest(a.x0,b.x0-dx)) * (least(a.y1,b.y1-dy)-greatest(a.y0,b.y0-dy))) / cast(max((a.x1-a.x0)*(a.y1-a.y0)) as double) f
+       from v_pred a join v_gt b on a.scene_id = b.scene_id and a.x0 < b.x1 and b.x0 - 15 < a.x1 and a.y0 < b.y1 and b.y0 - 15 < a.y1 cross join g
+       where a.x0 < b.x1-dx and b.x0-dx < a.x1 and a.y0 < b.y1-dy and b.y0-dy < a.y1 group by 1, 2),
+ k as (select shift, count(*) filter (f > 0.05e0 and f < 0.5e0) unclear, count(*) filter (f >= 0.5e0) pos from o group by 1)
+select g.shift, (select count(*) from v_pred) - coalesce(unclear, 0) n_train, coalesce(pos, 0) n_pos from g left join k using (shift)""", "v_pred", "v_gt")
+
+
+@_query
+def q72_forest_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forests on the labels of two shifts: the rows they saw, and that each quality is a share."""
+    pred, refs = view(spark, sf_dir, "v_pred").select("scene_id", "id", *spatial.BOX), view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX)
+    f = pred.withColumns({"w": (F.col("x1") - F.col("x0")).cast("double"), "h": (F.col("y1") - F.col("y0")).cast("double"), "x": F.col("x0").cast("double")})
+    out = ml.calibrated(f, refs, _shifts(spark).filter("shift in (0, 119)"), ["w", "h", "x"], folds=2, numTrees=5, maxDepth=4)
+    sound = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1"):
+        sound = sound & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return out.select("shift", "n_train", "n_pos", sound.alias("sound"))
+
+
+_SQL["q72_forest_calibration"] = "select *, true sound from (" + _SQL["q71_shift_labels"] + ") where shift in (0, 119)"
+
+
+@_query
+def q73_numbered_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids over all rows of a layer without one."""
+    p = view(spark, sf_dir, "v_pred").withColumn("was", F.col("id")).drop("id")
+    return schema.completed(p, "survey", ["was"], prefix="bld").select("id", "was", "class", "confidence")
+
+
+_oracle("q73_numbered_layer", "select format('bld_{:06d}', row_number() over (order by id) - 1) id, id was, 'building' class, cast(80 as int) confidence from v_pred", "v_pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_ALL)
 

@@ -8,12 +8,13 @@
    or as nearly as the lengths allow.
 3. Of each (source, length) the documents with the lowest seeded hash are taken, by a salted rank.
 
-Only the histogram (source, length, count) is gathered, one source to a task; documents never are.
+Only the histogram (source, length, count) is gathered, one source to a task: at most as many rows as there are lengths
+of texts. The shares are reckoned in one task over one narrow row for each source; documents are never gathered.
 
 Defined cases: null text has size 0; sources go by code point with null last; sizes of zero are taken zero
 words (times follow the pass they fall in); a document may be repeated up to ceil(most) times, never more than
 `most` times its size for whole numbers; equal rows are told apart by their rank alone; an empty table gives an
-empty result; extra columns are carried.
+empty result; extra columns are carried; a text of any length counts by its words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import CELL_ROWS, WORD, packed, salt_bits, salted_rank, seeded
+from geoloom.llm.common import CELL_ROWS, WORD, cut, packed, salt_bits, salted_rank, seeded
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 77_003
@@ -156,8 +157,6 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    from geoloom.llm.common import cut
-
     narrow = cut(documents.select("doc_id", "source", n_words().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")), "mix")
     out = mix(narrow, ids=("doc_id", "crc"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))

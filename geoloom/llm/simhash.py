@@ -17,7 +17,8 @@ are cut in the shared folder.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; rows with equal ids
 are separate rows of one component; a component of null ids alone has a null component_id; an empty table gives
-an empty result; extra columns are ignored (`fingerprints`) or kept (`keep_one`).
+an empty result; extra columns are ignored (`fingerprints`) or kept (`keep_one`); a very long text is hashed whole, its bits
+summed in pieces; equal fingerprints are one node however many rows have them.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ from geoloom.functions import geometry as geo
 from geoloom.functions import kernels
 from geoloom.functions import pixels as px
 from geoloom.operators import metrics, ml, overlay, rules, schema, segments, spatial, tiles
+from geoloom.plans import segment_stage
 from geoloom.plans.views import tile_rows, view, with_views
 from geoloom.session import saved, work_path
 from geoloom.sources import geojson, geopackage, raster, store, tables
@@ -95,7 +96,7 @@ _oracle("q03_best_overlap_subclass", _SHARED + f""",
  b as (select * from s qualify row_number() over (partition by scene_id, id order by shared desc, rid) = 1),
  m as (select p.scene_id, p.id, b.rid, b.class, b.subtype, case when not isnan(b.num_floors) then b.num_floors end nf, (p.x1-p.x0)*(p.y1-p.y0) area
        from v_pred p left join b on p.scene_id = b.scene_id and p.id = b.id and b.shared / cast(b.area as double) >= 0.3e0)
-select scene_id, id, rid ref_id, coalesce({_case_map("trim(lower(class))", rules.by_class())},
+select scene_id, id, rid ref_id, coalesce({_case_map("trim(lower(class))", rules.CLASSES)},
    case when trim(lower(subtype)) = 'residential' then case when nf >= 3 then 'apartment_block' when nf >= 1 then 'house' else {_AREA_CLASS} end end,
    {_case_map("trim(lower(subtype))", rules.SUBTYPES)}, {_AREA_CLASS}) class, cast(rid is not null as int) matched from m""", "v_pred", "v_gt")
 
@@ -1231,6 +1232,24 @@ def q73_numbered_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _oracle("q73_numbered_layer", "select format('bld_{:06d}', row_number() over (order by id) - 1) id, id was, 'building' class, cast(80 as int) confidence from v_pred", "v_pred")
 
 
+
+@_query
+def q74_segment_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole segment stage: every valid pixel is in one segment, polygons cover what the features count, the
+    reference over the upper half of each tile labels the segments above and below."""
+    t = tile_rows(spark, sf_dir).withColumn("tile_idx", F.col("tile_id"))
+    features, pieces = segment_stage.segment_layer(t, ["scene_id", "tile_idx"], n_segments=4)
+    k = (F.col("id") % 3).cast("int")
+    refs = spark.range(10).select(F.col("id").alias("scene_id"), F.lit(1).cast("long").alias("id"), geo.box(F.lit(0), F.lit(0), F.lit(8), 2 + k * 2).alias("geom"), F.lit("house").alias("class"), F.lit("residential").alias("subtype"))
+    out = segment_stage.labelled(features, pieces, refs)
+    shapes = pieces.groupBy("scene_id", "segment_id").agg(F.sum(geo.area(F.col("geom"))).alias("drawn"))
+    sound = (F.col("drawn") == F.col("area_px")) & F.col("label").isin(-1, 0, 1) & (F.col("ref_class").isNotNull() == (F.col("label") == 1)) & (F.col("overlap").between(0, 1 + 1e-9)) & (F.col("use_for_train") | (F.col("label") < 2))
+    return out.join(shapes, ["scene_id", "segment_id"]).groupBy("scene_id", F.floor(F.col("segment_id") / 100_000).alias("tile_idx")).agg(F.sum("area_px").alias("n_pixels"), _scaled(F.sum(F.col("overlap") * F.col("area_px")), 1).alias("n_covered"), F.min(sound).alias("sound"))
+
+
+_oracle("q74_segment_stage", "select scene_id, tile_id tile_idx, count(*) filter (valid) n_pixels, count(*) filter (valid and prow < 2 + scene_id % 3 * 2) n_covered, true sound from v_pixel group by 1, 2", "v_pixel")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_ALL)
 

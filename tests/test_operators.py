@@ -64,7 +64,7 @@ def test_building_rules(spark):
     df = spark.createDataFrame(rows, "subtype string, floors double, area double, class string")
     got = [r.c for r in df.select(rules.building_class(F.col("class"), F.col("subtype"), F.col("floors"), F.col("area")).alias("c")).collect()]
     assert got == ["apartment_block", "apartment_block", "apartment_block", "house", "civic", "house", "school"]
-    assert len(rules.by_class()) == 59 and len(set(rules.by_class().values())) == 11
+    assert len(rules.CLASSES) == 59 and len(set(rules.CLASSES.values())) == 11
 
 
 def test_both_covers_at_exactly_half(spark):

@@ -7,6 +7,8 @@ trapezoids under the even-odd rule. Areas are exact; a result's geometry is its
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 Rings = list[np.ndarray]
@@ -105,7 +107,32 @@ def area_of(traps: list[np.ndarray]) -> float:
     return float(sum(abs(ring_area(t)) for t in traps))
 
 
+def _convex_overlap(subject: list[list[float]], window: list[list[float]]) -> float:
+    """Shared area of two convex rings (open): the one cut by each side of the other in turn."""
+    sign = 1.0 if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(window, window[1:] + window[:1])) > 0 else -1.0
+    pts = subject
+    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
+        side = [sign * ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) for x, y in pts]
+        out = []
+        for k, (x, y) in enumerate(pts):
+            s, t = side[k - 1], side[k]
+            if (s > 0) != (t > 0) and s != t:
+                (px, py), f = pts[k - 1], s / (s - t)
+                out.append((px + f * (x - px), py + f * (y - py)))
+            if t > 0:
+                out.append((x, y))
+        pts = out
+        if len(pts) < 3:
+            return 0.0
+    ox, oy = pts[0]
+    return abs(sum((p[0] - ox) * (q[1] - oy) - (q[0] - ox) * (p[1] - oy) for p, q in zip(pts, pts[1:]))) / 2
+
+
 def intersection_area(a: list[Rings], b: list[Rings]) -> float:
+    if len(a) == len(b) == 1 and len(a[0]) == len(b[0]) == 1:
+        p, q = a[0][0][:-1].tolist(), b[0][0][:-1].tolist()
+        if len(p) > 2 and len(q) > 2 and _is_convex(p) and _is_convex(q):
+            return _convex_overlap(p, q)
     return area_of(overlay([a], [b], lambda p, q: p and q))
 
 
@@ -174,15 +201,36 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return out if len(out) >= 4 else ring
 
 
+def _is_convex(pts: list[list[float]]) -> bool:
+    """Whether all corners turn the same way and once around."""
+    n, turns, flips, last = len(pts), 0, 0, 0
+    for i in range(n):
+        (ax, ay), (bx, by), (cx, cy) = pts[i - 2], pts[i - 1], pts[i]
+        turn = (bx - ax) * (cy - by) - (by - ay) * (cx - bx)
+        if turn == 0:
+            return False
+        turns += 1 if turn > 0 else -1
+        right = 1 if cx > bx or (cx == bx and cy > by) else -1
+        flips += right == -last
+        last = right
+    return abs(turns) == n and flips <= 2
+
+
+@lru_cache(64)
+def _apart(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of edges of a ring that are not neighbours."""
+    i, j = np.triu_indices(n, 2)
+    keep = ~((i == 0) & (j == n - 1))
+    return i[keep], j[keep]
+
+
 def crosses(ring: np.ndarray) -> bool:
     """Whether two edges of a closed ring that are not neighbours meet, or neighbours lie on each other."""
     a, b = ring[:-1], ring[1:]
     n = len(a)
-    if n < 4:
+    if n < 4 or _is_convex(a.tolist()):
         return False
-    i, j = np.triu_indices(n, 2)
-    keep = ~((i == 0) & (j == n - 1))
-    i, j = i[keep], j[keep]
+    i, j = _apart(n)
 
     def side(p, q, r):
         return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
@@ -232,14 +280,16 @@ def hull(points: np.ndarray) -> np.ndarray:
 def principal_angle(points: np.ndarray) -> float:
     """Degrees of the longer side of the least rotated rectangle around the points."""
     h = hull(points)
-    best = (np.inf, 0.0)
-    for d in np.roll(h, -1, 0) - h:
-        t = np.arctan2(d[1], d[0])
-        along, across = h @ [np.cos(t), np.sin(t)], h @ [-np.sin(t), np.cos(t)]
-        w, k = np.ptp(along), np.ptp(across)
-        if w * k < best[0] - 1e-12:
-            best = (w * k, float(np.degrees(t)) if w >= k else float(np.degrees(t)) + 90)
-    return best[1]
+    d = np.concatenate((h[1:], h[:1])) - h
+    t = np.arctan2(d[:, 1], d[:, 0])
+    c, s = np.cos(t), np.sin(t)
+    along, across = h[:, :1] * c + h[:, 1:] * s, h[:, 1:] * c - h[:, :1] * s  # a column for each side
+    wide, high = along.max(0) - along.min(0), across.max(0) - across.min(0)
+    best, least = 0, np.inf
+    for i, size in enumerate((wide * high).tolist()):  # the first of equal ones
+        if size < least - 1e-12:
+            best, least = i, size
+    return float(np.degrees(t[best])) + (0.0 if wide[best] >= high[best] else 90.0)
 
 
 def centroid(ring: np.ndarray) -> np.ndarray:

@@ -45,12 +45,17 @@ def _encoded(values: list[list[k.Rings]]) -> pa.StructArray:
     return pa.StructArray.from_arrays([kinds, out], ["kind", "polys"])
 
 
+def _once(function):
+    """A function that the optimizer does not copy into filters, where it would run a second time."""
+    return function.asNondeterministic()
+
+
 def intersection_area(a: Column, b: Column) -> Column:
     @F.arrow_udf("double")
     def run(p: pa.Array, q: pa.Array) -> pa.Array:
         return pa.array([k.intersection_area(x, y) for x, y in zip(_decoded(p), _decoded(q))], pa.float64())
 
-    return run(a, b)
+    return _once(run)(a, b)
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -60,7 +65,7 @@ def intersects(a: Column, b: Column) -> Column:
     def run(p: pa.Array, q: pa.Array) -> pa.Array:
         return pa.array([any(k.intersects(r, s) for r in x for s in y) for x, y in zip(_decoded(p), _decoded(q))], pa.bool_())
 
-    return run(a, b)
+    return _once(run)(a, b)
 
 
 def _mapped(df: DataFrame, column: str, change) -> DataFrame:
@@ -70,7 +75,7 @@ def _mapped(df: DataFrame, column: str, change) -> DataFrame:
     def run(g: pa.Array) -> pa.Array:
         return _encoded([change(x) if x else [] for x in _decoded(g)])
 
-    out = df.withColumn(column, run(F.col(column)))
+    out = df.withColumn(column, _once(run)(F.col(column)))
     return out.withColumn(column, F.when(F.col(f"{column}.polys").isNotNull(), F.col(column)))
 
 
@@ -115,7 +120,7 @@ def clipped(layer: DataFrame, scenes: DataFrame, geometry: str = "geom") -> Data
             out.append([rings for rings in polys if rings])
         return _encoded(out)
 
-    out = pairs.withColumn("l_geom", cut(F.col(f"l_{geometry}"), *[F.col(f"r_{c}") for c in spatial.BOX])).filter("l_geom.polys is not null")
+    out = pairs.withColumn("l_geom", _once(cut)(F.col(f"l_{geometry}"), *[F.col(f"r_{c}") for c in spatial.BOX])).filter("l_geom.polys is not null")
     keep = [c for c in layer.columns if c not in ("scene_id", geometry)]
     return out.select(F.col("r_scene_id").alias("scene_id"), *[F.col(f"l_{c}").alias(c) for c in keep], F.col("l_geom").alias(geometry))
 
@@ -133,7 +138,7 @@ def subtracted(cover: DataFrame, buildings: DataFrame, min_area: float = SLIVER_
         return _encoded([[[t] for t in k.difference(x, many)] for x, many in zip(_decoded(g), _lists(near))])
 
     rows = cover.join(near, ["scene_id", "id"], "left")
-    touched = rows.filter("near is not null").withColumn("geom", minus(F.col("geom"), F.col("near"))).filter("geom.polys is not null")
+    touched = rows.filter("near is not null").withColumn("geom", _once(minus)(F.col("geom"), F.col("near"))).filter("geom.polys is not null")
     built = buildings.select("scene_id").distinct().withColumn("__built", F.lit(True))
     out = touched.drop("near").unionByName(rows.filter("near is null").drop("near")).join(built, "scene_id", "left")
     return out.filter(F.col("__built").isNull() | (geo.area(F.col("geom")) > min_area)).drop("__built")

@@ -176,7 +176,7 @@ def _cleaned_sql(source: str, radius: int, masks: tuple[str, ...], out: str) ->
 
 
 def _masked(spark: SparkSession, sf_dir: str, radius: int = 3) -> DataFrame:
-    return segments.masked_pixels(tile_rows(spark, sf_dir), ["tile_id", "scene_id"], radius)
+    return segments.masked_pixels(_spread(tile_rows(spark, sf_dir)), ["tile_id", "scene_id"], radius)
 
 
 def _masked_sql(radius: int) -> str:
@@ -569,6 +569,11 @@ _oracle("q31_dice_loss", """
 select cast(floor((bce + 0.5e0*miss)*1e6+0.5e0) as bigint) loss, cast(floor(dice*1e6+0.5e0) as bigint) dice, cast(floor(bce*1e6+0.5e0) as bigint) bce from f""", "v_prob")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The test tables are single files: their rows go to all cores before heavy work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted boxes with a vertex of noise, turned by the id's degrees about a corner."""
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in spatial.BOX)
@@ -579,7 +584,7 @@ def _turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def q32_ortho_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy turned rectangles, regularised: the rectangles themselves."""
-    out = overlay.ortho_snapped(_turned_boxes(spark, sf_dir).select("id", "geom"), tolerance=0.5)
+    out = overlay.ortho_snapped(_spread(_turned_boxes(spark, sf_dir).select("id", "geom")), tolerance=0.5)
     return out.select("id", _scaled(geo.area(F.col("geom")), 1e3).alias("area_m2"), (F.size(F.col("geom.polys")[0][0]) - 1).alias("n_vertices"))
 
 
@@ -802,7 +807,7 @@ def q49_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0, x1, y1 = (F.col(c) for c in spatial.BOX)
     tie = F.array(geo.point(x0, y0), geo.point(x1, y1), geo.point(x1, y0), geo.point(x0, y1), geo.point(x0, y0))
     g = view(spark, sf_dir, "v_pred").withColumn("geom", F.struct(F.lit("Polygon").alias("kind"), F.array(F.array(tie)).alias("polys")))
-    return overlay.repaired(g).select("id", _scaled(geo.area(F.col("geom")), 100).alias("area"))
+    return overlay.repaired(_spread(g)).select("id", _scaled(geo.area(F.col("geom")), 100).alias("area"))
 
 
 _oracle("q49_repair", "select id, cast((x1-x0)*(y1-y0)*50 as bigint) area from v_pred", "v_pred")
@@ -813,7 +818,7 @@ def q50_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The noisy vertex of turned boxes goes; the main direction is the longer side's."""
     from geoloom.operators import outline
 
-    out = overlay.simplified(_turned_boxes(spark, sf_dir), 0.5)
+    out = overlay.simplified(_spread(_turned_boxes(spark, sf_dir)), 0.5)
     angle = outline.principal_angle(F.col("geom"))
     turned = F.pmod(F.round(angle - F.col("id") % 45, 6), F.lit(180.0))
     return out.select("id", (F.size(F.col("geom.polys")[0][0]) - 1).alias("n_vertices"), F.when(F.col("x1") - F.col("x0") != F.col("y1") - F.col("y0"), F.pmod(F.round(turned), F.lit(180.0)).cast("long")).alias("angle"))

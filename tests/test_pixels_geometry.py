@@ -149,3 +149,18 @@ def test_intensity_and_votes_keep_invalid_pixels_out(spark):
     df = spark.createDataFrame([(60.0, 120.0, 60.0, False)], "r double, g double, b double, valid boolean")
     assert df.select(px.vegetation(*rgb(), F.col("valid")).alias("x")).first().x is False
     assert math.isclose(df.select(px.intensity(*rgb()).alias("x")).first().x, 80)
+
+
+def test_convex_overlaps_equal_the_slabs():
+    rng = np.random.default_rng(12)
+
+    def convex():
+        h = k.hull(rng.random((rng.integers(3, 9), 2)) * 10 + rng.integers(0, 6, 2))
+        return [np.vstack((h, h[:1]))[:: rng.choice((1, -1))]]
+
+    for _ in range(300):
+        a, b = convex(), convex()
+        want = k.area_of(k.overlay([[a]], [[b]], lambda p, q: p and q))
+        assert k.intersection_area([a], [b]) == pytest.approx(want, rel=1e-7, abs=1e-9)
+    square = [np.array([[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], float)]
+    assert k.intersection_area([square], [[square[0] + [4, 0]]]) == 0 and k.intersection_area([square], [square]) == 16

@@ -56,47 +56,65 @@ def cross_validated(df: DataFrame, features: list[str], key: str, label: str = "
     return c.select(((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def shifted_overlap(segments: DataFrame, refs: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Shared area of all segments with the references moved by each (dx, dy) of the grid `shifts`, of fixed size.
-
-    References are joined once, widened by the farthest shifts; a pair's shared widths by dx and heights by dy are
-    independent, so a pair makes a row for each dx that meets, and a sum for each dy."""
-    grid = shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).collect()
+def _shifted(segments: DataFrame, refs: DataFrame, shifts: DataFrame, *keys: str) -> DataFrame:
+    """(`keys` of the distinct boxes of segments, dx, dy, shared, n): the area that a box, or with no keys all segments,
+    shares with the references moved by each (dx, dy) of the grid `shifts`, of fixed size; n segments have the box.
+
+    Equal boxes of a scene are joined once and count by their number, references once, widened by the farthest shifts; a
+    pair's shared widths by dx and heights by dy are independent, so a pair makes a row for each dx that meets, and a sum
+    for each dy."""
+    grid = shifts.select(F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).collect()
+    if not grid:
+        return segments.select(*keys, *[F.lit(0.0).alias(c) for c in ("dx", "dy", "shared")], F.lit(0).cast("long").alias("n")).limit(0)
     xs, ys = sorted({r.dx for r in grid}), sorted({r.dy for r in grid})
     own = [F.col(c).alias(f"own_{c}") for c in spatial.BOX]
-    wide = refs.select("*", *own).withColumns({"x0": F.col("x0") - max(xs), "x1": F.col("x1") - min(xs), "y0": F.col("y0") - max(ys), "y1": F.col("y1") - min(ys)})
-    pairs = spatial.box_pairs(segments, wide)
+    wide = spatial.counted(refs).select("*", *own).withColumns({"x0": F.col("x0") - max(xs), "x1": F.col("x1") - min(xs), "y0": F.col("y0") - max(ys), "y1": F.col("y1") - min(ys)})
+    pairs = spatial.box_pairs(spatial.counted(segments), wide)
 
     def shared(axis: str, d: Column) -> Column:
         low, high = F.greatest(F.col(f"l_{axis}0"), F.col(f"r_own_{axis}0") - d), F.least(F.col(f"l_{axis}1"), F.col(f"r_own_{axis}1") - d)
         return F.greatest(high - low, F.lit(0.0))
 
     across = F.filter(F.transform(F.array(*[F.lit(x) for x in xs]), lambda d: F.struct(d.alias("dx"), shared("x", d).alias("w"))), lambda s: s["w"] > 0)
-    rows = pairs.select(F.explode(across).alias("s"), *[shared("y", F.lit(y)).alias(f"h{k}") for k, y in enumerate(ys)])
-    sums = rows.groupBy("s.dx").agg(*[F.sum(F.col("s.w") * F.col(f"h{k}")).alias(f"a{k}") for k in range(len(ys))])
-    long = sums.select("dx", F.explode(F.array(*[F.struct(F.lit(y).alias("dy"), F.col(f"a{k}").alias("shared")) for k, y in enumerate(ys)])).alias("s")).select("dx", "s.*")
-    return long.join(F.broadcast(shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))), ["dx", "dy"]).filter("shared > 0").select("shift", "shared")
+    times = F.col("r_n") if keys else F.col("r_n") * F.col("l_n")
+    by = [F.col(f"l_{c}").alias(c) for c in keys]
+    rows = pairs.select(*by, F.col("l_n").alias("n"), times.alias("times"), F.explode(across).alias("s"), *[shared("y", F.lit(y)).alias(f"h{k}") for k, y in enumerate(ys)])
+    sums = rows.groupBy(*keys, "s.dx").agg(F.max("n").alias("n"), *[F.sum(F.col("s.w") * F.col("times") * F.col(f"h{k}")).alias(f"a{k}") for k in range(len(ys))])
+    return sums.select(*keys, "n", "dx", F.explode(F.array(*[F.struct(F.lit(y).alias("dy"), F.col(f"a{k}").alias("shared")) for k, y in enumerate(ys)])).alias("s")).select(*keys, "n", "dx", "s.*").filter("shared > 0")
+
+
+def _numbered(moved: DataFrame, shifts: DataFrame) -> DataFrame:
+    """The rows of `_shifted` with the shift's number."""
+    return moved.join(F.broadcast(shifts.select("shift", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))), ["dx", "dy"])  # a grid of fixed size
+
+
+def shifted_overlap(segments: DataFrame, refs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Shared area of all segments with the references moved by each (dx, dy) of the grid `shifts`, of fixed size."""
+    return _numbered(_shifted(segments, refs, shifts), shifts).select("shift", "shared")
+
+
+def shifted_boxes(segments: DataFrame, refs: DataFrame, shifts: DataFrame, positive: float = 0.5, negative: float = 0.05) -> DataFrame:
+    """(shift, scene_id, box, n, overlap, label) of the distinct boxes that some moved reference overlaps: 1, 0, or -1
+    between the limits; n segments have the box. Boxes without a row at a shift overlap nothing there and are 0."""
+    by = ("scene_id", *spatial.BOX)
+    overlap = F.col("shared") / spatial.box_area()
+    out = _numbered(_shifted(segments, refs, shifts, *by), shifts).select("shift", *by, "n", overlap.alias("overlap"))
+    return out.withColumn("label", F.when(F.col("overlap") >= positive, 1).when(F.col("overlap") <= negative, 0).otherwise(-1))
 
 
 def shifted_labels(segments: DataFrame, refs: DataFrame, shifts: DataFrame, positive: float = 0.5, negative: float = 0.05) -> DataFrame:
-    """(shift, scene_id, id, overlap, label) of the segments that some moved reference overlaps: 1, 0, or -1 between the
-    limits. Segments without a row at a shift overlap nothing there and are 0. References are joined once."""
-    span = shifts.agg(*[f(c).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    own = [F.col(c).alias(f"own_{c}") for c in spatial.BOX]
-    wide = refs.select("scene_id", *spatial.BOX, *own).withColumns({"x0": F.col("x0") - span.hi_dx, "x1": F.col("x1") - span.lo_dx, "y0": F.col("y0") - span.hi_dy, "y1": F.col("y1") - span.lo_dy})
-    pairs = spatial.box_pairs(segments.select("scene_id", "id", *spatial.BOX), wide).join(F.broadcast(shifts.select("shift", "dx", "dy")))  # a grid of fixed size
-    sides = {k: F.col(f"r_own_{k}") - F.col("dx" if k[0] == "x" else "dy") for k in spatial.BOX}
-    shared = geo.box_overlap({k: F.col(f"l_{k}") for k in spatial.BOX}, sides)
-    sums = pairs.withColumn("shared", shared).filter("shared > 0").groupBy("shift", F.col("l_scene_id").alias("scene_id"), F.col("l_id").alias("id")).agg(F.sum("shared").alias("shared"), F.first(spatial.box_area("l_")).alias("area"))
-    overlap = F.col("shared") / F.col("area")
-    return sums.select("shift", "scene_id", "id", overlap.alias("overlap"), F.when(overlap >= positive, 1).when(overlap <= negative, 0).otherwise(-1).alias("label"))
+    """(shift, scene_id, id, overlap, label): the rows of `shifted_boxes` for each segment that has the box."""
+    by = ["scene_id", *spatial.BOX]
+    return segments.select("id", *by).join(shifted_boxes(segments, refs, shifts, positive, negative).drop("n"), by).select("shift", "scene_id", "id", "overlap", "label")
 
 
 def shift_counts(segments: DataFrame, labels: DataFrame, shifts: DataFrame) -> DataFrame:
-    """By shift: the labelled segments (n_train) and the positive ones, from `shifted_labels`."""
+    """By shift: the labelled segments (n_train) and the positive ones, from `shifted_labels` or `shifted_boxes`."""
     n = segments.count()
-    by = labels.groupBy("shift").agg(F.count_if(F.col("label") == -1).alias("__open"), F.count_if(F.col("label") == 1).alias("__pos"))
-    return shifts.select("shift").join(by, "shift", "left").select("shift", (F.lit(n) - F.coalesce("__open", F.lit(0))).alias("n_train"), F.coalesce("__pos", F.lit(0)).alias("n_pos"))
+    times = F.col("n") if "n" in labels.columns else F.lit(1).cast("long")
+    many = lambda label: F.sum(F.when(F.col("label") == label, times))
+    by = labels.groupBy("shift").agg(many(-1).alias("__open"), many(1).alias("__pos"))
+    return shifts.select("shift").join(by, "shift", "left").select("shift", (F.lit(n) - F.coalesce("__open", F.lit(0))).alias("n_train"), F.coalesce("__pos", F.lit(0).cast("long")).alias("n_pos"))
 
 
 def calibrated(features: DataFrame, refs: DataFrame, shifts: DataFrame, names: list[str], folds: int = 3, **params) -> DataFrame:

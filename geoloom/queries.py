@@ -998,9 +998,8 @@ _L_SQL = """
 @_query
 def q61_polygon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-shaped objects: those of one scene that touch, and their shared areas."""
-    a, b = _l_shaped(spark, sf_dir, "v_pred").select("scene_id", "id", "geom", *spatial.BOX), _l_shaped(spark, sf_dir, "v_gt").select("scene_id", "id", "geom", *spatial.BOX)
-    pairs = spatial.box_pairs(a, b).filter(overlay.intersects(F.col("l_geom"), F.col("r_geom")))
-    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), _scaled(overlay.intersection_area(F.col("l_geom"), F.col("r_geom")), 100).alias("shared"))
+    a, b = (_l_shaped(spark, sf_dir, v).select("scene_id", "id", "geom") for v in ("v_pred", "v_gt"))
+    return overlay.touching(a, b).select("a", "b", _scaled(F.col("shared"), 100).alias("shared"))
 
 
 _oracle("q61_polygon_match", _L_SQL + """
@@ -1200,7 +1199,7 @@ def _shifts(spark: SparkSession) -> DataFrame:
 def q71_shift_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training labels that each of the 256 shifts gives."""
     pred, refs = view(spark, sf_dir, "v_pred").select("scene_id", "id", *spatial.BOX), view(spark, sf_dir, "v_gt").select("scene_id", *spatial.BOX)
-    return ml.shift_counts(pred, ml.shifted_labels(pred, refs, _shifts(spark)), _shifts(spark))
+    return ml.shift_counts(pred, ml.shifted_boxes(pred, refs, _shifts(spark)), _shifts(spark))
 
 
 _oracle("q71_shift_labels", """

@@ -7,9 +7,9 @@ that a part of its tokens foretells with as much confidence never decides and go
 index under their rarest token; a URL meets the rules under its tokens, and those whose tokens it has all match it. The
 most confident matching rule gives the verdict (ties: block).
 
-Tokens below the support are in no frequent set and go before the mining. Of a URL with more than `MAX_ITEMS` frequent
-tokens the most frequent ones are mined (ties: the lesser token), so that a URL has at most 2**(MAX_ITEMS + 1) item
-sets; the matching looks at all tokens.
+Tokens below the support are in no frequent set and go before the mining. A URL of `MAX_ITEMS` frequent tokens has up to
+2**(MAX_ITEMS + 1) item sets; where one has more tokens, only sets that can be the tokens of a deciding rule are counted,
+level by level (`free_rules`), over all tokens of all URLs. The rules are the same.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, no rule, and the method's verdict on
 no tokens (allow); labels that are null are ignored; a long URL is taken whole; without labels or rules the method allows; repeated rows are
@@ -72,6 +72,43 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
 
 
+def free_rules(narrow: DataFrame, sets: DataFrame, n: int, least: int, min_confidence: float) -> DataFrame:
+    """(tokens, verdict, confidence): the rules of FP-growth on all frequent tokens `t`, without some that never decide.
+
+    A set as frequent as one with a token less foretells the same, and beyond a set with one label only nothing is more
+    confident; neither these sets nor larger ones give a rule that decides. So a level extends, by a later token, the
+    sets that have both labels, one of them often enough, and are rarer than each of their parts."""
+    bads = sets.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0))).first()[0]
+    rows = cut(narrow.groupBy("t").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b")), "url-rows")
+    held = rows.select("t", "n", "b", F.explode("t").alias("x")).withColumn("x", F.array("x"))
+    parts, every, size, spent = None, None, 1, []
+    while True:
+        held = cut(held, f"url-held-{size}")
+        found = held.groupBy("x").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).filter(F.greatest(F.col("b"), F.col("n") - F.col("b")) >= least)
+        if size == 1:
+            found = found.filter(F.col("n") < n)
+        else:
+            less = found.select("x", F.explode("x").alias("y"), "n", "b").select("x", "n", "b", F.array_remove("x", F.col("y")).alias("part"))
+            less = less.join(parts.select(F.col("x").alias("part"), F.col("n").alias("of_part")), "part").filter(F.col("n") < F.col("of_part"))
+            found = less.groupBy("x", "n", "b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == size).drop("k")
+        found = cut(found, f"url-sets-{size}")
+        every = found if every is None else every.unionByName(found)
+        spent.append(held)
+        parts = found.filter((F.col("b") > 0) & (F.col("b") < F.col("n")))
+        if not parts.limit(1).count():
+            break
+        more = F.filter("t", lambda y: y > F.element_at("x", -1))
+        held = held.join(parts.select("x"), "x", "left_semi").select("t", "n", "b", "x", F.explode(more).alias("y")).select("t", "n", "b", F.concat("x", F.array("y")).alias("x"))
+        size += 1
+    sides = F.array(F.struct(F.lit("block").alias("verdict"), F.col("b").alias("k"), F.lit(bads).alias("of")), F.struct(F.lit("allow").alias("verdict"), (F.col("n") - F.col("b")).alias("k"), F.lit(n - bads).alias("of")))
+    said = every.select("x", "n", F.explode(sides).alias("s")).filter(F.col("s.k") >= least)
+    said = said.select(F.col("x").alias("tokens"), F.col("s.verdict").alias("verdict"), (F.col("s.k") / F.col("n")).alias("confidence"), (F.col("s.k") / F.col("n") / (F.col("s.of") / n)).alias("lift"))
+    out = cut(said.filter((F.col("confidence") >= min_confidence) & (F.col("lift") > 1 + 1e-9)).drop("lift"), "url-free")
+    for x in (rows, *spent):
+        drop_cut(x)
+    return out
+
+
 def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, max_items: int = MAX_ITEMS) -> DataFrame:
     """(post, tokens, verdict, confidence) from rows of tokens and bad; `post` is the rule's rarest token."""
     spark = labelled.sparkSession
@@ -84,23 +121,27 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_suppor
     frequent = sets.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     frequent = cut(frequent, "url-tokens")
     known = sets.select("tokens", "bad", "n", F.explode("tokens").alias("token")).join(F.broadcast(frequent.withColumnRenamed("n", "df")), "token")
-    narrow = known.groupBy("tokens", "bad", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("k"), "token"))), 1, max_items).alias("t"))
-    label = F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    # URLs without a frequent token count in the shares of the labels
-    items = narrow.select(F.concat(F.col("t.token"), F.array(label)).alias("items"), "n")
-    rest = sets.groupBy("bad").agg(F.sum("n").alias("n")).join(narrow.groupBy("bad").agg(F.sum("n").alias("k")), "bad", "left")
-    items = items.unionByName(rest.select(F.array(label).alias("items"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
-    each = items.filter("n > 0").select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(each)
-    rules = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.col("lift") > 1 + 1e-9))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence"), "url-rules")
+    narrow = cut(known.groupBy("tokens", "bad", "n").agg(F.sort_array(F.collect_list("token")).alias("t")), "url-frequent")
+    if narrow.filter(F.size("t") > max_items).limit(1).count():
+        rules = free_rules(narrow, sets, n, least, min_confidence)
+    else:
+        label = F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+        # URLs without a frequent token count in the shares of the labels
+        items = narrow.select(F.concat(F.col("t"), F.array(label)).alias("items"), "n")
+        rest = sets.groupBy("bad").agg(F.sum("n").alias("n")).join(narrow.groupBy("bad").agg(F.sum("n").alias("k")), "bad", "left")
+        items = items.unionByName(rest.select(F.array(label).alias("items"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        each = items.filter("n > 0").select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("items")
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(each)
+        rules = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.col("lift") > 1 + 1e-9))
+        rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence")
+    rules = cut(rules, "url-rules")
     # a rule with as much confidence and one token less matches wherever this one does
     parts = rules.filter(F.size("tokens") > 1).select(F.explode("tokens").alias("x"), F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("own")).select(F.array_remove("whole", F.col("x")).alias("tokens"), "whole", "verdict", "own")
     idle = parts.join(rules, ["tokens", "verdict"]).filter("confidence >= own").select(F.col("whole").alias("tokens"), "verdict").distinct()
     kept = rules.join(idle, ["tokens", "verdict"], "left_anti")
     posted = kept.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(frequent), "token").groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("m")).select("tokens", F.col("m.token").alias("post"))
     out = cut(kept.join(posted, "tokens").select("post", "tokens", "verdict", "confidence"), "url-index")
-    for spent in (sets, frequent, rules):
+    for spent in (sets, frequent, narrow, rules):
         drop_cut(spent)
     return out
 

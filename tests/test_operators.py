@@ -222,3 +222,35 @@ def test_training_log_has_one_header(tmp_path):
     for k in range(3):
         logs.append_row(str(tmp_path / "log.csv"), {"epoch": k, "loss": k / 2})
     assert (tmp_path / "log.csv").read_text().split() == ["epoch,loss", "0,0.0", "1,0.5", "2,1.0"]
+
+
+def test_a_task_reads_more_scenes_than_it_may_hold_open(tmp_path):
+    import os
+    import resource
+
+    import pandas as pd
+    import pytest
+
+    names = [str(tmp_path / f"{i}.tif") for i in range(200)]
+    for name in names:
+        with open(name, "wb") as f:
+            f.write(raster.geotiff(np.full((2, 2, 4), 7, np.uint8), [0.5, 0.0, 76.0, 0.0, -0.25, 43.0]))
+    runs = []
+
+    class Paths:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            runs.append(run)
+            raise LookupError
+
+    with pytest.raises(LookupError):
+        raster.metadata(Paths())
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 50, hard))
+    try:
+        kept = next(runs[0](iter([pd.DataFrame({"path": names})])))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert list(kept["width_px"]) == [2] * 200

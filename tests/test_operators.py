@@ -254,3 +254,18 @@ def test_a_task_reads_more_scenes_than_it_may_hold_open(tmp_path):
     finally:
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
     assert list(kept["width_px"]) == [2] * 200
+
+
+def test_mosaic_does_not_hang_on_the_order_of_addition(spark):
+    draw = np.random.default_rng(3)
+    values = draw.integers(0, 256, 1024) // 2
+    values[:200] += (51 * 8 * 301 - values.sum()) // 200
+    values[200] += 51 * 8 * 301 - values.sum()
+    rows = [(k, float(v) / 255) for k in range(20) for v in draw.permutation(values)]
+    p = spark.createDataFrame(rows, "k long, p double")
+    exact = 51 * 8 * 301 / (255 * 1024)  # a tie: 470312.5 millionths
+    for parts in (1, 7):
+        assert {r.p for r in tiles.mosaic(p.repartition(parts), ["k"]).collect()} == {exact}
+    odd = spark.createDataFrame([(1, 9.0), (1, 2.0), (2, float("nan")), (3, None), (4, 0.25), (4, None)], "k long, p double")
+    got = {r.k: r.p for r in tiles.mosaic(odd, ["k"]).collect()}
+    assert (got[1], got[3], got[4]) == (5.5, None, 0.25) and np.isnan(got[2])

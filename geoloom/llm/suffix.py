@@ -333,10 +333,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bytes, wanted: uid, h, start, n) rows to the wanted contexts."""
+    """(doc_id, bytes, wanted: uid, h, start, n) rows to the wanted contexts."""
     for batch in batches:
         out: list[tuple] = []
-        for text, wanted in zip(batch.column(0), batch.column(1)):
+        for text, wanted in zip(batch.column(1), batch.column(2)):
             text = text.as_py()
             out += [(w["h"], w["uid"], w["start"], w["n"], text[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in wanted.as_py()]
         cols = list(zip(*out)) or [()] * 5
@@ -364,11 +364,13 @@ RUNS = "h long, c long, uid long, start int, n int, kind tinyint"
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed and spans of removed bytes."""
-    docs = numbered(documents.select("doc_id", "text")).select("uid", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    # no uid is null; said here, as a filter on one side of a join would make its exchange another one
+    docs = numbered(documents.select("doc_id", "text")).select(F.coalesce("uid", F.lit(0).cast("long")).alias("uid"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
 
     def contexts(found: DataFrame) -> DataFrame:
         wanted = found.groupBy("uid").agg(F.collect_list(F.struct("uid", "h", "start", "n")).alias("wanted"))
-        return docs.join(wanted, "uid").select("bytes", "wanted").mapInArrow(slices, "h long, uid long, start int, n int, context binary")
+        # doc_id is not needed, but with it the texts' exchange is that of the last join, which reuses it
+        return docs.join(wanted, "uid").select("doc_id", "bytes", "wanted").mapInArrow(slices, "h long, uid long, start int, n int, context binary")
 
     levels = []
     source = docs.select("uid", F.lit(0).alias("start"), "bytes")

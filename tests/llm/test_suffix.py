@@ -145,3 +145,21 @@ def test_runs_of_one_byte_and_periods(spark):
 
 def test_empty_table(empty):
     assert suffix.digest(empty).count() == 0
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_texts_are_shuffled_once(spark, tmp_path, unique):
+    """Both joins of the texts read one exchange."""
+    line = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(150))
+    rows = [(i if unique or i else 1, f"{i}" * 120 + line + f"{i}." * 80) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "-1")
+        out = suffix.digest(spark.read.parquet(f"{tmp_path}/docs"))
+        assert sum(r.n_removed for r in out.collect()) >= 150 * 59
+    finally:
+        spark.conf.set(setting, before)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan

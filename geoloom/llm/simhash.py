@@ -102,8 +102,9 @@ def moved(fp: np.ndarray, mask: int, back: bool = False) -> np.ndarray:
     return out
 
 
-def trie_pairs(keys: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of the sorted distinct `keys` that share their first `depth` bits and differ in at most `budget`."""
+def trie_pairs(keys: np.ndarray, depth: int, budget: int, counted: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the sorted `keys` that share their first `depth` bits and differ in at most `budget` of the first
+    `counted`. If all bits count, the keys must be distinct."""
     if len(keys) < 2:
         return
     top = keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
@@ -121,16 +122,19 @@ def trie_pairs(keys: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.n
             half = len(a0) // 2
             stack += [(d, *(x[:half] for x in (a0, a1, b0, b1, bits))), (d, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
             continue
-        few = (a1 - a0) * (b1 - b0) <= LEAVES
+        few = ((a1 - a0) * (b1 - b0) <= LEAVES) | (d >= counted)
         if few.any():
             na, nb = (a1 - a0)[few], (b1 - b0)[few]
-            n = na * nb
-            of = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            i, j = a0[few][of] + k // nb[of], b0[few][of] + k % nb[of]
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            if near.any():
-                yield i[near], j[near]
+            n, first, last = na * nb, a0[few], b0[few]
+            total = np.cumsum(n)
+            for at in range(0, int(total[-1]), FRONTIER * 4):  # nodes below the counted bits may hold many
+                k = np.arange(at, min(at + FRONTIER * 4, int(total[-1])))
+                of = np.searchsorted(total, k, "right")
+                k -= (total - n)[of]
+                i, j = first[of] + k // nb[of], last[of] + k % nb[of]
+                near = (i < j) & (np.bitwise_count((keys[i] ^ keys[j]) >> np.uint64(BITS - counted)) <= budget)
+                if near.any():
+                    yield i[near], j[near]
         more = ~few
         if not more.any():
             continue

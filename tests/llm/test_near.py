@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from geoloom.llm import near
 
@@ -56,3 +59,22 @@ def test_likeness_of_08_is_near_whatever_the_fingerprints(spark, monkeypatch):
 
 def test_empty_table(empty):
     assert near.keep_one(empty).count() == 0
+
+
+def meet(a, b):
+    prints = [near.fingerprint(x).tobytes() for x in (a, b)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(prints, pa.binary())], ["id", "print"])
+    rows = pa.Table.from_batches(list(near.dealt(iter([batch])))).sort_by("bucket").combine_chunks().to_batches()
+    return any(b.num_rows for b in near.groups(iter(rows)))
+
+
+def test_fingerprints_meet_by_likeness():
+    """Of pairs of sets at a likeness of 0.8 few are over the budget or share no table; unlike ones do not meet."""
+    draw = np.random.default_rng(8)
+    met = [0, 0]
+    for _ in range(200):
+        n = int(draw.integers(3, 400)) * 9
+        every = draw.integers(0, 1 << 64, 2 * n, np.uint64)
+        met[0] += meet(every[:n], every[n // 9 : n + n // 9])
+        met[1] += meet(every[:n], every[n // 2 : n + n // 2])  # at a third
+    assert met[0] >= 190 and met[1] == 0

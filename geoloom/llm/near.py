@@ -15,7 +15,9 @@ Within a group each text is checked exactly against the group's leader, the text
 whose texts are then still of several components get other leaders, until at most `OPEN` pairs of different components are
 left for each text (or `ROUNDS` rounds have gone by), and then each of these pairs within the budget is checked. So no link
 among the candidates is missed, and a large group of near copies costs one check for each text and leader, not its square.
-Texts with one hash are copies and go once.
+Texts with one hash are copies and go once. A round's links are between the components found before it, and each task folds its
+links into stars before they go to the star contraction: few links and few of its rounds are left, each of which costs the
+driver the memory of its plans and threads.
 
 Defined cases: null and wordless texts are copies of each other; rows with equal ids are separate rows; an empty
 table gives an empty result; all columns are kept; a very long text is hashed whole, in pieces.
@@ -138,35 +140,52 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at][several])], ["key", "id"])
 
 
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task to as few with the same components: each node but the least with the least one that it reaches."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in got]) for k in ("a", "b"))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    least = nodes[least_reached(len(nodes), iter([(at[: len(a)], at[len(a) :])]))]
+    linked = least != nodes
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(least[linked])], ["a", "b"])
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links with the same components: folded where they lie, then, dealt by node, where small tables meet in one task."""
+    return links.mapInArrow(folded, "a long, b long").repartition("a").mapInArrow(folded, "a long, b long")
+
+
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows (a, b) of `pairs` whose sets are alike."""
+    """The roots, as (a, b), of the rows (a, b, ra, rb) of `pairs` whose sets are alike."""
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("value").alias("of_b")), "b")
-    both = one.join(sets.select(F.col("id").alias("a"), F.col("value").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    both = one.join(sets.select(F.col("id").alias("a"), F.col("value").alias("of_a")), "a").select("ra", "rb", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [likeness(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= LIKENESS for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            yield batch.select(["ra", "rb"]).rename_columns(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def roots(texts: DataFrame) -> DataFrame:
-    """(id, root) of the texts (id, __bytes) that are near copies of others: texts of one root are a component.
+    """(id, root) of the texts (id, __bytes) that are near copies of one with a lesser id, the root of their component.
 
-    Joins are by id, which a key has once, or by key, where the adaptive join splits a hot key; tables that are cut
+    Joins are by id, which a key has once, or by key or root, where the adaptive join splits a hot one; tables that are cut
     first have a known size, so that small ones are broadcast without a shuffle of the other side."""
     prints = cut(_each_text(texts, "print", "print binary", lambda x: fingerprint(x).tobytes()), "near-prints")
     met = cut(prints.mapInArrow(dealt, "bucket int, id long, print binary").repartition("bucket").mapInArrow(groups, "key long, id long"), "near-met")
-    wanted = cut(met.select("id").distinct(), "near-ids")
+    label = cut(met.select("id", F.col("id").alias("root")).distinct(), "near-ids")
+    wanted = label.select("id")
     longs = [F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long").alias(w) for k, w in enumerate(WORDS)]
     members = cut(met.join(prints.join(wanted, "id", "left_semi").select("id", F.struct(*longs).alias("words")), "id"), "near-members")
     sets = cut(_each_text(texts.join(wanted, "id", "left_semi"), "value", "value binary", lambda x: x.tobytes()), "near-sets")
     drop_cut(prints)
     drop_cut(met)
     n_ids = wanted.count()
-    label = texts.select("id", F.col("id").alias("root")).limit(0)
-    tested = links = None
+    tested = None
     of = members.withColumn("root", F.col("id"))
     for k in range(ROUNDS + 1):
         by_root = of.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -174,34 +193,40 @@ def roots(texts: DataFrame) -> DataFrame:
         mixed = cut(mixed, "near-open")
         n_open = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0]
         if not n_open:
+            for spent in (mixed, of):
+                drop_cut(spent)
             break
         rest = cut(of.join(mixed.select("key", "n"), "key"), "near-rest")
+        for spent in (mixed, of):
+            drop_cut(spent)
         if last := k == ROUNDS or n_open <= OPEN * n_ids:
-            x = rest.select("key", F.col("id").alias("a"), F.col("root").alias("__ra"), F.col("words").alias("__wa"))
-            y = rest.select("key", F.col("id").alias("b"), F.col("root").alias("__rb"), F.col("words").alias("__wb"))
+            x = rest.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("words").alias("__wa"))
+            y = rest.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("words").alias("__wb"))
             differ = " + ".join(f"bit_count(__wa.{w} ^ __wb.{w})" for w in WORDS)
-            pairs = x.join(y, "key").filter(f"__ra < __rb and {differ} <= {BUDGET}")
+            pairs = x.join(y, "key").filter(f"ra < rb and {differ} <= {BUDGET}")
         else:  # the text that meets most others leads, so that what all its variants are like comes first
             meets = rest.groupBy("id").agg(F.sum("n").alias("meets"))
-            best = F.max(F.struct("meets", F.xxhash64(F.lit(k), "id").alias("draw"), F.col("id").alias("b"), F.col("root").alias("__rb"))).alias("m")
+            best = F.max(F.struct("meets", F.xxhash64(F.lit(k), "id").alias("draw"), F.col("id").alias("b"), F.col("root").alias("rb"))).alias("m")
             leaders = rest.join(meets, "id").groupBy("key", *(["root"] if k else [])).agg(best)
             if k:  # of some components, the same for all texts of a bucket
                 leaders = leaders.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("m")))).filter(F.col("i") <= LEADERS)
-            pairs = rest.join(leaders.select("key", "m.b", "m.__rb"), "key").filter("root <> __rb").select(F.col("id").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = rest.join(leaders.select("key", "m.b", "m.rb"), "key").filter("root <> rb").select(F.col("id").alias("a"), "b", F.col("root").alias("ra"), "rb")
+        pairs = pairs.select(*[f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))], *[f("ra", "rb").alias(c) for f, c in ((F.least, "ra"), (F.greatest, "rb"))]).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = cut(_checked(pairs, sets), "near-links", PAIRS_AT_ONCE)
-        drop_cut(mixed)
+        links = cut(_checked(pairs, sets), "near-links", PAIRS_AT_ONCE)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        joined = components(_stars(links)).withColumnRenamed("root", "least")
+        before, label = label, cut(label.join(joined, F.col("root") == F.col("node"), "left").select("id", F.coalesce("least", "root").alias("root")), "near-roots")
+        for spent in (links, joined, before):
+            drop_cut(spent)
+        if not last:  # buckets that one component fills stay so
+            of = cut(rest.select("key", "id", "words").join(label, "id"), "near-of")
         drop_cut(rest)
-        links = found if links is None else cut(links.unionByName(found), "near-links")
-        tested = pairs if tested is None else cut(tested.unionByName(pairs), "near-tested")
-        label = components(links).withColumnRenamed("node", "id")
         if last:
             break
-        of = cut(members.join(label, "id", "left").select("key", "id", "words", F.coalesce("root", "id").alias("root")), "near-of")
-    for spent in (members, wanted, sets):
+    for spent in (sets, *([tested] if tested is not None else [])):
         drop_cut(spent)
-    return label
+    return label.filter("id <> root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

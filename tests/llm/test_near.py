@@ -57,6 +57,28 @@ def test_likeness_of_08_is_near_whatever_the_fingerprints(spark, monkeypatch):
         assert sorted(r.doc_id for r in near.keep_one(df).collect()) == least_ids(rows)
 
 
+def test_links_are_folded_within_tasks():
+    draw = np.random.default_rng(3)
+    a, b = draw.integers(-90, 90, (2, 100))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"]) for x, y in ((a[:0], b[:0]), (a[:60], b[:60]), (a[60:], b[60:]))]
+    least = {int(x): int(x) for x in (*a, *b)}
+    for _ in least:
+        for x, y in zip(a.tolist(), b.tolist()):
+            least[x] = least[y] = min(least[x], least[y])
+    got = [(x, y) for batch in near.folded(iter(batches)) for x, y in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(got) == sorted((x, y) for x, y in least.items() if x != y)
+
+
+def test_rounds_link_components_once(spark, monkeypatch):
+    """What goes to the star contraction, in all rounds together, is less than a link for each text."""
+    got, contract = [], near.components
+    monkeypatch.setattr(near, "components", lambda links: got.append(links.count()) or contract(links))
+    monkeypatch.setattr(near, "OPEN", 0)
+    rows = chained(5, 40)
+    assert sorted(r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == least_ids(rows)
+    assert 0 < sum(got) < len(rows), got
+
+
 def test_empty_table(empty):
     assert near.keep_one(empty).count() == 0
 

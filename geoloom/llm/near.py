@@ -200,10 +200,11 @@ def roots(texts: DataFrame) -> DataFrame:
         for spent in (mixed, of):
             drop_cut(spent)
         if last := k == ROUNDS or n_open <= OPEN * n_ids:
-            x = rest.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("words").alias("__wa"))
-            y = rest.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("words").alias("__wb"))
+            each = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # a pair is made in the first bucket of its common ones
+            x = each.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("words").alias("__wa"), F.col("keys").alias("__ka"))
+            y = each.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("words").alias("__wb"), F.col("keys").alias("__kb"))
             differ = " + ".join(f"bit_count(__wa.{w} ^ __wb.{w})" for w in WORDS)
-            pairs = x.join(y, "key").filter(f"ra < rb and {differ} <= {BUDGET}")
+            pairs = x.join(y, "key").filter(f"ra < rb and {differ} <= {BUDGET} and key = array_min(array_intersect(__ka, __kb))")
         else:  # the text that meets most others leads, so that what all its variants are like comes first
             meets = rest.groupBy("id").agg(F.sum("n").alias("meets"))
             best = F.max(F.struct("meets", F.xxhash64(F.lit(k), "id").alias("draw"), F.col("id").alias("b"), F.col("root").alias("rb"))).alias("m")

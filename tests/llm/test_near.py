@@ -79,6 +79,16 @@ def test_rounds_link_components_once(spark, monkeypatch):
     assert 0 < sum(got) < len(rows), got
 
 
+def test_open_pairs_are_made_once(spark, monkeypatch):
+    """A pair that meets in several tables comes from the first of them alone."""
+    made, df = [], spark.createDataFrame(chained(5, 30), "doc_id long, text string")
+    distinct = type(df).distinct
+    monkeypatch.setattr(type(df), "distinct", lambda x: (x.columns == ["a", "b", "ra", "rb"] and made.append((x.count(), distinct(x).count())), distinct(x))[1])
+    monkeypatch.setattr(near, "OPEN", 1 << 30)
+    near.keep_one(df).count()
+    assert made and all(n == once > 0 for n, once in made), made
+
+
 def test_empty_table(empty):
     assert near.keep_one(empty).count() == 0
 

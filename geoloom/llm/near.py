@@ -11,10 +11,14 @@ are followed while they differ in at most `ERRORS` bits, and pairs of leaves are
 likeness of 0.8 a share of 0.97 meets in one table at least (292 of 300 drawn pairs), of those at 0.86 all of 300 did. What links
 join in a bucket are a group, so that many near copies make no pairs.
 
-Within a group each text is checked exactly against the group's leader, the text that shares groups with most others; groups
-whose texts are then still of several components get other leaders, until at most `OPEN` pairs of different components are
-left for each text (or `ROUNDS` rounds have gone by), and then each of these pairs within the budget is checked. So no link
-among the candidates is missed, and a large group of near copies costs one check for each text and leader, not its square.
+Within a group each text is checked exactly against the group's leader, the text that shares groups with most others. Texts in
+groups of several components are then open, and all links that are left between them are found exactly by prefixes: shingles
+have one order, those of one component first, then by the number of open texts that have them, and two texts that are alike
+share one early in both, at a place that bounds what they can have in common (`prefixes`). Only pairs of different
+components that this bound lets through are checked. So no link among the open texts is missed, and neither near copies nor
+texts with over a ninth of their own cost the square of their group; open texts with less, that are not alike, can still be
+checked pair by pair. While the places would be compared over `COMPARED` times for each text, groups get other leaders first,
+for `ROUNDS` rounds at most.
 Texts with one hash are copies and go once. A round's links are between the components found before it, and each task folds its
 links into stars before they go to the star contraction: few links and few of its rounds are left, each of which costs the
 driver the memory of its plans and threads.
@@ -41,8 +45,10 @@ SEED, SHINGLE, LIKENESS = 42, 5, 0.8
 BITS, BUDGET = 512, 98
 #: Of the join: tables, bits that deal, bits of the trie, and those of the trie in which a pair may differ.
 TABLES, DEALT, DEEP, ERRORS = 24, 8, 12, 2
-#: Rounds of other leaders, while over so many pairs for each text are open.
+#: Rounds of leaders, while over so many pairs for each text are open.
 ROUNDS, OPEN = 2, 1
+#: Comparisons of places for each text that need no further leaders.
+COMPARED = 1_000
 #: Leaders of a bucket in a round after the first, each of another component.
 LEADERS = 4
 #: Pairs of sets that a worker holds at once.
@@ -53,7 +59,6 @@ ORDERS = np.array([_DRAWS.permutation(BITS)[: DEALT + 64] for _ in range(TABLES)
 FACTORS = _DRAWS.integers(0, 1 << 64, BITS // 64, np.uint64, endpoint=False) | np.uint64(1)
 #: Bits summed at once.
 AT_ONCE = 1 << 21
-WORDS = [f"f{k}" for k in range(BITS // 64)]
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -170,6 +175,56 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root, value) rows to (id, root, n, h), one for each of the set's n hashes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = np.array([len(x.as_py()) // 8 for x in batch.column("value")])
+        hashes = np.frombuffer(b"".join(batch.column("value").to_pylist()), np.int64)
+        ids, root = (np.repeat(batch.column(c).to_numpy(), n) for c in ("id", "root"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, root, np.repeat(n, n), hashes)], ["id", "root", "n", "h"])
+
+
+def prefixes(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, id, root, n, at, short, main): the hashes of the open (id, root) that can be the first that a text has in common with
+    an alike one of another root, with their place `at` in the order of its n hashes.
+
+    At the first common place at most min(n - at) hashes are common, of which alike texts need LIKENESS / (1 + LIKENESS) of both
+    sizes. So it is at no later place than (1 - LIKENESS) * n in the larger text and, marked `short`, earlier in the smaller.
+    Hashes of one root come first and need no row; `main` marks rows of the root that most texts with the hash have."""
+    apart = cut(open_.join(sets, "id").select("id", "root", "value").mapInArrow(taken_apart, "id long, root long, n long, h long"), "near-apart", PAIRS_AT_ONCE)
+    by_root = apart.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    shared = by_root.groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).getField("root").alias("most"))
+    shared = cut(shared.filter("roots > 1").drop("roots"), "near-shared")
+    of = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("c", "h")) - 1
+    placed = apart.join(shared, "h").withColumn("at", place)
+    early = lambda share: F.col("at") <= share * F.col("n") + 1e-6
+    placed = placed.filter(early(1 - LIKENESS)).select("h", "id", "root", "n", "at", early((1 - LIKENESS) / (1 + LIKENESS)).alias("short"), (F.col("root") == F.col("most")).alias("main"))
+    out = cut(placed, "near-placed")
+    for spent in (apart, shared):
+        drop_cut(spent)
+    return out
+
+
+def compared(placed: DataFrame) -> int:
+    """How often `open_pairs` compares places of different roots."""
+    by_root = placed.groupBy("h", "root").agg(F.count_if("short").alias("x"), F.count(F.lit(1)).alias("y"))
+    by_hash = by_root.groupBy("h").agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("n"))
+    return by_hash.agg(F.sum("n")).first()[0] or 0
+
+
+def open_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b, ra, rb), once each: the pairs of different roots that can be alike by a place in common.
+
+    Rows of a hash's main root meet only those of others, so that its own pairs are not made."""
+    x = placed.filter("short").select("h", F.col("main").alias("others"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    y = placed.select("h", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("others"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    common = f"least(na - ia, nb - ib) * {1 + LIKENESS}D >= {LIKENESS}D * (na + nb) - 1e-6D"
+    return x.join(y, ["h", "others"]).filter(f"ra <> rb and (na < nb or na = nb and a < b) and {common}").groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+
+
 def roots(texts: DataFrame) -> DataFrame:
     """(id, root) of the texts (id, __bytes) that are near copies of one with a lesser id, the root of their component.
 
@@ -179,14 +234,11 @@ def roots(texts: DataFrame) -> DataFrame:
     met = cut(prints.mapInArrow(dealt, "bucket int, id long, print binary").repartition("bucket").mapInArrow(groups, "key long, id long"), "near-met")
     label = cut(met.select("id", F.col("id").alias("root")).distinct(), "near-ids")
     wanted = label.select("id")
-    longs = [F.conv(F.hex(F.substring("print", 8 * k + 1, 8)), 16, -10).cast("long").alias(w) for k, w in enumerate(WORDS)]
-    members = cut(met.join(prints.join(wanted, "id", "left_semi").select("id", F.struct(*longs).alias("words")), "id"), "near-members")
     sets = cut(_each_text(texts.join(wanted, "id", "left_semi"), "value", "value binary", lambda x: x.tobytes()), "near-sets")
     drop_cut(prints)
-    drop_cut(met)
     n_ids = wanted.count()
     tested = None
-    of = members.withColumn("root", F.col("id"))
+    of = met.withColumn("root", F.col("id"))
     for k in range(ROUNDS + 1):
         by_root = of.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         mixed = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
@@ -199,12 +251,12 @@ def roots(texts: DataFrame) -> DataFrame:
         rest = cut(of.join(mixed.select("key", "n"), "key"), "near-rest")
         for spent in (mixed, of):
             drop_cut(spent)
-        if last := k == ROUNDS or n_open <= OPEN * n_ids:
-            each = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # a pair is made in the first bucket of its common ones
-            x = each.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("words").alias("__wa"), F.col("keys").alias("__ka"))
-            y = each.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("words").alias("__wb"), F.col("keys").alias("__kb"))
-            differ = " + ".join(f"bit_count(__wa.{w} ^ __wb.{w})" for w in WORDS)
-            pairs = x.join(y, "key").filter(f"ra < rb and {differ} <= {BUDGET} and key = array_min(array_intersect(__ka, __kb))")
+        placed = None
+        if (last := k == ROUNDS or n_open <= OPEN * n_ids) or k:
+            placed = prefixes(rest.select("id", "root").distinct(), sets)
+            last = last or compared(placed) <= COMPARED * n_ids
+        if last:
+            pairs = open_pairs(placed)
         else:  # the text that meets most others leads, so that what all its variants are like comes first
             meets = rest.groupBy("id").agg(F.sum("n").alias("meets"))
             best = F.max(F.struct("meets", F.xxhash64(F.lit(k), "id").alias("draw"), F.col("id").alias("b"), F.col("root").alias("rb"))).alias("m")
@@ -218,10 +270,10 @@ def roots(texts: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         joined = components(_stars(links)).withColumnRenamed("root", "least")
         before, label = label, cut(label.join(joined, F.col("root") == F.col("node"), "left").select("id", F.coalesce("least", "root").alias("root")), "near-roots")
-        for spent in (links, joined, before):
+        for spent in (links, joined, before, *([placed] if placed is not None else [])):
             drop_cut(spent)
         if not last:  # buckets that one component fills stay so
-            of = cut(rest.select("key", "id", "words").join(label, "id"), "near-of")
+            of = cut(rest.select("key", "id").join(label, "id"), "near-of")
         drop_cut(rest)
         if last:
             break

@@ -89,6 +89,49 @@ def test_open_pairs_are_made_once(spark, monkeypatch):
     assert made and all(n == once > 0 for n, once in made), made
 
 
+def test_texts_that_differ_a_little_too_much_are_not_paired(spark, monkeypatch):
+    """A large group, much of it within the budget of bits, whose texts each have over a ninth of their own, costs no check for its pairs."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(120):
+        text = list(base)
+        for at in r.sample(range(5, 295, 5), 7):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(200, rows[7][1] + " and more"), (201, rows[7][1] + " and more of it")]
+    made, checked = [], near._checked
+    monkeypatch.setattr(near, "_checked", lambda pairs, sets: made.append(pairs.count()) or checked(pairs, sets))
+    monkeypatch.setattr(near, "OPEN", 1 << 30)
+    kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == least_ids(rows) == list(range(120))
+    assert 0 < sum(made) < 10, made
+
+
+def test_prefixes_lose_no_alike_pair(spark):
+    """Sets of many sizes in few roots, with likenesses at, over and under 0.8: every alike pair of two roots is made, once."""
+    draw, sets = np.random.default_rng(6), []
+    for _ in range(12):
+        core = draw.integers(0, 1 << 63, int(draw.integers(1, 90)))
+        for _ in range(10):
+            kept = core[: len(core) - int(draw.integers(0, 1 + len(core) // 5))]
+            sets.append(np.unique(np.concatenate((kept, draw.integers(0, 1 << 63, int(draw.integers(0, 1 + len(core) // 6)))))))
+    nine, root = np.arange(9) + 5, draw.integers(0, 40, 122).tolist()
+    sets += [nine[:8], nine[1:]]  # at 7 of 9
+    sets += [nine, np.arange(9) + 6, np.arange(18) + 500, np.arange(18) + 502]  # both at 0.8
+    root += [50, 51, 52, 53]
+    size = [len(x) for x in sets]
+    like = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] != root[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (size[i] + size[j])]
+    assert (123, 122) in like and (125, 124) in like and len(like) > 100
+    open_ = spark.createDataFrame(list(enumerate(root)), "id long, root long")
+    table = spark.createDataFrame([(i, x.astype(np.int64).tobytes()) for i, x in enumerate(sets)], "id long, value binary")
+    placed = near.prefixes(open_, table)
+    made = [(r.a, r.b) for r in near.open_pairs(placed).collect()]
+    got = {(max(p), min(p)) for p in made}
+    assert len(made) == len(got) and set(like) <= got
+    assert all(root[i] != root[j] for i, j in got) and len(got) <= near.compared(placed)
+
+
 def test_empty_table(empty):
     assert near.keep_one(empty).count() == 0
 
